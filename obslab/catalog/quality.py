@@ -34,7 +34,7 @@ def invalid_measures(spark, sf_dir):
 def domain_report(spark, sf_dir):
     domains = {"event_type": EVENT_TYPES, "grade": EVENTS.labels}
     broken = domain_violations(raw_events(spark, sf_dir), domains)
-    return broken.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return broken.groupBy("violated_column", "found").agg(F.count(F.lit(1)).alias("n"))
 
 
 def snapshot_gate(spark, sf_dir):
@@ -140,8 +140,8 @@ SQL = {
         WHERE code IS NOT NULL GROUP BY code
     """,
     "domain_violations": f"""
-        SELECT "column", value, count(*) AS n
-        FROM (SELECT 'event_type' AS "column", event_type AS value FROM ({RAW_EVENTS_SQL})
+        SELECT violated_column, found, count(*) AS n
+        FROM (SELECT 'event_type' AS violated_column, event_type AS found FROM ({RAW_EVENTS_SQL})
               WHERE coalesce(event_type NOT IN ('click', 'error', 'purchase', 'signup', 'view'), TRUE)
               UNION ALL
               SELECT 'grade', grade FROM ({RAW_EVENTS_SQL}) WHERE grade NOT IN ('high', 'low', 'mid'))

@@ -30,7 +30,11 @@ def parse_number(text: Column) -> Column:
     The pattern is checked before the cast because the cast alone would accept
     Java suffixes such as ``18d``.
     """
-    value = strip(text.cast("string"))
+    return parse_stripped(strip(text.cast("string")))
+
+
+def parse_stripped(value: Column) -> Column:
+    """``parse_number`` for text without surrounding whitespace."""
     lowered = F.lower(value)
     return (
         F.when(value.rlike(_NUMBER), F.replace(value, F.lit("_"), F.lit("")).try_cast("double"))

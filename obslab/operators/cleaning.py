@@ -8,11 +8,12 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from obslab.functions.text import MISSING_WORDS, is_finite, is_measure, parse_number, strip
+from obslab.functions.text import MISSING_WORDS, is_finite, is_measure, parse_stripped, strip
 from obslab.spec import DatasetSpec
 
 MODES = ("train", "serve", "audit")
 ERRORS = "errors"
+_RAW, _TEXT = "_raw_", "_text_"
 
 
 def clean(df: DataFrame, spec: DatasetSpec) -> DataFrame:
@@ -65,39 +66,41 @@ def normalise(df: DataFrame, spec: DatasetSpec, mode: str) -> DataFrame:
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    numbers = {c: _number(df, c) for c in spec.numeric}
-    words = {c: _category(F.col(c).cast("string"), spec.fill, mode) for c in spec.categorical}
+    # Step by step, so that every text is trimmed and every number parsed only once per row.
+    texts = [c for c in spec.numeric if df.schema[c].dataType.typeName() == "string"]
+    raw = df.withColumns({
+        **{_RAW + c: F.col(c).cast("string") for c in spec.features},
+        **{_TEXT + c: strip(F.col(c).cast("string")) for c in (*texts, *spec.categorical)},
+    })
+    cleaned = raw.withColumns({
+        **{c: parse_stripped(F.col(_TEXT + c)) if c in texts else F.col(c).cast("double") for c in spec.numeric},
+        **{c: _category(F.col(_RAW + c), F.col(_TEXT + c), spec.fill, mode) for c in spec.categorical},
+    })
     codes: list[Column] = []
     if mode == "train" and spec.label in df.columns:
         codes.append(_unless(_allowed(F.col(spec.label), spec.labels), f"{spec.label}:unknown_label"))
     if mode != "audit":
-        codes += [_number_code(df, c, numbers[c], mode) for c in spec.numeric]
+        codes += [_number_code(c, mode) for c in spec.numeric]
         codes += [
-            _unless(_allowed(words[c], spec.categories[c]), f"{c}:unknown_category")
+            _unless(_allowed(F.col(c), spec.categories[c]), f"{c}:unknown_category")
             for c in spec.categorical
             if c in spec.categories
         ]
     errors = F.array_compact(F.array(*codes)) if codes else F.array().cast("array<string>")
-    return df.withColumns({**numbers, **words, ERRORS: errors})
+    return cleaned.select(*df.columns, errors.alias(ERRORS))
 
 
-def _number(df: DataFrame, name: str) -> Column:
-    stored = df.schema[name].dataType.typeName()
-    return parse_number(F.col(name)) if stored == "string" else F.col(name).cast("double")
-
-
-def _category(raw: Column, fill: str, mode: str) -> Column:
+def _category(raw: Column, text: Column, fill: str, mode: str) -> Column:
     if mode == "serve":
         return F.coalesce(F.nullif(raw, F.lit("")), F.lit(fill))
-    text = F.lower(strip(raw))
     missing = MISSING_WORDS if mode == "train" else ("",)
-    return F.when(raw.isNull() | text.isin(*missing), F.lit(fill)).otherwise(text)
+    return F.when(raw.isNull() | F.lower(text).isin(*missing), F.lit(fill)).otherwise(F.lower(text))
 
 
-def _number_code(df: DataFrame, name: str, value: Column, mode: str) -> Column:
+def _number_code(name: str, mode: str) -> Column:
+    value, raw = F.col(name), F.col(_RAW + name)
     if mode == "train":
         return _unless(is_measure(value), f"{name}:invalid_number")
-    raw = F.col(name).cast("string")
     return (
         F.when(raw.isNull() | (raw == ""), F.lit(f"{name}:missing"))
         .when(value.isNull(), F.lit(f"{name}:not_a_number"))
@@ -129,12 +132,12 @@ def domain_violations(df: DataFrame, domains: dict[str, tuple[str, ...]]) -> Dat
     named = [
         F.when(
             ~_allowed(F.col(c), values),
-            F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")),
+            F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("found")),
         )
         for c, values in domains.items()
     ]
     return df.withColumn("violation", F.explode(F.array_compact(F.array(*named)))).select(
-        *df.columns, F.col("violation.column").alias("column"), F.col("violation.value").alias("value")
+        *df.columns, F.col("violation.column").alias("violated_column"), F.col("violation.found").alias("found")
     )
 
 

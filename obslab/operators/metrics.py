@@ -108,8 +108,9 @@ def fold_summary(
     for m in metrics:
         parts += [F.avg(m).alias(f"{m}_mean"), F.stddev_pop(m).alias(f"{m}_std")]
         if listed:
-            pairs = F.array_sort(F.collect_list(F.struct(order, m)))
-            parts.append(F.transform(pairs, lambda p, m=m: p[m]).alias(f"{m}_scores"))
+            # One score per fold of a variant.
+            ordered = F.array_sort(F.collect_list(F.struct(F.col(order), F.col(m).alias("score"))))
+            parts.append(F.transform(ordered, lambda pair: pair["score"]).alias(f"{m}_scores"))
     return scores.groupBy(*keys).agg(*parts)
 
 
