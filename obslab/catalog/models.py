@@ -20,6 +20,8 @@ from obslab.operators.prepare import REFERENCE, prepare_dataset, source_rows
 from obslab.operators.ranges import collect_ranges
 from obslab.operators.splits import stratified_split
 from obslab.plans import retraining, study
+from obslab.session import shared_dir
+from obslab.sources.snapshots import SnapshotStore
 
 TREES = 5
 FOREST = Variant("forest", trees=TREES)
@@ -165,7 +167,8 @@ def family_comparison(spark, sf_dir):
 def candidate_vs_baseline(spark, sf_dir):
     """The merged training set against the reference alone, on the same hold-out."""
     prepared = prepare_dataset(step_reference(spark, sf_dir), step_log(spark, sf_dir), STEPS, strict=False)
-    snapshot = prepared.snapshot
+    store = SnapshotStore(spark, shared_dir(spark, "comparison"))
+    snapshot = store.load(store.save(prepared.snapshot, STEPS))
     result = retraining.candidate_vs_baseline(
         snapshot, source_rows(snapshot, REFERENCE), STEPS, FOREST, replace(FOREST, name="baseline", depth=None)
     )
@@ -197,6 +200,11 @@ _STD = ", ".join(f"round_even(({c} - m_{c}) / s_{c}, 6) AS {c}_std" for c in LIN
 _STATS = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in LINES.numeric)
 
 SQL = {
+    # The hold-out takes a quarter of the rows, rounded up, and every row must be a distribution.
+    "probability_gate": """
+        SELECT 'scored' AS measure, CAST(ceil(count(*) * 0.25) AS BIGINT) AS n FROM lineitem
+        UNION ALL SELECT 'violations', 0
+    """,
     "standardised_features": f"""
         SELECT {", ".join(_KEY)}, {_STD} FROM lineitem, (SELECT {_STATS} FROM lineitem)
     """,

@@ -103,10 +103,14 @@ PARTS_SQL = """
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as they might arrive: numbers as text, some of them unusable."""
+    return as_raw(table(spark, sf_dir, "events"))
+
+
+def as_raw(events: DataFrame) -> DataFrame:
+    """Events as they might arrive: numbers as text, some of them unusable."""
     value = F.col("value").cast("string")
     case = F.col("event_id") % 12
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         "event_id",
         F.when(case == 0, "").when(case == 1, "text").when(case == 2, "NaN").when(case == 3, "-inf")
         .when(case == 4, "0").when(case == 5, F.concat(F.lit("-"), value)).when(case == 6, "18d")

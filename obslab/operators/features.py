@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import PCA, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import PCA, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,33 +93,39 @@ class Components:
     """PCA of standardised training rows; its size is columns squared."""
 
     columns: tuple[str, ...]
-    scaling: Scaling
+    pipeline: PipelineModel
+    n_rows: int
     loadings: list[list[float]]
     ratios: list[float]
     singular_values: list[float]
 
+    @property
+    def signs(self) -> list[float]:
+        return [1.0 if max(l, key=abs) >= 0 else -1.0 for l in self.pipeline.stages[-1].pc.toArray().T.tolist()]
+
 
 def fit_pca(train: DataFrame, columns: Sequence[str], k: int) -> Components:
-    """Components, explained variance and singular values, signs fixed.
+    """Components, explained variance and singular values of standardised rows.
 
     Each component's largest loading is made positive, because the sign of an
-    eigenvector is arbitrary.
+    eigenvector is arbitrary. The covariance is summed on the executors; only
+    the columns-squared matrix is decomposed on the driver.
     """
-    scaling = fit_scaling(train, columns)
-    scaled = standardise(train.select(*columns), columns, scaling)
-    vectors = VectorAssembler(inputCols=[f"{c}_std" for c in columns], outputCol=FEATURES).transform(scaled)
-    model = PCA(k=k, inputCol=FEATURES, outputCol="scores").fit(vectors.select(FEATURES))
-    matrix = model.pc.toArray()
-    signs = [1.0 if column[abs(column).argmax()] >= 0 else -1.0 for column in matrix.T]
-    loadings = [[float(s * v) for v in column] for s, column in zip(signs, matrix.T)]
-    ratios = [float(v) for v in model.explainedVariance.toArray()]
-    # Standardised columns have population variance 1 each (0 when constant).
-    spread = train.agg(
-        F.count(F.lit(1)).alias("n"), *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)]
-    ).first()
-    varied = sum(1 for i in range(len(columns)) if spread[f"s{i}"])
-    singular = [(r * varied * spread["n"]) ** 0.5 for r in ratios]
-    return Components(tuple(columns), scaling, loadings, ratios, singular)
+    stages = [
+        VectorAssembler(inputCols=list(columns), outputCol="raw_features"),
+        StandardScaler(inputCol="raw_features", outputCol=FEATURES, withMean=True, withStd=True),
+        PCA(k=k, inputCol=FEATURES, outputCol="scores"),
+    ]
+    model = Pipeline(stages=stages).fit(train.select(*columns))
+    n = train.count()
+    ratios = [float(v) for v in model.stages[2].explainedVariance.toArray()]
+    # The variances of standardised columns add up to the number of columns that vary.
+    varied = sum(1 for s in model.stages[1].std.toArray() if s > 0)
+    singular = [(r * varied * n) ** 0.5 for r in ratios]
+    found = Components(tuple(columns), model, n, [], ratios, singular)
+    matrix = model.stages[2].pc.toArray().T.tolist()
+    loadings = [[sign * v for v in loading] for sign, loading in zip(found.signs, matrix)]
+    return replace(found, loadings=loadings)
 
 
 def pca_report(train: DataFrame, components: Components) -> DataFrame:
@@ -139,11 +145,10 @@ def pca_report(train: DataFrame, components: Components) -> DataFrame:
 
 
 def pca_scores(df: DataFrame, components: Components, kept: Sequence[str]) -> DataFrame:
-    """Coordinates of every row: plain arithmetic inside generated code."""
-    scaled = standardise(df, components.columns, components.scaling)
-    def score(loading):
-        total = F.lit(0.0)
-        for c, weight in zip(components.columns, loading):
-            total = total + F.col(f"{c}_std") * F.lit(weight)
-        return total
-    return scaled.select(*kept, *[score(l).alias(f"pc{i}") for i, l in enumerate(components.loadings, start=1)])
+    """Coordinates of every row, in population standard deviations as fitted."""
+    # Spark scales by the sample deviation; this factor turns it into the population one.
+    factor = (components.n_rows / max(1, components.n_rows - 1)) ** 0.5
+    values = vector_to_array("scores")
+    return components.pipeline.transform(df).select(*kept, *[
+        (values[i] * F.lit(sign * factor)).alias(f"pc{i + 1}") for i, sign in enumerate(components.signs)
+    ])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from contextlib import ExitStack
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
@@ -16,7 +17,7 @@ from obslab.operators.prepare import REFERENCE, source_rows
 from obslab.operators.profile import feature_ranges, min_class_gate
 from obslab.operators.ranges import collect_ranges
 from obslab.operators.splits import FOLDS, SEED, stratified_folds, stratified_split
-from obslab.plans.study import cross_validate
+from obslab.plans.study import cross_validate, kept
 from obslab.spec import DatasetSpec
 
 DEFAULT = Variant("candidate")
@@ -58,24 +59,32 @@ def candidate_vs_baseline(
 
     The baseline keeps its own hyper-parameters but nothing it has learnt. Rows
     that repeat the features of a held-out row are kept out of both fits. The
-    deployment model is fitted on all candidate rows afterwards.
+    deployment model is fitted on all candidate rows afterwards. Both snapshots
+    are read many times: pass stored ones (``SnapshotStore.load``).
     """
-    say = progress or (lambda message: None)
-    spark = candidate.sparkSession
-    # Snapshot rows are unique by feature id; it serves as the row key from here on.
+    # Snapshot rows are unique by feature and so by record id, which is their key from here on.
     spec = replace(spec, key=("record_id",))
     for data in (candidate, baseline):
         verify_snapshot(data, spec)
     if not snapshot_diff(source_rows(candidate, REFERENCE), source_rows(baseline, REFERENCE)).first()["same_ids"]:
         raise ValueError("the reference rows differ from those of the active version")
-    held = reference_holdout(candidate, spec, seed)
-    training = {
-        "candidate": exclude_holdout(candidate, held, ["feature_id"], ["record_id"]),
-        "baseline": exclude_holdout(baseline, held, ["feature_id"], ["record_id"]),
-    }
+    with ExitStack() as stack:
+        held = stack.enter_context(kept(reference_holdout(candidate, spec, seed)))
+        training = {
+            name: stack.enter_context(kept(exclude_holdout(data, held, ["feature_id"], ["record_id"], hot=[])))
+            for name, data in (("candidate", candidate), ("baseline", baseline))
+        }
+        return _compare(candidate, training, held, spec, {"candidate": variant, "baseline": baseline_variant or variant},
+                        seed, folds, progress or (lambda message: None))
+
+
+def _compare(
+    candidate: DataFrame, training: dict[str, DataFrame], held: DataFrame, spec: DatasetSpec,
+    variants: dict[str, Variant], seed: int, folds: int, say: Callable[[str], None],
+) -> Comparison:
+    spark, variant = candidate.sparkSession, variants["candidate"]
     if min_class_gate(training["candidate"], spec, folds).where("not passed").take(1):
         raise ValueError(f"every label needs at least {folds} training rows")
-    variants = {"candidate": variant, "baseline": baseline_variant or variant}
     rows = []
     for name in ("baseline", "candidate"):
         say(f"evaluating the {name} on the fixed hold-out")

@@ -41,7 +41,7 @@ _RUN = "run string, subset string, actual string, predicted string, n bigint"
 
 
 @contextmanager
-def _kept(df: DataFrame):
+def kept(df: DataFrame):
     """Keep a frame that many fits read; lost blocks are recomputed from the input."""
     stored = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -127,7 +127,7 @@ def cross_validate(df: DataFrame, spec: DatasetSpec, variants: Sequence[Variant]
 
     Preprocessing is learnt anew from each fold's training rows.
     """
-    with _kept(_model_rows(df, spec, "fold")) as rows:
+    with kept(_model_rows(df, spec, "fold")) as rows:
         tasks = [_fold_task(rows, spec, v, fold) for v in variants for fold in range(1, folds + 1)]
         return _fold_table(df.sparkSession, run_fits(tasks))
 
@@ -163,9 +163,9 @@ def learning_curve(
             seed=seed + fold, name=f"smallest_{fold}",
         )
         rows = marked.withColumn(spec.label, F.col("_label")).drop("_label")
-    with _kept(rows) as kept:
+    with kept(rows) as stored:
         tasks = [
-            _fold_task(kept, spec, variant, fold, f, i)
+            _fold_task(stored, spec, variant, fold, f, i)
             for i, f in enumerate(fractions) if f < 1.0 or full is None for fold in range(1, folds + 1)
         ]
         table = _fold_table(df.sparkSession, run_fits(tasks))
@@ -194,7 +194,7 @@ def ablation(df: DataFrame, spec: DatasetSpec, variants: Sequence[Variant], fold
     variant: hold-out metrics next to cross-validated ones.
     """
     spark = df.sparkSession
-    with _kept(_model_rows(df, spec, "split", "fold")) as rows:
+    with kept(_model_rows(df, spec, "split", "fold")) as rows:
         training, held = rows.where("split = 'train'"), rows.where("split = 'test'")
 
         def holdout(variant: Variant):
@@ -224,7 +224,7 @@ def permutation_importance(
     spec = model.spec
     spark = held.sparkSession
     rows = held.select(*spec.key, spec.label, *spec.features)
-    with _kept(positions(rows.withColumn(HASH, order_hash(f"{seed}:importance", *[F.col(k) for k in spec.key])))) as placed:
+    with kept(positions(rows.withColumn(HASH, order_hash(f"{seed}:importance", *[F.col(k) for k in spec.key])))) as placed:
         n = placed.count()
         base_rows = _cube_rows(model, "base", holdout=placed)
         trials = F.array(*[

@@ -54,6 +54,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence test through the file system that serves ``path``."""
     jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.globStatus(target))
+    return bool(_file_system(spark, path).globStatus(jvm.org.apache.hadoop.fs.Path(path)))
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    return _file_system(spark, path).getFileStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)).isDirectory()
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -13,6 +13,9 @@ from obslab.session import path_exists
 from obslab.spec import DatasetSpec
 
 CORRUPT = "corrupt_record"
+# Either a closed quoted value with doubled inner quotes, or a value that does not start with a quote.
+_VALUE = r'(?:"(?:[^"]++|"")*+"|(?!")[^,]*+)'
+_WELL_QUOTED = rf"^{_VALUE}(?:,{_VALUE})*+$"
 
 
 def log_columns(spec: DatasetSpec) -> list[str]:
@@ -27,40 +30,45 @@ def log_columns(spec: DatasetSpec) -> list[str]:
     ]
 
 
-def read_log(spark: SparkSession, path: str, spec: DatasetSpec, multiline: bool = False) -> tuple[DataFrame, DataFrame]:
+def read_log(spark: SparkSession, path: str, spec: DatasetSpec) -> tuple[DataFrame, DataFrame]:
     """Read a CSV log as text columns; returns ``(rows, quarantine)``.
 
     A log that does not exist has no rows. One that exists must start with a
     header naming every feature and the confirmed label, without repeats, and
-    all files must carry the same header. Records whose number of values or
-    quoting is wrong go to the quarantine with file and raw text.
+    all its files must carry the same header. Records whose number of values or
+    quoting is wrong go to the quarantine with file and raw text. A record is
+    one line, so that large files can be split over tasks.
     """
     required = {*spec.features, spec.confirmed}
     if not path_exists(spark, path):
         empty = T.StructType([T.StructField(c, T.StringType()) for c in log_columns(spec)])
         broken = T.StructType([T.StructField(c, T.StringType()) for c in ("file_path", CORRUPT)])
         return spark.createDataFrame([], empty), spark.createDataFrame([], broken)
-    header = _header(spark, path)
+    lines = spark.read.text(path).select(
+        # A byte order mark may precede the header.
+        F.regexp_replace("value", r"^\x{FEFF}", "").alias(CORRUPT), F.col("_metadata.file_path").alias("file_path")
+    ).where(F.length(CORRUPT) > 0)
+    first = lines.take(1)
+    header = next(csv.reader([first[0][CORRUPT]])) if first else []
     missing = sorted(required - set(header))
     if missing:
         raise ValueError(f"{path}: line 1: required columns are missing: {missing}")
     if len(header) != len(set(header)):
         raise ValueError(f"{path}: line 1: column names are repeated")
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*header, CORRUPT]])
-    records = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("enforceSchema", False)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        # Wrong value counts only show when every column is parsed.
-        .option("columnPruning", False)
-        .option("multiLine", multiline)
-        .csv(path)
-        .withColumn("file_path", F.col("_metadata.file_path"))
+    is_header = F.col(CORRUPT) == F.lit(first[0][CORRUPT])
+    other = lines.groupBy("file_path").agg(F.count_if(is_header).alias("n")).where("n = 0").take(1)
+    if other:
+        raise ValueError(f"{other[0]['file_path']}: line 1: the header differs from the other files")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+    records = lines.where(~is_header).select(
+        "file_path", CORRUPT, F.from_csv(F.col(CORRUPT), _ddl(header), options).alias("r")
     )
-    rows = records.filter(F.col(CORRUPT).isNull()).drop(CORRUPT, "file_path")
-    return rows, records.filter(F.col(CORRUPT).isNotNull()).select("file_path", CORRUPT)
+    intact = F.col("r._broken").isNull() & F.col(CORRUPT).rlike(_WELL_QUOTED)
+    return records.where(intact).select("r.*").drop("_broken"), records.where(~intact).select("file_path", CORRUPT)
+
+
+def _ddl(header: list[str]) -> str:
+    return ", ".join(f"`{name.replace('`', '``')}` string" for name in [*header, "_broken"])
 
 
 def require_intact(quarantine: DataFrame) -> None:
@@ -70,13 +78,6 @@ def require_intact(quarantine: DataFrame) -> None:
         raise ValueError(f"{broken[0]['file_path']}: record cannot be read: {broken[0][CORRUPT]!r}")
 
 
-def _header(spark: SparkSession, path: str) -> list[str]:
-    first = spark.read.text(path).filter("length(value) > 0").take(1)
-    if not first:
-        raise ValueError(f"{path}: line 1: required columns are missing: the file has no header")
-    return next(csv.reader([first[0]["value"].lstrip("﻿")]))
-
-
 def refused_labels(df: DataFrame, spec: DatasetSpec) -> DataFrame:
     """Rows whose confirmed label is neither absent nor exactly an allowed label.
 

@@ -15,14 +15,23 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from obslab.operators.cleaning import ERRORS, normalise, only_confirmed
 from obslab.operators.models import FittedModel, score
+from obslab.session import is_folder
 from obslab.spec import DatasetSpec
 
 AVAILABLE_NOW = {"availableNow": True}
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1000) -> DataFrame:
-    """Parquet files arriving in a folder; the cap bounds one micro-batch, not the data."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    """Parquet files arriving in a folder, or one stored file, as a stream.
+
+    ``files_per_trigger`` bounds one micro-batch, not the data: available-now
+    runs as many batches as there are files.
+    """
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    if is_folder(spark, path):
+        return reader.parquet(path)
+    folder, _, name = path.rpartition("/")
+    return reader.option("pathGlobFilter", name).parquet(folder)
 
 
 def ingest(stream: DataFrame, spec: DatasetSpec, mode: str, out: str, checkpoint: str, trigger=None) -> StreamingQuery:
