@@ -62,6 +62,14 @@ def protocol_diff(spark, sf_dir):
     return moved.select("o_orderkey", "saved_split", "recomputed_split", "saved_fold", "recomputed_fold")
 
 
+def overlap(spark, sf_dir):
+    """Combinations of priority and price step shared across the hold-out and every fold."""
+    rows = protocol(table(spark, sf_dir, "orders").select(*_ROWS, "o_orderpriority"), ORDERS).withColumn(
+        "price_step", F.floor(F.col("o_totalprice") / 100)
+    )
+    return leakage.protocol_overlap(rows, ["price_step", "o_orderpriority"], FOLDS)
+
+
 QUERIES = {
     "stratified_split": split,
     "split_counts": split_counts,
@@ -71,6 +79,7 @@ QUERIES = {
     "permuted_column": permuted,
     "min_class_gate": min_class_gate,
     "protocol_diff": protocol_diff,
+    "protocol_overlap": overlap,
 }
 
 
@@ -117,6 +126,15 @@ def _protocol_sql(seed: int) -> str:
     """
 
 
+_TUPLES = f"""
+  SELECT b.boundary, s, t, count(*) FILTER (l) AS l, count(*) FILTER (r) AS r
+  FROM (SELECT floor(o_totalprice / 100) AS s, o_orderpriority AS t, CAST(fold AS INTEGER) AS fold
+        FROM orders JOIN ({_protocol_sql(42)}) USING (o_orderkey)) o,
+       (SELECT 'holdout' AS boundary, 0 AS f UNION ALL SELECT 'fold_' || i, i FROM range(1, {FOLDS + 1}) x(i)) b,
+       LATERAL (SELECT fold = f AS r, fold > 0 AND fold <> f AS l)
+  GROUP BY ALL
+"""
+
 SQL = {
     "stratified_split": f"SELECT o_orderkey, split FROM ({split_sql()})",
     "split_counts": f"SELECT split, o_orderstatus, count(*) AS n FROM ({split_sql()}) GROUP BY 1, 2",
@@ -140,6 +158,13 @@ SQL = {
         SELECT o_orderstatus, count(*) AS n, count(*) >= {FOLDS} AS passed
         FROM ({split_sql()}) WHERE split = 'train' GROUP BY 1
     """,
+    "protocol_overlap": f"""
+        SELECT boundary, CAST(sum(l) AS BIGINT) AS left_rows, CAST(sum(r) AS BIGINT) AS right_rows,
+               count(*) FILTER (l > 0 AND r > 0) AS shared_feature_combinations,
+               CAST(coalesce(sum(l) FILTER (r > 0), 0) AS BIGINT) AS left_rows_with_match,
+               CAST(coalesce(sum(r) FILTER (l > 0), 0) AS BIGINT) AS right_rows_with_match
+        FROM ({_TUPLES}) GROUP BY boundary
+    """,
     "protocol_diff": f"""
         SELECT a.o_orderkey, a.split AS saved_split, b.split AS recomputed_split,
                a.fold AS saved_fold, b.fold AS recomputed_fold

@@ -37,6 +37,32 @@ def split_overlap(df: DataFrame, left: Column, right: Column, features: Sequence
     return _long(tuples).unionByName(_long(rows))
 
 
+def protocol_overlap(df: DataFrame, features: Sequence[str], folds: int, fold: str = "fold") -> DataFrame:
+    """Shared feature combinations across every boundary of a protocol.
+
+    ``fold`` is 0 on held-out rows and 1 to ``folds`` on training rows. Rows are
+    counted per combination and fold once; hold-out and all folds are then
+    compared from those few counters.
+    """
+    parts = range(folds + 1)
+    counts = df.groupBy(*features).agg(*[F.count_if(F.col(fold) == i).alias(f"n{i}") for i in parts])
+    training = sum((F.col(f"n{i}") for i in parts[1:]), F.lit(0))
+    pairs = {"holdout": (training, F.col("n0"))}
+    pairs.update({f"fold_{i}": (training - F.col(f"n{i}"), F.col(f"n{i}")) for i in parts[1:]})
+    sides = F.array(*[
+        F.struct(F.lit(name).alias("boundary"), left.alias("l"), right.alias("r")) for name, (left, right) in pairs.items()
+    ])
+    common = (F.col("l") > 0) & (F.col("r") > 0)
+    total = lambda side: F.coalesce(F.sum(F.when(common, F.col(side))), F.lit(0))
+    return counts.select(F.inline(sides)).groupBy("boundary").agg(
+        F.sum("l").alias("left_rows"),
+        F.sum("r").alias("right_rows"),
+        F.count_if(common).alias("shared_feature_combinations"),
+        total("l").alias("left_rows_with_match"),
+        total("r").alias("right_rows_with_match"),
+    )
+
+
 def _long(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("measure"), F.col(c).cast("bigint").alias("n")) for c in df.columns
