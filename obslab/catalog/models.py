@@ -43,8 +43,7 @@ def _line_split(spark, sf_dir):
 
 def _fitted(spark, sf_dir, variant=FOREST):
     train, test = _line_split(spark, sf_dir)
-    ranges = collect_ranges(profile.feature_ranges(train, LINES))
-    return replace(fit(train, LINES, variant), version="v1", ranges=ranges), test
+    return replace(fit(train, LINES, variant), version="v1"), test
 
 
 def standardised_features(spark, sf_dir):
@@ -89,8 +88,10 @@ _SERVED = replace(LINES, categories={"l_linestatus": ("F", "O", "unknown")})
 
 
 def _scored(spark, sf_dir):
-    model, test = _fitted(spark, sf_dir)
-    return score(test, replace(model, spec=_SERVED))
+    train, test = _line_split(spark, sf_dir)
+    ranges = collect_ranges(profile.feature_ranges(train, LINES))
+    model = replace(fit(train, LINES, FOREST), version="v1", ranges=ranges, spec=_SERVED)
+    return score(test, model)
 
 
 def batch_score(spark, sf_dir):

@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 # Spellings that mean "no category given".
 MISSING_WORDS = ("", "na", "nan", "none", "null")
 
-# All Unicode blanks plus the four ASCII separators that Python strips as well.
-_BLANK = r"[\s\x1c-\x1f]+"
+# Every character that counts as whitespace, ASCII separators included.
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 _DIGITS = r"\d+(?:_\d+)*"
 _NUMBER = rf"^[+-]?(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
 
 
 def strip(text: Column) -> Column:
     """Remove leading and trailing whitespace of every kind, not only blanks."""
-    left = F.regexp_replace(text, rf"(?U)^{_BLANK}", "")
-    return F.regexp_replace(left, rf"(?U){_BLANK}$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def blank_to_null(text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from obslab.operators.cleaning import ERRORS, normalise
 from obslab.operators.features import FEATURES, fit_features
 from obslab.operators.ranges import flag_ranges
+from obslab.sources.tables import require_columns
 from obslab.spec import DatasetSpec
 
 # The deepest tree Spark ML can build; stands for "no depth limit".
@@ -75,36 +77,53 @@ class FittedModel:
         return cls(PipelineModel.load(path), spec, variant, **known)
 
 
-def fit(train: DataFrame, spec: DatasetSpec, variant: Variant = Variant("forest"), partitions: int | None = None) -> FittedModel:
+def place(rows: DataFrame, spec: DatasetSpec, partitions: int | None = None) -> DataFrame:
+    """Rows spread and sorted by their key.
+
+    Spark's forest depends on how rows lie in partitions. Placing them by key
+    makes a seed give the same forest whatever the input layout, and puts every
+    core to work when the input comes in few files.
+    """
+    if not spec.key:
+        raise ValueError("placing rows needs a row key")
+    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *spec.key).sortWithinPartitions(*spec.key)
+
+
+def fit(train: DataFrame, spec: DatasetSpec, variant: Variant = Variant("forest"), placed: bool = False) -> FittedModel:
     """Fit preprocessing and classifier on the given rows.
 
-    Spark's forest depends on how rows are spread over partitions. ``partitions``
-    places and sorts them by row key first, so a seed gives the same forest
-    whatever the input layout, at the price of one shuffle.
+    ``placed`` says that ``train`` went through ``place`` (and at most filters)
+    already, as in studies that fit the same rows many times.
     """
     spec = variant.spec(spec)
-    rows = train
-    if partitions:
-        if not spec.key:
-            raise ValueError("a reproducible fit needs a row key")
-        rows = rows.repartition(partitions, *spec.key).sortWithinPartitions(*spec.key)
     names = F.array(*[F.lit(v) for v in spec.class_order])
     # The class names travel as column metadata, which saves a pass that would count them.
     meta = {"ml_attr": {"type": "nominal", "vals": list(spec.class_order), "name": _LABEL}}
     index = (F.array_position(names, F.col(spec.label)) - 1).cast("double").alias(_LABEL, metadata=meta)
-    rows = rows.where(F.col(spec.label).isin(*spec.class_order)).select("*", index)
+    rows = train.select(*spec.key, spec.label, *spec.features).where(F.col(spec.label).isin(*spec.class_order))
     prepared = fit_features(rows, spec, scaled=variant.kind == "logistic")
-    matrix = prepared.transform(rows).select(_LABEL, FEATURES)
+    ordered = rows if placed else place(rows, spec)
+    matrix = prepared.transform(ordered.select("*", index)).select(_LABEL, FEATURES)
     if variant.kind == "forest":
         classifier = _forest(variant, _vector_size(matrix))
     elif variant.kind == "logistic":
-        n = rows.count()
         classifier = LogisticRegression(
-            family="multinomial", regParam=1.0 / (variant.c * n), elasticNetParam=0.0, standardization=False, maxIter=2000
+            family="multinomial", regParam=1.0 / (variant.c * rows.count()), elasticNetParam=0.0,
+            standardization=False, maxIter=2000,
         )
     else:
         raise ValueError(f"unknown kind of model: {variant.kind}")
-    fitted = classifier.setLabelCol(_LABEL).setFeaturesCol(FEATURES).fit(matrix)
+    classifier = classifier.setLabelCol(_LABEL).setFeaturesCol(FEATURES)
+    if placed:
+        fitted = classifier.fit(matrix)
+    else:
+        # The classifier reads its input several times; keep the shuffled rows until it is done.
+        stored = matrix.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            fitted = classifier.fit(stored)
+        finally:
+            stored.unpersist()
     return FittedModel(PipelineModel([*prepared.stages, fitted]), spec, variant)
 
 
@@ -133,6 +152,7 @@ def score(df: DataFrame, model: FittedModel, strict: bool = False) -> tuple[Data
     codes. Scored rows carry prediction, probabilities, range warnings and the
     model version; a value outside the training range is a warning only.
     """
+    require_columns(df, model.spec.features)
     checked = normalise(df, model.spec, "serve")
     accepted = F.size(ERRORS) == 0
     refused = checked.where(~accepted)

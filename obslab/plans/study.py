@@ -19,13 +19,14 @@ from pyspark.sql import functions as F
 
 from obslab.functions.identity import order_hash
 from obslab.operators.metrics import classification_metrics, confusion_cube, fold_summary, select_variant
-from obslab.operators.models import FittedModel, Variant, coefficient_count, fit, forest_size
-from obslab.operators.ranking import HASH, positions
+from obslab.operators.models import FittedModel, Variant, coefficient_count, fit, forest_size, place
 from obslab.operators.splits import LEARNING_FRACTIONS, SEED, nested_subsets, stratified_folds, stratified_split
 from obslab.spec import DatasetSpec
 
 # Fits submitted to the cluster at the same time.
 PARALLEL_FITS = 4
+# Rows of one block in which a permutation trial moves values.
+BLOCK = 4096
 # The grid of the regularisation study.
 GRID = tuple(
     Variant(f"depth_{'none' if depth is None else depth}_leaf_{leaf}", depth=depth, min_leaf=leaf)
@@ -66,7 +67,7 @@ def with_folds(df: DataFrame, spec: DatasetSpec, seed: int = SEED, folds: int =
 
 
 def _model_rows(df: DataFrame, spec: DatasetSpec, *extra: str) -> DataFrame:
-    return df.select(*spec.key, spec.label, *spec.features, *spec.context, *extra)
+    return place(df.select(*spec.key, spec.label, *spec.features, *spec.context, *extra), spec)
 
 
 def _cube_rows(model: FittedModel, run: str, **subsets: DataFrame) -> list[tuple]:
@@ -92,7 +93,7 @@ def _fold_task(
         if subset is not None:
             training = training.where(F.col(f"smallest_{fold}") <= subset)
         began = time.perf_counter()
-        model = fit(training, spec, variant)
+        model = fit(training, spec, variant, placed=True)
         seconds = time.perf_counter() - began
         run = f"{variant.name}|{fold}|{fraction}"
         cube = _cube_rows(model, run, train=training, validation=validation)
@@ -198,7 +199,8 @@ def ablation(df: DataFrame, spec: DatasetSpec, variants: Sequence[Variant], fold
         training, held = rows.where("split = 'train'"), rows.where("split = 'test'")
 
         def holdout(variant: Variant):
-            return lambda: (variant.name, _cube_rows(fit(training, spec, variant), variant.name, holdout=held))
+            return lambda: (variant.name, _cube_rows(
+                fit(training, spec, variant, placed=True), variant.name, holdout=held))
 
         tests = run_fits([holdout(v) for v in variants])
         tasks = [_fold_task(training, spec, v, fold) for v in variants for fold in range(1, folds + 1)]
@@ -216,36 +218,44 @@ def permutation_importance(
 ) -> DataFrame:
     """Loss of macro-F1 when one feature's values are shuffled over the held-out rows.
 
-    Rows get one position in a seeded hash order; a repeat hands every row the
-    value found a pseudo-random number of positions further on, which is a
-    permutation for each (feature, repeat). All trials are one distributed join
-    on unique positions, one transform and one small cube.
+    A seeded hash deals the rows into blocks of about ``BLOCK`` rows. For every
+    (feature, repeat) the feature's values are rotated inside each block by a
+    pseudo-random offset, which permutes them among rows that were put together
+    at random. The held-out rows are shuffled once, whatever the number of
+    trials, and no group is larger than a block; a table of up to ``BLOCK`` rows
+    is a single block.
     """
     spec = model.spec
     spark = held.sparkSession
     rows = held.select(*spec.key, spec.label, *spec.features)
-    with kept(positions(rows.withColumn(HASH, order_hash(f"{seed}:importance", *[F.col(k) for k in spec.key])))) as placed:
-        n = placed.count()
-        base_rows = _cube_rows(model, "base", holdout=placed)
-        trials = F.array(*[
-            F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat"), F.lit(_shift(seed, f, r, n)).alias("shift"))
-            for f in spec.features for r in range(repeats)
-        ])
-        donors = placed.select(
-            "position", *[F.col(c).alias(f"donor_{c}") for c in spec.features], F.explode(trials).alias("trial")
-        ).select(
-            F.pmod(F.col("position") - F.col("trial.shift"), F.lit(n)).alias("position"),
-            F.col("trial.feature").alias("feature"),
-            F.col("trial.repeat").alias("repeat"),
-            *[F.when(F.col("trial.feature") == c, F.col(f"donor_{c}")).alias(f"donor_{c}") for c in spec.features],
-        )
-        shuffled = placed.drop(HASH).join(donors, "position").withColumns({
-            c: F.when(F.col("feature") == c, F.col(f"donor_{c}")).otherwise(F.col(c)) for c in spec.features
-        }).drop(*[f"donor_{c}" for c in spec.features])
-        keys = ["feature", "repeat"]
-        cube = confusion_cube(model.predict(shuffled), spec.label, f"predicted_{spec.label}", keys)
-        counted = spark.createDataFrame(cube.collect(), cube.schema)
-    base = classification_metrics(spark.createDataFrame(base_rows, _RUN)).first()["macro_f1"]
+    blocks = max(1, -(-rows.count() // BLOCK))
+    hashed = order_hash(f"{seed}:importance", *[F.col(k) for k in spec.key])
+    number = F.conv(F.substring(hashed, 1, 15), 16, 10).cast("bigint")
+    member = F.struct(hashed.alias("order"), F.col(spec.label), *spec.features)
+    dealt = rows.select(F.pmod(number, F.lit(blocks)).alias("block"), member.alias("member"))
+    packed = dealt.groupBy("block").agg(F.array_sort(F.collect_list("member")).alias("members"))
+    trials = F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat"), F.lit(_offset(seed, f, r)).alias("offset"))
+        for f in spec.features for r in range(repeats)
+    ])
+    # Counting each block's rows from its own offset keeps blocks independent of each other.
+    size = F.size("members")
+    shift = F.when(size > 1, 1 + F.pmod(F.col("trial.offset") + F.col("block") * 7919, size - 1)).otherwise(0).cast("int")
+    turned = F.concat(F.slice("members", shift + 1, size), F.slice("members", F.lit(1), shift))
+    paired = packed.select("block", "members", F.explode(trials).alias("trial")).select(
+        F.col("trial.feature").alias("feature"), F.col("trial.repeat").alias("repeat"),
+        F.explode(F.arrays_zip(F.col("members").alias("own"), turned.alias("donor"))).alias("pair"),
+    )
+    keys = ["feature", "repeat"]
+    shuffled = paired.select(
+        *keys, F.col("pair.own")[spec.label].alias(spec.label),
+        *[F.when(F.col("feature") == c, F.col("pair.donor")[c]).otherwise(F.col("pair.own")[c]).alias(c)
+          for c in spec.features],
+    )
+    cube = confusion_cube(model.predict(shuffled), spec.label, f"predicted_{spec.label}", keys)
+    counted = spark.createDataFrame(cube.collect(), cube.schema)
+    base_cube = spark.createDataFrame(_cube_rows(model, "base", holdout=rows), _RUN)
+    base = classification_metrics(base_cube).first()["macro_f1"]
     loss = classification_metrics(counted, keys).select(*keys, (F.lit(base) - F.col("macro_f1")).alias("loss"))
     if detail:
         return loss
@@ -254,7 +264,6 @@ def permutation_importance(
     ).orderBy(F.col("mean_decrease_macro_f1").desc(), "feature")
 
 
-def _shift(seed: int, feature: str, repeat: int, n: int) -> int:
-    """Reproducible offset from 1 to n-1, so that no row keeps its own value's place."""
-    digest = hashlib.md5(f"{seed}:{feature}:{repeat}".encode()).hexdigest()
-    return 1 + int(digest[:15], 16) % max(1, n - 1)
+def _offset(seed: int, feature: str, repeat: int) -> int:
+    """Reproducible number of places by which a trial rotates the values."""
+    return int(hashlib.md5(f"{seed}:{feature}:{repeat}".encode()).hexdigest()[:12], 16)

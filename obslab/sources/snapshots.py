@@ -35,12 +35,16 @@ class SnapshotStore:
         self, data: DataFrame, spec: DatasetSpec, base_version: str = INITIAL, metrics: DataFrame | None = None,
         model: FittedModel | None = None, version: str | None = None,
     ) -> str:
-        """Check the snapshot, write all parts, publish the manifest last."""
+        """Write all parts, check what was written, publish the manifest last.
+
+        The gate reads the stored rows, so the snapshot is computed only once. A
+        version that fails it never gets a manifest and stays invisible.
+        """
         check_version_id(base_version)
-        gates.require(gates.snapshot_gate(data, spec))
         version = check_version_id(version or new_version_id())
         data.write.mode("errorifexists").parquet(self._path("training_data", version))
         stored = self.load(version)
+        gates.require(gates.snapshot_gate(stored, spec))
         source_rows(stored, CONFIRMED).select("record_id").write.mode("errorifexists").parquet(
             self._path("confirmed_ids", version)
         )
