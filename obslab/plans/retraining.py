@@ -10,14 +10,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from obslab.operators import gates
-from obslab.operators.leakage import exclude_holdout, snapshot_diff
+from obslab.functions.versions import new_version_id
+from obslab.operators.leakage import exclude_holdout, manifest_diff, snapshot_diff
 from obslab.operators.metrics import classification_metrics, confusion_cube, confusion_matrix, fold_summary
 from obslab.operators.models import FittedModel, Variant, fit
-from obslab.operators.prepare import REFERENCE, source_rows
+from obslab.operators.prepare import CONFIRMED, REFERENCE, Prepared, prepare_dataset, source_rows
 from obslab.operators.profile import feature_ranges, min_class_gate
 from obslab.operators.ranges import collect_ranges
 from obslab.operators.splits import FOLDS, SEED, stratified_folds, stratified_split
+from obslab.operators.versions import INITIAL
 from obslab.plans.study import cross_validate, kept
+from obslab.sources.snapshots import SnapshotStore
 from obslab.spec import DatasetSpec
 
 DEFAULT = Variant("candidate")
@@ -107,6 +110,62 @@ def _compare(
     )
 
 
+def status(store: SnapshotStore, prepared: Prepared, candidate: str | None = None) -> dict:
+    """Whether a new training makes sense and whether a waiting candidate still holds.
+
+    Ids are compared as tables; only the verdicts come back.
+    """
+    state = store.state()
+    active = state["active_version"]
+    waiting = store.confirmed_ids(candidate) if candidate else None
+    current = source_rows(prepared.snapshot, CONFIRMED).select("record_id")
+    changes = manifest_diff(current, store.confirmed_ids(active), waiting).first().asDict()
+    fingerprint = prepared.report.first()["reference_fingerprint"]
+    known = None if active == INITIAL else store.manifest(active)["reference_fingerprint"]
+    same_reference = known is None or known == fingerprint
+    holds = False
+    if candidate:
+        manifest = store.manifest(candidate)
+        holds = (
+            changes["candidate_holds"] and manifest["base_version"] == active
+            and manifest["reference_fingerprint"] == fingerprint
+        )
+    return {
+        "active_version": active,
+        "previous_version": state["previous_version"],
+        "new_confirmed": changes["new_confirmed"],
+        "removed_confirmed": changes["removed_confirmed"],
+        "same_reference": same_reference,
+        "can_train": changes["can_train"] and same_reference,
+        "can_adopt": holds and same_reference,
+        "can_roll_back": state["previous_version"] is not None,
+    }
+
+
+def retrain(
+    store: SnapshotStore, reference: DataFrame, log: DataFrame, spec: DatasetSpec, variant: Variant = DEFAULT,
+    baseline_variant: Variant | None = None, progress: Callable[[str], None] | None = None,
+) -> tuple[str, Comparison]:
+    """Prepare, compare with the active version and store a candidate; adoption stays a separate step.
+
+    The first version is compared with the reference rows alone, later ones with
+    the snapshot of the active version.
+    """
+    prepared = prepare_dataset(reference, log, spec)
+    verdict = status(store, prepared)
+    if not verdict["same_reference"]:
+        raise ValueError("the reference rows differ from those of the active version")
+    if not verdict["can_train"]:
+        raise ValueError("there are no new or changed confirmed observations")
+    active, version = verdict["active_version"], new_version_id()
+    # Written once; every later step reads the stored rows.
+    data = store.stage(prepared.snapshot, version)
+    baseline = source_rows(data, REFERENCE) if active == INITIAL else store.load(active)
+    comparison = candidate_vs_baseline(data, baseline, spec, variant, baseline_variant, progress=progress)
+    store.publish(version, spec, active, comparison.metrics, comparison.deployment)
+    return version, comparison
+
+
 def release_check(model: FittedModel, golden: DataFrame, medians: Mapping[str, float]) -> DataFrame:
     """Score a golden table and one row of feature medians; report broken rules.
 
@@ -125,6 +184,11 @@ def release_check(model: FittedModel, golden: DataFrame, medians: Mapping[str, f
         "probabilities_are_proper": gates.probability_violations(scored, spec.labels),
     }
     report = None
+    if model.ranges:
+        limits = [(c, float(low), float(medians[c]), float(high)) for c, (low, high) in model.ranges.items()]
+        checks["ranges_are_ordered"] = gates.range_violations(
+            golden.sparkSession.createDataFrame(limits, "feature string, minimum double, median double, maximum double")
+        )
     for rule, broken in checks.items():
         part = proper(broken).select(F.lit(rule).alias("rule"), "violations")
         report = part if report is None else report.unionByName(part)

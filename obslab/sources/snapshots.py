@@ -35,14 +35,25 @@ class SnapshotStore:
         self, data: DataFrame, spec: DatasetSpec, base_version: str = INITIAL, metrics: DataFrame | None = None,
         model: FittedModel | None = None, version: str | None = None,
     ) -> str:
-        """Write all parts, check what was written, publish the manifest last.
+        """Stage and publish in one step."""
+        version = check_version_id(version or new_version_id())
+        self.stage(data, version)
+        return self.publish(version, spec, base_version, metrics, model)
+
+    def stage(self, data: DataFrame, version: str) -> DataFrame:
+        """Write the snapshot rows of a version that is not published yet and read them back."""
+        data.write.mode("errorifexists").parquet(self._path("training_data", version))
+        return self.load(version)
 
-        The gate reads the stored rows, so the snapshot is computed only once. A
-        version that fails it never gets a manifest and stays invisible.
+    def publish(
+        self, version: str, spec: DatasetSpec, base_version: str = INITIAL, metrics: DataFrame | None = None,
+        model: FittedModel | None = None,
+    ) -> str:
+        """Check the stored rows, write the other parts, and the manifest last.
+
+        A version that fails the gate never gets a manifest and stays invisible.
         """
         check_version_id(base_version)
-        version = check_version_id(version or new_version_id())
-        data.write.mode("errorifexists").parquet(self._path("training_data", version))
         stored = self.load(version)
         gates.require(gates.snapshot_gate(stored, spec))
         source_rows(stored, CONFIRMED).select("record_id").write.mode("errorifexists").parquet(
