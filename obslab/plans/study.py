@@ -67,7 +67,8 @@ def with_folds(df: DataFrame, spec: DatasetSpec, seed: int = SEED, folds: int =
 
 
 def _model_rows(df: DataFrame, spec: DatasetSpec, *extra: str) -> DataFrame:
-    return place(df.select(*spec.key, spec.label, *spec.features, *spec.context, *extra), spec)
+    context = [c for c in spec.context if c in df.columns]
+    return place(df.select(*spec.key, spec.label, *spec.features, *context, *extra), spec)
 
 
 def _cube_rows(model: FittedModel, run: str, **subsets: DataFrame) -> list[tuple]:

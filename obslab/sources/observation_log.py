@@ -59,7 +59,7 @@ def read_log(spark: SparkSession, path: str, spec: DatasetSpec) -> tuple[DataFra
     other = lines.groupBy("file_path").agg(F.count_if(is_header).alias("n")).where("n = 0").take(1)
     if other:
         raise ValueError(f"{other[0]['file_path']}: line 1: the header differs from the other files")
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken", "escape": "\""}
     records = lines.where(~is_header).select(
         "file_path", CORRUPT, F.from_csv(F.col(CORRUPT), _ddl(header), options).alias("r")
     )
