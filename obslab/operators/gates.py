@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from obslab.functions.identity import feature_id, record_id
 from obslab.functions.text import is_finite, is_measure
-from obslab.operators.cleaning import normalise
+from obslab.operators.cleaning import ERRORS, normalise
 from obslab.spec import DatasetSpec
 
 SOURCES = ("reference", "confirmed")
@@ -41,6 +41,26 @@ def _report(df: DataFrame, counts: dict[str, Column]) -> DataFrame:
     return totals.select(F.inline(rows)).withColumn("passed", F.col("violations") == 0)
 
 
+def training_gate(df: DataFrame, spec: DatasetSpec) -> DataFrame:
+    """One pass over a stored snapshot before it is used for an evaluation.
+
+    Rows must be valid, ids must follow from the values, sources must be known
+    and the reference part must hold every label.
+    """
+    checked = normalise(df, spec, "train")
+    is_reference = F.col("source") == SOURCES[0]
+    rules = {
+        "not_empty": (F.count(F.lit(1)) == 0).cast("bigint"),
+        "rows_are_valid": F.count_if(F.size(ERRORS) > 0),
+        "source_is_known": F.count_if(~F.coalesce(F.col("source").isin(*SOURCES), F.lit(False))),
+        "ids_unchanged": F.count_if(_tampered(spec)),
+    }
+    for name in spec.class_order:
+        present = F.count_if(is_reference & (F.col(spec.label) == F.lit(name)))
+        rules[f"reference_has_{name}"] = (present == 0).cast("bigint")
+    return _report(checked, rules)
+
+
 def require(report: DataFrame) -> None:
     """Raise when any rule of a gate report failed; the report has one row per rule."""
     failed = [r["rule"] for r in report.where(~F.col("passed")).collect()]
@@ -50,10 +70,11 @@ def require(report: DataFrame) -> None:
 
 def tampered_rows(df: DataFrame, spec: DatasetSpec) -> DataFrame:
     """Rows whose stored ids no longer follow from their normalised values."""
-    checked = normalise(df, spec, "train")
-    return checked.where(
-        ~F.col("feature_id").eqNullSafe(feature_id(spec)) | ~F.col("record_id").eqNullSafe(record_id(spec))
-    )
+    return normalise(df, spec, "train").where(_tampered(spec))
+
+
+def _tampered(spec: DatasetSpec) -> Column:
+    return ~F.col("feature_id").eqNullSafe(feature_id(spec)) | ~F.col("record_id").eqNullSafe(record_id(spec))
 
 
 def probability_violations(scored: DataFrame, labels: tuple[str, ...], column: str = "probabilities") -> DataFrame:

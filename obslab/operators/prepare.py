@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from obslab.functions.identity import feature_id, fingerprint_parts, fingerprint_text, record_id
 from obslab.operators.cleaning import clean, is_unconfirmed, normalise, only_confirmed, split_valid
 from obslab.operators.duplicates import group_identities
+from obslab.session import ensure_checkpoint_dir
 from obslab.spec import DatasetSpec
 
 REFERENCE, CONFIRMED = "reference", "confirmed"
@@ -43,13 +44,16 @@ def union_sources(reference: DataFrame, confirmed: DataFrame, spec: DatasetSpec)
     return tagged(reference, REFERENCE, 0).unionByName(tagged(confirmed, CONFIRMED, 1))
 
 
-def prepare_dataset(reference: DataFrame, log: DataFrame, spec: DatasetSpec, strict: bool = True) -> Prepared:
+def prepare_dataset(
+    reference: DataFrame, log: DataFrame, spec: DatasetSpec, strict: bool = True, materialise: bool = False
+) -> Prepared:
     """Clean, validate, merge and de-duplicate by feature identity.
 
     The first row of a feature combination wins: reference before log, then row
     key. In strict mode invalid rows or contradicting labels stop the job before
     anything is returned; otherwise they are left out of the snapshot and kept
-    in the quarantine and the conflict table.
+    in the quarantine and the conflict table. ``materialise`` checkpoints the
+    grouped rows, so that snapshot, conflicts and report read one stored result.
     """
     if not spec.key:
         raise ValueError("the spec needs a row key, which orders the copies of a row")
@@ -57,6 +61,9 @@ def prepare_dataset(reference: DataFrame, log: DataFrame, spec: DatasetSpec, str
     good, quarantine = split_valid(normalise(rows, spec, "train"))
     order = ["source_rank", *spec.key]
     groups = group_identities(good, spec, order, ["source"])
+    if materialise:
+        ensure_checkpoint_dir(groups.sparkSession)
+        groups = groups.checkpoint()
     conflicts = groups.where("conflict").drop("conflict")
     if strict:
         _refuse(quarantine, conflicts, spec)

@@ -36,14 +36,6 @@ class Comparison:
     deployment: FittedModel
 
 
-def verify_snapshot(data: DataFrame, spec: DatasetSpec) -> None:
-    """Domain rules hold, every label has reference rows, stored ids follow from the values."""
-    gates.require(gates.snapshot_gate(source_rows(data, REFERENCE), spec))
-    gates.require(gates.snapshot_gate(data, spec))
-    if gates.tampered_rows(data, spec).take(1):
-        raise ValueError("the training data were changed: stored ids do not match")
-
-
 def reference_holdout(candidate: DataFrame, spec: DatasetSpec, seed: int = SEED) -> DataFrame:
     """Stratified hold-out of the reference rows, chosen by record id alone.
 
@@ -68,7 +60,7 @@ def candidate_vs_baseline(
     # Snapshot rows are unique by feature and so by record id, which is their key from here on.
     spec = replace(spec, key=("record_id",))
     for data in (candidate, baseline):
-        verify_snapshot(data, spec)
+        gates.require(gates.training_gate(data, spec))
     if not snapshot_diff(source_rows(candidate, REFERENCE), source_rows(baseline, REFERENCE)).first()["same_ids"]:
         raise ValueError("the reference rows differ from those of the active version")
     with ExitStack() as stack:
@@ -151,14 +143,13 @@ def retrain(
     The first version is compared with the reference rows alone, later ones with
     the snapshot of the active version.
     """
-    prepared = prepare_dataset(reference, log, spec)
+    prepared = prepare_dataset(reference, log, spec, materialise=True)
     verdict = status(store, prepared)
     if not verdict["same_reference"]:
         raise ValueError("the reference rows differ from those of the active version")
     if not verdict["can_train"]:
         raise ValueError("there are no new or changed confirmed observations")
     active, version = verdict["active_version"], new_version_id()
-    # Written once; every later step reads the stored rows.
     data = store.stage(prepared.snapshot, version)
     baseline = source_rows(data, REFERENCE) if active == INITIAL else store.load(active)
     comparison = candidate_vs_baseline(data, baseline, spec, variant, baseline_variant, progress=progress)

@@ -200,7 +200,7 @@ def test_comparison_keeps_the_holdout_out_of_both_fits(spark, reference, make_lo
     assert sizes == {"baseline": (27, 9), "candidate": (28, 9)}
     assert result.matrices.groupBy("model").agg(F.sum("n").alias("n")).where("n = 9").count() == 2
     assert set(result.deployment.ranges) == set(SPEC.numeric)
-    with pytest.raises(ValueError, match="changed"):
+    with pytest.raises(ValueError, match="ids_unchanged"):
         retraining.candidate_vs_baseline(candidate.withColumn("body_mass_g", F.col("body_mass_g") + 1), baseline, SPEC, SMALL)
     fewer = baseline.where("row != 1003")
     with pytest.raises(ValueError, match="differ"):
