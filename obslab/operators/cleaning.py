@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obslab.functions.text import MISSING_WORDS, is_finite, is_measure, parse_stripped, strip
+from obslab.operators.skew import salted_join
 from obslab.spec import DatasetSpec
 
 MODES = ("train", "serve", "audit")
@@ -47,9 +48,12 @@ def is_unconfirmed(spec: DatasetSpec) -> Column:
 
 
 def attach_labels(log: DataFrame, labels: DataFrame, on: list[str], spec: DatasetSpec) -> DataFrame:
-    """Log with separately delivered confirmations; rows without one keep null."""
+    """Log with separately delivered confirmations (one per key); rows without one keep null.
+
+    A key that fills a large part of the log is spread over tasks.
+    """
     confirmed = labels.select(*on, F.col(spec.label).cast("string").alias(spec.confirmed))
-    return log.join(confirmed, on, "left")
+    return salted_join(log, confirmed, on, "left")
 
 
 def normalise(df: DataFrame, spec: DatasetSpec, mode: str) -> DataFrame:

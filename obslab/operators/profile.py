@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from obslab.functions.display import half_even
+from obslab.operators.skew import salted_join
 from obslab.spec import DatasetSpec
 
 # Rank error of the bracketing sketch is 1/ACCURACY of the rows of a group.
 ACCURACY = 50_000
+# Groups whose statistics may be held by the driver and broadcast.
+GROUP_LIMIT = 10_000
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -154,24 +157,29 @@ def order_statistics(
         )
         for i in range(size)
     ])
-    # One row per group, measure and probability: sized by the spec, not the data.
+    # One row per group and measure. The usual few are held as a small table and
+    # broadcast; with very many groups they stay distributed and the join is salted.
+    held = basics.take(GROUP_LIMIT + 1)
+    few = len(held) <= GROUP_LIMIT
+    if few:
+        basics = df.sparkSession.createDataFrame(held, basics.schema)
     marks = basics.select(*keys, brackets.alias("brackets"))
+    bracketed = rows.join(F.broadcast(marks), keys) if few else salted_join(rows, marks, keys, "inner")
+    small = F.broadcast if few else (lambda table: table)
     below = F.col("value") < F.col("b.low")
     counted = (
-        rows.join(F.broadcast(marks), keys)
-        .select(*keys, "value", F.explode("brackets").alias("b"))
+        bracketed.select(*keys, "value", F.explode("brackets").alias("b"))
         .where(F.col("value") <= F.col("b.high"))
         .select(*keys, F.col("b.ix").alias("ix"), F.when(~below, F.col("value")).alias("value"))
         .groupBy(*keys, "ix", "value")
         .agg(F.count(F.lit(1)).alias("k"))
     )
     running = Window.partitionBy(*keys, "ix").orderBy(F.col("value").asc_nulls_first())
-    totals = basics.select(*keys, "n")
     p = F.element_at(F.array(*[F.lit(float(v)) for v in probabilities]), F.col("ix") + 1)
     position = p * (F.col("n") - 1)
     reached = (
         counted.withColumn("upto", F.sum("k").over(running.rowsBetween(Window.unboundedPreceding, 0)))
-        .join(F.broadcast(totals), keys)
+        .join(small(basics.select(*keys, "n")), keys)
         .withColumn("rank", F.floor(position))
         .withColumn("share", position - F.floor(position))
         .groupBy(*keys, "ix")
@@ -190,7 +198,9 @@ def order_statistics(
     values = reached.groupBy(*keys).agg(*[
         F.max(F.when(F.col("ix") == i, checked)).alias(f"q{i}") for i in range(size)
     ])
-    return basics.drop("marks").join(F.broadcast(values), keys)
+    return values.join(small(basics.drop("marks")), keys).select(
+        *keys, "n", "mean", "std", "minimum", "maximum", *[f"q{i}" for i in range(size)]
+    )
 
 
 def describe_numeric(df: DataFrame, columns: Sequence[str], decimals: int = 2) -> DataFrame:

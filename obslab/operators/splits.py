@@ -50,16 +50,18 @@ def test_quotas(totals: Mapping[str, int], fraction: float) -> dict[str, int]:
 
 def stratified_folds(
     df: DataFrame, spec: DatasetSpec, key: Sequence[str] | None = None,
-    folds: int = FOLDS, seed: int = SEED, name: str = "fold",
+    folds: int = FOLDS, seed: int = SEED, name: str = "fold", where: Column | None = None,
 ) -> DataFrame:
     """Adds ``fold`` in 1..k; sizes differ by at most one, overall and within each label.
 
+    Rows outside ``where`` take no part and get null.
+
     Dealing the label-sorted rows round-robin fixes how many rows of a label a
     fold gets; which ones is decided by hash order.
     """
     ranks = lambda totals: {label: upto[:-1] for label, upto in fold_quotas(totals, folds).items()}
     return _assign(df, spec.label, key or spec.key, f"{seed}:fold", name, ranks, lambda hashed, limits: (
-        F.lit(1) + _passed(hashed, limits)))
+        F.lit(1) + _passed(hashed, limits)), where)
 
 
 def fold_quotas(totals: Mapping[str, int], folds: int) -> dict[str, list[int]]:
@@ -75,17 +77,18 @@ def fold_quotas(totals: Mapping[str, int], folds: int) -> dict[str, list[int]]:
 
 def nested_subsets(
     df: DataFrame, spec: DatasetSpec, fractions: Sequence[float] = LEARNING_FRACTIONS,
-    key: Sequence[str] | None = None, seed: int | str = SEED, name: str = "smallest",
+    key: Sequence[str] | None = None, seed: int | str = SEED, name: str = "smallest", where: Column | None = None,
 ) -> DataFrame:
     """Adds the index of the smallest fraction whose subset holds the row.
 
     Subset i is every row with ``smallest <= i``, so subsets are nested by
-    construction; each label gives max(1, round-half-even(f*n)) rows.
+    construction; each label gives max(1, round-half-even(f*n)) rows. Rows
+    outside ``where`` take no part and get null.
     """
     if any(not 0 < f <= 1 for f in fractions) or list(fractions) != sorted(fractions):
         raise ValueError("fractions must ascend within (0, 1]")
     ranks = lambda totals: {label: [max(1, round(f * n)) for f in fractions] for label, n in totals.items()}
-    return _assign(df, spec.label, key or spec.key, f"{seed}:subset", name, ranks, _passed)
+    return _assign(df, spec.label, key or spec.key, f"{seed}:subset", name, ranks, _passed, where)
 
 
 def explode_subsets(subsets: DataFrame, fractions: Sequence[float] = LEARNING_FRACTIONS, name: str = "smallest") -> DataFrame:
@@ -117,11 +120,12 @@ def _passed(hashed: Column, limits: Sequence[Column]) -> Column:
 def _assign(
     df: DataFrame, label: str, key: Sequence[str], seed: str, name: str,
     ranks: Callable[[dict[str, int]], dict[str, list[int]]],
-    rule: Callable[[Column, list[Column]], Column],
+    rule: Callable[[Column, list[Column]], Column], where: Column | None = None,
 ) -> DataFrame:
     """Find the thresholds (a few strings per label), then decide row by row."""
     hashed = _hashed(df, key, seed)
-    rows = hashed.select(label, HASH).where(F.col(label).isNotNull())
+    taken = F.col(label).isNotNull() if where is None else F.col(label).isNotNull() & where
+    rows = hashed.where(taken).select(label, HASH)
     counts = bucket_counts(rows, label)
     wanted = ranks({name: sum(buckets.values()) for name, buckets in counts.items()})
     found = select_ranks(rows, label, counts, wanted)
@@ -129,7 +133,7 @@ def _assign(
     limits = [_by_label(label, {name: values[i] for name, values in found.items()}) for i in range(cuts)]
     if not limits:
         return df.withColumn(name, F.lit(None).cast("string"))
-    chosen = F.when(F.col(label).isNotNull(), rule(F.col(HASH), limits))
+    chosen = F.when(taken, rule(F.col(HASH), limits))
     return hashed.withColumn(name, chosen).drop(HASH)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from obslab.functions.versions import check_version_id
+from obslab.operators.skew import salted_join
 
 INITIAL = "initial"
 EVENT_SCHEMA = "registry string, seq bigint, action string, active_version string, previous_version string"
@@ -30,7 +31,7 @@ def stale_candidates(candidates: DataFrame, state: DataFrame, keys: Sequence[str
     """Candidates whose base is no longer the active version; without events it is ``initial``."""
     active = F.coalesce("active_version", F.lit(INITIAL))
     return (
-        candidates.join(state.select(*keys, "active_version"), list(keys), "left")
+        salted_join(candidates, state.select(*keys, "active_version"), keys, "left")
         .withColumn("active_version", active)
         .withColumn("stale", F.col("base_version") != F.col("active_version"))
     )

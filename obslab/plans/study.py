@@ -54,10 +54,8 @@ def kept(df: DataFrame):
 def protocol(df: DataFrame, spec: DatasetSpec, seed: int = SEED, folds: int = 5) -> DataFrame:
     """Hold-out split plus folds of the training part; ``fold`` is 0 on held-out rows."""
     split = stratified_split(df, spec, seed=seed)
-    training = split.where("split = 'train'")
-    folded = stratified_folds(training, spec, folds=folds, seed=seed)
-    held = split.where("split = 'test'").withColumn("fold", F.lit(0))
-    return folded.unionByName(held)
+    folded = stratified_folds(split, spec, folds=folds, seed=seed, where=F.col("split") == "train")
+    return folded.withColumn("fold", F.when(F.col("split") == "test", 0).otherwise(F.col("fold")))
 
 
 def with_folds(df: DataFrame, spec: DatasetSpec, seed: int = SEED, folds: int = 5) -> DataFrame:
@@ -159,12 +157,9 @@ def learning_curve(
     """
     rows = _model_rows(df, spec, "fold")
     for fold in range(1, folds + 1):
-        training = F.when(F.col("fold") != fold, F.col(spec.label))
-        marked = nested_subsets(
-            rows.withColumn("_label", F.col(spec.label)).withColumn(spec.label, training), spec, fractions,
-            seed=seed + fold, name=f"smallest_{fold}",
+        rows = nested_subsets(
+            rows, spec, fractions, seed=seed + fold, name=f"smallest_{fold}", where=F.col("fold") != fold
         )
-        rows = marked.withColumn(spec.label, F.col("_label")).drop("_label")
     with kept(rows) as stored:
         tasks = [
             _fold_task(stored, spec, variant, fold, f, i)

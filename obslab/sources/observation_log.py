@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,8 +103,18 @@ def log_rows(scored: DataFrame, spec: DatasetSpec, at: Column | None = None) ->
 
 
 def append_log(scored: DataFrame, spec: DatasetSpec, path: str, at: Column | None = None) -> str:
-    """Append to the Parquet log, or write nothing when a confirmed label is refused."""
-    if refused_labels(scored, spec).take(1):
-        raise ValueError(f"{spec.confirmed} must be empty or one of {list(spec.labels)}")
-    log_rows(scored, spec, at).write.mode("append").parquet(path)
+    """Append to the Parquet log, or write nothing when a confirmed label is refused.
+
+    The rule is checked while writing, so scoring runs once; a refused row fails
+    the job before its output is committed.
+    """
+    refusal = f"{spec.confirmed} must be empty or one of {list(spec.labels)}"
+    given = F.coalesce(F.col(spec.confirmed), F.lit(""))
+    checked = F.when((given == "") | given.isin(*spec.labels), F.col(spec.confirmed)).otherwise(F.raise_error(F.lit(refusal)))
+    try:
+        log_rows(scored.withColumn(spec.confirmed, checked), spec, at).write.mode("append").parquet(path)
+    except PySparkException as error:
+        if refusal in str(error):
+            raise ValueError(refusal) from None
+        raise
     return path

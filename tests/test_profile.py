@@ -30,6 +30,14 @@ def test_order_statistics_equal_exact_quantiles(spark, partitions):
         assert np.allclose([r["mean"], r["std"]], [values.mean(), values.std(ddof=1)])
 
 
+def test_many_groups_take_the_distributed_way(spark, monkeypatch):
+    monkeypatch.setattr(profile, "GROUP_LIMIT", 3)
+    frame = spark.range(4000).select((F.col("id") % 5 * (F.col("id") % 3)).alias("g"), F.col("id").cast("double").alias("x"))
+    got = {r["g"]: r["q0"] for r in profile.order_statistics(frame, ["x"], (0.5,), ("g",), accuracy=100).collect()}
+    local = frame.toPandas()
+    assert got == local.groupby("g")["x"].median().to_dict() and len(got) > 3
+
+
 def test_tiny_groups(spark):
     frame = spark.createDataFrame([("a", 2.0), ("b", 1.0), ("b", 4.0), ("c", None)], "g string, x double")
     got = {r["g"]: (r["n"], r["q0"]) for r in profile.order_statistics(frame, ["x"], (0.5,), ("g",)).collect()}

@@ -96,7 +96,8 @@ def test_log_appends_keep_the_confirmed_label_apart(spark, tmp_path):
 def test_unclean_labels_are_refused_and_nothing_is_written(spark, tmp_path, label):
     with pytest.raises(ValueError):
         observation_log.append_log(scored(spark, "Adelie", label), BODY_MEASURES, f"{tmp_path}/log")
-    assert not (tmp_path / "log").exists()
+    assert not list(tmp_path.rglob("*.parquet"))
+    assert observation_log.refused_labels(scored(spark, "Adelie", "", label), BODY_MEASURES).count() == 1
 
 
 def test_file_fingerprints_and_changes(spark, tmp_path):
