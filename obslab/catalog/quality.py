@@ -63,7 +63,7 @@ def confirmed_status(spark, sf_dir):
 def range_flags(spark, sf_dir):
     """Orders scored against the price range of the urgent ones that are still open."""
     orders = table(spark, sf_dir, "orders")
-    known = orders.where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_custkey") < 500))
+    known = orders.where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "O"))
     ranges = collect_ranges(profile.feature_ranges(known, ORDERS))
     flagged = flag_ranges(orders, ORDERS, ranges)
     return flagged.select(
@@ -175,7 +175,7 @@ SQL = {
     """,
     "range_flags": """
         WITH r AS (SELECT min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders
-                   WHERE o_orderpriority = '1-URGENT' AND o_custkey < 500)
+                   WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'O')
         SELECT o_orderkey,
                CASE WHEN o_totalprice < low OR o_totalprice > high THEN 'o_totalprice' ELSE '' END AS out_of_range,
                CASE WHEN o_totalprice < low OR o_totalprice > high

@@ -156,8 +156,9 @@ def score(df: DataFrame, model: FittedModel, strict: bool = False) -> tuple[Data
     checked = normalise(df, model.spec, "serve")
     accepted = F.size(ERRORS) == 0
     refused = checked.where(~accepted)
-    if strict and refused.take(1):
-        raise ValueError(f"observations were refused: {refused.take(1)[0][ERRORS]}")
+    first = refused.take(1) if strict else []
+    if first:
+        raise ValueError(f"observations were refused: {first[0][ERRORS]}")
     good = checked.where(accepted).drop(ERRORS)
     if model.ranges:
         good = flag_ranges(good, model.spec, model.ranges)

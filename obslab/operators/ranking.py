@@ -19,6 +19,7 @@ HASH = "order_hash"
 WIDTH = 3
 # Rows of one bucket that a single task may sort.
 SMALL = 1_000_000
+HASH_DIGITS = 32
 
 
 def bucket_counts(rows: DataFrame, group: str) -> dict[str, dict[str, int]]:
@@ -51,6 +52,8 @@ def select_ranks(
     width = WIDTH
     while any(t.size > SMALL for t in targets):
         width += WIDTH
+        if width > HASH_DIGITS:
+            raise ValueError("row keys repeat too often: a unique row key is needed")
         finer = _counts(_held(rows, group, targets), group, width)
         targets = [
             _locate({b: k for b, k in finer[t.group].items() if b.startswith(t.bucket)}, t.group, t.cut, t.rank)

@@ -21,6 +21,7 @@ from obslab.functions.identity import order_hash
 from obslab.operators.metrics import classification_metrics, confusion_cube, fold_summary, select_variant
 from obslab.operators.models import FittedModel, Variant, coefficient_count, fit, forest_size, place
 from obslab.operators.splits import LEARNING_FRACTIONS, SEED, nested_subsets, stratified_folds, stratified_split
+from obslab.sources.tables import write_semicolon_csv
 from obslab.spec import DatasetSpec
 
 # Fits submitted to the cluster at the same time.
@@ -146,6 +147,15 @@ def summarise_grid(table: DataFrame) -> DataFrame:
     return select_variant(summary.join(F.broadcast(sizes), "variant"))
 
 
+def write_study(summary: DataFrame, curve: DataFrame, folder: str) -> None:
+    """The two result tables of a study as ``;``-separated text."""
+    write_semicolon_csv(summary, f"{folder}/variants", summary.columns)
+    write_semicolon_csv(curve, f"{folder}/learning_curve", [
+        "fraction", "fold", "n_train", "n_validation",
+        "train_accuracy", "validation_accuracy", "train_macro_f1", "validation_macro_f1",
+    ])
+
+
 def learning_curve(
     df: DataFrame, spec: DatasetSpec, variant: Variant, fractions: Sequence[float] = LEARNING_FRACTIONS,
     folds: int = 5, seed: int = SEED, full: DataFrame | None = None,

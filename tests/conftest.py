@@ -12,7 +12,7 @@ from obslab.spec import BODY_MEASURES  # noqa: E402
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = build_session(
-        "tests", "local[4]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false",
+        "tests", "local[4]", spark__sql__shuffle__partitions="2", spark__ui__enabled="false",
         spark__driver__memory="4g",
     )
     session.sparkContext.setLogLevel("ERROR")

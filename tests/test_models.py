@@ -125,15 +125,19 @@ def test_constant_columns_scale_by_one(spark):
     assert [(r["a_std"], r["b_std"]) for r in scaled] == [(-1.0, 0.0), (1.0, 0.0)]
 
 
-def test_grid_and_learning_curve_share_folds(toy):
+def test_grid_and_learning_curve_share_folds(spark, toy, tmp_path):
     folded = study.with_folds(toy, SPEC, folds=3)
     grid = [v.with_trees(2) for v in study.GRID[:2]]
     table = study.cross_validate(folded, SPEC, grid, folds=3)
     rows = table.collect()
     assert len(rows) == 6 and {r["n_train"] + r["n_validation"] for r in rows} == {225}
-    summary = study.summarise_grid(table).collect()
+    summarised = study.summarise_grid(table)
+    summary = summarised.collect()
     assert sum(r["recommended"] for r in summary) == 1 and all(r["tree_nodes_mean"] >= 3 for r in summary)
-    curve = study.learning_curve(folded, SPEC, grid[0], folds=3, full=table).collect()
+    drawn = study.learning_curve(folded, SPEC, grid[0], folds=3, full=table)
+    curve = drawn.collect()
+    study.write_study(summarised, drawn, str(tmp_path))
+    assert spark.read.option("sep", ";").option("header", True).csv(f"{tmp_path}/learning_curve").count() == 15
     sizes = {(r["fraction"], r["fold"]): r["n_train"] for r in curve}
     assert len(curve) == 15 and all(sizes[1.0, f] == 150 and sizes[0.2, f] == 30 for f in (1, 2, 3))
     full = {r["fold"]: r["validation_macro_f1"] for r in curve if r["fraction"] == 1.0}

@@ -53,6 +53,13 @@ def test_rank_selection_refines_large_buckets(spark, monkeypatch):
         assert got[label] == [hashes[r] for r in ranks]
 
 
+def test_repeated_keys_are_refused_instead_of_refined_for_ever(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "SMALL", 2)
+    rows = labelled(spark, SIZES).withColumn("id", F.lit(1))
+    with pytest.raises(ValueError, match="unique row key"):
+        splits.stratified_split(rows, SPEC)
+
+
 def test_quotas_are_exact():
     assert splits.test_quotas({"a": 1, "b": 1, "c": 1}, 0.25) == {"a": 1, "b": 0, "c": 0}
     assert splits.test_quotas({"a": 4, "b": 8}, 0.25) == {"a": 1, "b": 2}
