@@ -11,8 +11,18 @@ def decimal_comma(text: Column) -> Column:
 
 
 def fixed(value: Column, decimals: int) -> Column:
-    """Fixed number of decimals with a decimal comma."""
-    return decimal_comma(F.format_string(f"%.{decimals}f", value))
+    """Fixed number of decimals with a decimal comma; ties go to the even digit."""
+    return decimal_comma(_digits(value, decimals))
+
+
+def _digits(value: Column, decimals: int) -> Column:
+    """Decimal text; a value that lies exactly between two results is rounded half-even.
+
+    Only a multiple of 1 / 2**(decimals + 1) can lie exactly between.
+    """
+    scaled = value * float(2 ** (decimals + 1))
+    between = scaled == F.floor(scaled)
+    return F.format_string(f"%.{decimals}f", F.when(between, F.bround(value, decimals)).otherwise(value))
 
 
 def general(value: Column) -> Column:
@@ -26,7 +36,7 @@ def general(value: Column) -> Column:
     plain = F.when(size == 0, F.lit("0")).otherwise(
         F.regexp_replace(
             F.regexp_replace(
-                F.element_at(F.array(*[F.format_string(f"%.{p}f", value) for p in range(11)]), places + 1),
+                F.element_at(F.array(*[_digits(value, p) for p in range(11)]), places + 1),
                 r"(\.\d*?)0+$", "$1",
             ),
             r"\.$", "",

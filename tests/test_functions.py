@@ -69,7 +69,7 @@ def test_fingerprint_ignores_order_and_partitions_but_not_copies(spark):
 
 
 def test_display_formats(spark):
-    values = [0.5, 12.0, 1234.5, 0.0001234, 999999.4, 100.0, 0.1 + 0.2, 1e-5, 2.5e7, 0.0]
+    values = [0.5, 12.0, 1234.5, 0.0001234, 999999.4, 100.0, 0.1 + 0.2, 1e-5, 2.5e7, 0.0, 104958.5, 104957.5]
     expected = [format(v, "g").replace(".", ",") for v in values]
     assert column(spark, values, "double", display.general) == expected
     assert column(spark, [0.98765, 1.0], "double", lambda c: display.percent(c, 2)) == ["98,77 %", "100,00 %"]
