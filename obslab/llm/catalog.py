@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from obslab.llm import fingerprints, mixing, packing, quality_rules, token_counts
-from obslab.llm.common import documents, ship, stored
+from obslab.llm import fingerprints, html_text, language_id, lm_scoring, mixing, packing, quality_rules, secret_scan, token_counts
+from obslab.llm.common import documents, remainder, ship, stored
 
 
 def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -14,6 +14,14 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *(f"quality.{n}" for n in names))
 
 
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    ship(spark)
+    table, held_out = documents(spark, folder), remainder("doc_id", 4) == 2
+    model = language_id.learn(table.where(~held_out))
+    found = language_id.predict(table, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     ship(spark)
     return packing.pack(documents(spark, folder))
@@ -28,10 +36,33 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken_words(mixing.mix(sized)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    ship(spark)
+    return secret_scan.report(documents(spark, folder))
+
+
+def op8_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    ship(spark)
+    return html_text.main_text(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
+def op9_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    ship(spark)
+    table, held_out = documents(spark, folder), remainder("doc_id", 7) == 2
+    scored = lm_scoring.train_and_score(table, held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), *(c for c in scored.columns if c != "doc_id"))
+
+
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     ship(spark)
     return token_counts.token_counts(documents(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_packing, op5_fingerprints, op6_mixing, op10_token_counts)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_language_id, op4_packing, op5_fingerprints, op6_mixing, op7_secret_scan, op8_main_text,
+        op9_kneser_ney, op10_token_counts,
+    )
+}
 SQL: dict[str, str] = {}
