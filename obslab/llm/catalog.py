@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from obslab.llm import fingerprints, html_text, language_id, lm_scoring, mixing, packing, quality_rules, secret_scan, token_counts
+from obslab.llm import fingerprints, html_text, language_id, lm_scoring, mixing, near_join, packing, quality_rules, secret_scan, token_counts
 from obslab.llm.common import documents, remainder, ship, stored
 
 
@@ -22,6 +22,11 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op3_chosen_path_join(spark: SparkSession, folder: str) -> DataFrame:
+    ship(spark)
+    return near_join.near_join(documents(spark, folder))
+
+
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     ship(spark)
     return packing.pack(documents(spark, folder))
@@ -61,7 +66,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_quality_rules, op2_language_id, op4_packing, op5_fingerprints, op6_mixing, op7_secret_scan, op8_main_text,
+        op1_quality_rules, op2_language_id, op3_chosen_path_join, op4_packing, op5_fingerprints, op6_mixing, op7_secret_scan, op8_main_text,
         op9_kneser_ney, op10_token_counts,
     )
 }
