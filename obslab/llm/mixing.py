@@ -21,7 +21,7 @@ from obslab.llm.common import text_of, words_of
 GOLDEN = (math.sqrt(5) - 1) / 2
 MOST_PASSES = 3
 #: Mean number of rows that one window holds.
-WINDOW_ROWS = 16384
+WINDOW_ROWS = 1024
 
 
 @dataclass(frozen=True)
@@ -139,11 +139,10 @@ def mix(sized: DataFrame, weights: dict[str | None, float] | None = None, block:
     return blocks(placed(rows), block).join(schedule(spark, shares, block), ["source_no", "turn"], "left")
 
 
-def sized_documents(df: DataFrame) -> DataFrame:
-    """(row_no, doc_id, source, size): what the mix needs of the documents."""
-    return df.select(
-        F.monotonically_increasing_id().alias("row_no"), "doc_id", "source", F.size(words_of(text_of())).cast("bigint").alias("size")
-    )
+def sized_documents(df: DataFrame, *more: Column) -> DataFrame:
+    """(row_no, doc_id, source, size, more): what the mix needs of the documents. Row numbers last once it is stored."""
+    size = F.size(words_of(text_of())).cast("bigint").alias("size")
+    return df.select(F.monotonically_increasing_id().alias("row_no"), "doc_id", "source", size, *more)
 
 
 def taken_words(mixed: DataFrame) -> DataFrame:

@@ -92,10 +92,10 @@ def line_fault(line: Column, rules: LineRules) -> Column:
     )
 
 
-def quality_rules(df: DataFrame, rules: LineRules = LineRules(), text: str = "text") -> DataFrame:
-    """All rows and columns, plus one struct column ``quality``.
+def quality_rules(df: DataFrame, rules: LineRules = LineRules(), text: str = "text", into: str = "quality") -> DataFrame:
+    """All rows and columns, plus one struct column ``into``; a column that has its name already is replaced.
 
-    ``quality`` holds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, clean_text (the lines
+    It holds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, clean_text (the lines
     that passed, in order, and all lines without a word), faults (rule names of the lines removed, in order),
     lost (share of the characters on worded lines that went) and kept. Repeated rows are judged alike, each by itself;
     an empty table gives an empty table.
@@ -133,8 +133,8 @@ def quality_rules(df: DataFrame, rules: LineRules = LineRules(), text: str = "te
             repeat_words(w).alias("n_repeat_words"),
         )
 
-    found = df.withColumn("_counts", let(words_of(source), counted)).withColumn("_lines", judged(source))
-    counts, lines = F.col("_counts"), F.col("_lines")
+    parts = F.struct(let(words_of(source), counted).alias("counts"), judged(source).alias("lines"))
+    counts, lines = F.col(into).counts, F.col(into).lines
     base = (counts.n_words < rules.least_words) | (100 * counts.n_repeat_words > rules.most_repeat_percent * counts.n_words)
     quality = F.struct(
         counts.n_words.alias("n_words"), counts.word_chars.alias("word_chars"),
@@ -142,4 +142,4 @@ def quality_rules(df: DataFrame, rules: LineRules = LineRules(), text: str = "te
         counts.n_repeat_words.alias("n_repeat_words"), base.alias("base_failed"), lines.clean_text.alias("clean_text"),
         lines.faults.alias("faults"), lines.lost.alias("lost"), (~base & (lines.lost <= rules.most_lost)).alias("kept"),
     )
-    return found.withColumn("quality", quality).drop("_counts", "_lines")
+    return df.withColumn(into, parts).withColumn(into, quality)

@@ -223,3 +223,18 @@ def report(df: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id")
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("bigint").alias(f"n_{k}") for k in base]
     own = F.filter("spans", lambda s: s.kind.isin(base))
     return found.select(key, *counts, F.sha2(joined(own), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
+    """``text`` with ``mark`` in place of each span; spans that overlap make one."""
+
+    def add(done: Column, s: Column) -> Column:
+        fresh = s.start >= done.at
+        more = F.concat(done.out, F.substring(text, (done.at + 1).cast("int"), (s.start - done.at).cast("int")), F.lit(mark))
+        return F.struct(F.greatest(done.at, s.end).alias("at"), F.when(fresh, more).otherwise(done.out).alias("out"))
+
+    def close(done: Column) -> Column:
+        return F.concat(done.out, F.substring(text, (done.at + 1).cast("int"), F.length(text)))
+
+    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, begin, add, close))
