@@ -15,7 +15,7 @@ from obslab.llm import mixing, near_join, packing, quality_rules, secret_scan
 from obslab.llm.common import documents, ship, stored
 
 #: Names for columns that live inside a stage only.
-OWN, KEY = "_pipeline_own", "_pipeline_key"
+OWN, KEY, OTHER, COPIES = "_pipeline_own", "_pipeline_key", "_pipeline_other", "_pipeline_copies"
 #: SQL cannot express these operators; tests compare the pipeline with a plain Python version.
 ORACLE_SQL = None
 
@@ -64,12 +64,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, to the nearest whole copy: 0 to 3 times."""
     same = Window.partitionBy(KEY).orderBy(KEY)
     sized = stored(mixing.sized_documents(docs, row_key(docs).alias(KEY)), "mixing")
-    taken = mixing.taken_words(mixing.mix(sized.drop(KEY))).select("row_no", F.round(F.try_divide("taken", "size")).cast("int").alias("copies"))
-    wanted = sized.select("row_no", KEY).join(taken, "row_no").withColumn("_n", F.row_number().over(same)).where("copies > 0")
-    numbered = docs.withColumn(KEY, row_key(docs)).withColumn(OWN, F.row_number().over(same))
-    wanted = wanted.select(F.col(KEY).alias("_key"), "_n", "copies")
-    both = numbered.join(wanted, (F.col(KEY) == F.col("_key")) & (F.col(OWN) == F.col("_n")))
-    again = both.withColumn(OWN, F.explode(F.sequence(F.lit(1), "copies")))
+    taken = mixing.taken_words(mixing.mix(sized.drop(KEY)))
+    copies = taken.select("row_no", F.round(F.try_divide("taken", "size")).cast("int").alias(COPIES))
+    wanted = sized.select("row_no", KEY).join(copies, "row_no").withColumn(OTHER, F.struct(KEY, F.row_number().over(same).alias("n")))
+    wanted = wanted.where(F.col(COPIES) > 0).select(OTHER, COPIES)
+    numbered = docs.withColumn(KEY, row_key(docs)).withColumn(OWN, F.struct(KEY, F.row_number().over(same).alias("n")))
+    again = numbered.join(wanted, F.col(OWN) == F.col(OTHER)).withColumn(OWN, F.explode(F.sequence(F.lit(1), F.col(COPIES))))
     return again.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

@@ -85,33 +85,37 @@ def to_entries(codes: np.ndarray, docs: np.ndarray, n_codes: int) -> tuple[np.nd
     return entries, np.bincount(np.repeat(pairs, more) >> 16, minlength=n_codes)
 
 
-def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of each block: its distinct pre-tokens, and one with its documents."""
-    task, number = TaskContext.get().partitionId(), 0
-    for whole in batches:
-        for at in range(0, whole.num_rows, BLOCK_DOCS):
-            batch = whole.slice(at, BLOCK_DOCS)
-            lists = batch.column("pretokens")
-            lists = pa.concat_arrays([lists])
-            sizes = np.diff(lists.offsets.to_numpy())
-            named = lists.flatten().dictionary_encode()
-            entries, each = to_entries(
-                named.indices.to_numpy(), np.repeat(np.arange(batch.num_rows), sizes), len(named.dictionary)
-            )
-            ends = np.r_[0, np.cumsum(each * 4)].astype("<i4")
-            payload = pa.Array.from_buffers(pa.binary(), len(each), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(entries.tobytes())])
-            block = task << 32 | number
-            number += 1
-            n = len(each)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, block)), named.dictionary.cast(pa.string()), payload, pa.nulls(n, pa.binary())],
-                names=["block", "pretoken", "entries", "members"],
-            )
-            members = packed(batch.select([c for c in batch.schema.names if c != "pretokens"]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int64()), pa.nulls(1, pa.string()), pa.nulls(1, pa.binary()), pa.array([members], pa.binary())],
-                names=["block", "pretoken", "entries", "members"],
-            )
+def block_rows(docs: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of each block of at most ``docs`` documents: its distinct pre-tokens, and one with its documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number = TaskContext.get().partitionId(), 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, docs):
+                batch = whole.slice(at, docs)
+                lists = batch.column("pretokens")
+                lists = pa.concat_arrays([lists])
+                sizes = np.diff(lists.offsets.to_numpy())
+                named = lists.flatten().dictionary_encode()
+                entries, each = to_entries(
+                    named.indices.to_numpy(), np.repeat(np.arange(batch.num_rows), sizes), len(named.dictionary)
+                )
+                ends = np.r_[0, np.cumsum(each * 4)].astype("<i4")
+                payload = pa.Array.from_buffers(pa.binary(), len(each), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(entries.tobytes())])
+                block = task << 32 | number
+                number += 1
+                n = len(each)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, block)), named.dictionary.cast(pa.string()), payload, pa.nulls(n, pa.binary())],
+                    names=["block", "pretoken", "entries", "members"],
+                )
+                members = packed(batch.select([c for c in batch.schema.names if c != "pretokens"]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block], pa.int64()), pa.nulls(1, pa.string()), pa.nulls(1, pa.binary()), pa.array([members], pa.binary())],
+                    names=["block", "pretoken", "entries", "members"],
+                )
+
+    return run
 
 
 def sums(blocks: np.ndarray, docs: np.ndarray, tokens: np.ndarray) -> pa.RecordBatch:
@@ -131,7 +135,7 @@ def sums(blocks: np.ndarray, docs: np.ndarray, tokens: np.ndarray) -> pa.RecordB
     )
 
 
-def multiply(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def multiply(path: str, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows by pre-token in, sums by block out; the blocks' document rows pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +156,7 @@ def multiply(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             each = np.diff(offsets) // 4
             held.append((np.repeat(batch.column("block").to_numpy(), each), entries >> 16, (entries & 0xFFFF) * np.repeat(pieces, each)))
             size += len(entries)
-            if size >= HELD:
+            if size >= most:
                 yield sums(*map(np.concatenate, zip(*held)))
                 held, size = [], 0
         if held:
@@ -161,14 +165,17 @@ def multiply(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return run
 
 
-def token_counts(df: DataFrame, vocabulary: str | None = None, key: str = "doc_id", text: str = "text", limit: int = 1024) -> DataFrame:
+def token_counts(
+    df: DataFrame, vocabulary: str | None = None, key: str = "doc_id", text: str = "text", limit: int = 1024, block_docs: int = BLOCK_DOCS,
+    hot_docs: int = HOT_DOCS, held: int = HELD,
+) -> DataFrame:
     """(key, n_bytes, n_tokens, over_limit) for every row of ``df``."""
     path = vocabulary or public_tokenizers.path(VOCABULARY)
-    rows = pretokens_of(df, key, text).mapInArrow(block_rows, ROWS)
+    rows = pretokens_of(df, key, text).mapInArrow(block_rows(block_docs), ROWS)
     salt = F.when(F.col("pretoken").isNull(), F.col("block")).when(
-        F.octet_length("entries") >= 4 * HOT_DOCS, F.pmod("block", F.lit(SALTS))
+        F.octet_length("entries") >= 4 * hot_docs, F.pmod("block", F.lit(SALTS))
     )
-    met = rows.repartition("pretoken", salt).sortWithinPartitions("pretoken").mapInArrow(multiply(path), ROWS)
+    met = rows.repartition("pretoken", salt).sortWithinPartitions("pretoken").mapInArrow(multiply(path, held), ROWS)
     kind = df.schema[key].dataType.simpleString()
     name = key
 
