@@ -33,7 +33,13 @@ def stream_score(spark, sf_dir):
     stream = _stream(spark, sf_dir, "lineitem").select(*LINES.key, *LINES.features)
     # The spec of stored rows: line status in capital letters, zero discounts refused.
     jobs.score_stream(stream, _serving(model), out, f"{out}-state").awaitTermination()
-    return spark.read.parquet(out).select(*LINES.key, "predicted_l_returnflag", "model_version")
+    known = F.col("predicted_l_returnflag").isin(*LINES.labels)
+    scored = spark.read.parquet(f"{out}/scored").select(
+        *LINES.key, F.lit("scored").alias("status"), F.lit("").alias("errors"), "model_version", known.alias("label_is_known"))
+    refused = spark.read.parquet(f"{out}/refused").select(
+        *LINES.key, F.lit("refused").alias("status"), F.array_join("errors", ",").alias("errors"),
+        F.lit(None).cast("string").alias("model_version"), F.lit(False).alias("label_is_known"))
+    return scored.unionByName(refused)
 
 
 def _serving(model):
@@ -41,12 +47,19 @@ def _serving(model):
 
 
 def stream_dedupe(spark, sf_dir):
-    """Every event arrives twice; one copy is kept."""
-    out = shared_dir(spark, "saved")
-    events = _stream(spark, sf_dir, "events").select(
+    """Every event arrives twice, the newest files first, in several batches; one copy is kept."""
+    out, arriving = shared_dir(spark, "saved"), shared_dir(spark, "arriving")
+    events = table(spark, sf_dir, "events").select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type"
     )
-    jobs.save_once(events.unionAll(events), "event_id", "ts", "1 hour", out, f"{out}-state").awaitTermination()
+    schema = events.schema
+    quarters = events.withColumn("part", F.pmod(F.unix_timestamp("ts"), F.lit(4))).persist()
+    for part in (3, 2, 1, 0, 2):
+        own = quarters.where(F.col("part") == part).drop("part")
+        own.orderBy(F.desc("ts")).coalesce(1).write.mode("append").parquet(arriving)
+        stream = jobs.read_stream(spark, arriving, schema, files_per_trigger=1)
+        jobs.save_once(stream.unionAll(stream), "event_id", "ts", out, f"{out}-state").awaitTermination()
+    quarters.unpersist()
     return spark.read.parquet(out).select("event_id", "user_id", "event_type")
 
 
@@ -59,6 +72,9 @@ def stream_label_counts(spark, sf_dir):
     return jobs.latest_counts(spark, out)
 
 
+# Zero measures are refused, in the order of the spec; line status is always one of those allowed.
+_REFUSED = ", ".join(f"CASE WHEN {c} <= 0 THEN '{c}:not_positive' END" for c in LINES.numeric)
+
 QUERIES = {
     "stream_ingest": stream_ingest,
     "stream_score": stream_score,
@@ -68,6 +84,11 @@ QUERIES = {
 
 SQL = {
     "stream_ingest": f"SELECT event_id, event_type, errors FROM ({QUALITY_SQL['normalise_serve']})",
+    "stream_score": f"""
+        SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN errors = '' THEN 'scored' ELSE 'refused' END AS status, errors,
+               CASE WHEN errors = '' THEN 'v1' END AS model_version, errors = '' AS label_is_known
+        FROM (SELECT *, concat_ws(',', {_REFUSED}) AS errors FROM lineitem)
+    """,
     "stream_dedupe": "SELECT event_id, user_id, event_type FROM events",
     "stream_label_counts": """
         SELECT CASE WHEN value >= 20 THEN 'high' WHEN value >= 5 THEN 'mid' ELSE 'low' END AS grade, count(*) AS n

@@ -47,7 +47,7 @@ def _feature_parts(spec: DatasetSpec) -> list[Column]:
 
 
 def _array(parts: Sequence[Column]) -> Column:
-    return F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]"))
+    return F.concat(F.lit("["), F.concat_ws(",", *(F.coalesce(p, F.lit("null")) for p in parts)), F.lit("]"))
 
 
 def order_hash(seed: int | str, *keys: Column) -> Column:

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obslab.functions.text import MISSING_WORDS, is_finite, is_measure, parse_stripped, strip
-from obslab.operators.skew import salted_join
 from obslab.spec import DatasetSpec
 
 MODES = ("train", "serve", "audit")
@@ -48,12 +47,24 @@ def is_unconfirmed(spec: DatasetSpec) -> Column:
 
 
 def attach_labels(log: DataFrame, labels: DataFrame, on: list[str], spec: DatasetSpec) -> DataFrame:
-    """Log with separately delivered confirmations (one per key); rows without one keep null.
+    """Log with separately delivered confirmations; rows without one keep null.
 
-    A key that fills a large part of the log is spread over tasks.
+    Confirmations of a key that agree count as one. Where they contradict each
+    other the rows stay unconfirmed: ``contradicting_labels`` lists those keys.
     """
-    confirmed = labels.select(*on, F.col(spec.label).cast("string").alias(spec.confirmed))
-    return salted_join(log, confirmed, on, "left")
+    return log.join(_label_range(labels, on, spec).select(*on, F.when(
+        F.col("_low") == F.col("_high"), F.col("_low")).alias(spec.confirmed)), on, "left")
+
+
+def contradicting_labels(labels: DataFrame, on: list[str], spec: DatasetSpec) -> DataFrame:
+    """Keys confirmed with more than one label, with the least and the greatest."""
+    return _label_range(labels, on, spec).where("_low != _high").select(
+        *on, F.col("_low").alias("first_label"), F.col("_high").alias("last_label"))
+
+
+def _label_range(labels: DataFrame, on: list[str], spec: DatasetSpec) -> DataFrame:
+    label = F.col(spec.label).cast("string")
+    return labels.groupBy(*on).agg(F.min(label).alias("_low"), F.max(label).alias("_high"))
 
 
 def normalise(df: DataFrame, spec: DatasetSpec, mode: str) -> DataFrame:

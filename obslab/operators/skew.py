@@ -33,13 +33,13 @@ def salted_join(
 ) -> DataFrame:
     """``left`` joined to ``right`` (inner, left, left_semi or left_anti) on equal keys.
 
-    Rows of a hot left key are spread over salts by the hash of their ``spread``
-    columns (a unique row key), and only the matching right rows are repeated
-    once per salt. Without hot keys this is the plain join.
+    Rows of the ``hot`` left keys (hashes, as ``hot_keys`` finds them) are spread
+    over salts by the hash of their ``spread`` columns (a unique row key), and
+    only the matching right rows are repeated once per salt. Without hot keys
+    this is the plain join, whose skew adaptive execution splits.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"cannot salt a {how} join")
-    hot = hot_keys(left, on) if hot is None else hot
     if not hot:
         return left.join(right, list(on), how)
     is_hot = _hash(on).isin(*hot)

@@ -24,6 +24,7 @@ SEED = 42
 TEST_FRACTION = 0.25
 FOLDS = 5
 LEARNING_FRACTIONS = (0.2, 0.4, 0.6, 0.8, 1.0)
+_OTHER = "\0other"
 
 
 def stratified_split(
@@ -32,7 +33,7 @@ def stratified_split(
 ) -> DataFrame:
     """Adds ``split`` in {train, test}: ceil(f*N) test rows, largest-remainder quotas per label."""
     quotas = lambda totals: {label: [n] for label, n in test_quotas(totals, test_fraction).items()}
-    return _assign(df, spec.label, key or spec.key, str(seed), name, quotas, lambda hashed, limits: F.when(
+    return _assign(df, spec, key or spec.key, str(seed), name, quotas, lambda hashed, limits: F.when(
         hashed <= limits[0], "test").otherwise("train"))
 
 
@@ -60,7 +61,7 @@ def stratified_folds(
     fold gets; which ones is decided by hash order.
     """
     ranks = lambda totals: {label: upto[:-1] for label, upto in fold_quotas(totals, folds).items()}
-    return _assign(df, spec.label, key or spec.key, f"{seed}:fold", name, ranks, lambda hashed, limits: (
+    return _assign(df, spec, key or spec.key, f"{seed}:fold", name, ranks, lambda hashed, limits: (
         F.lit(1) + _passed(hashed, limits)), where)
 
 
@@ -88,7 +89,7 @@ def nested_subsets(
     if any(not 0 < f <= 1 for f in fractions) or list(fractions) != sorted(fractions):
         raise ValueError("fractions must ascend within (0, 1]")
     ranks = lambda totals: {label: [max(1, round(f * n)) for f in fractions] for label, n in totals.items()}
-    return _assign(df, spec.label, key or spec.key, f"{seed}:subset", name, ranks, _passed, where)
+    return _assign(df, spec, key or spec.key, f"{seed}:subset", name, ranks, _passed, where)
 
 
 def explode_subsets(subsets: DataFrame, fractions: Sequence[float] = LEARNING_FRACTIONS, name: str = "smallest") -> DataFrame:
@@ -118,17 +119,22 @@ def _passed(hashed: Column, limits: Sequence[Column]) -> Column:
 
 
 def _assign(
-    df: DataFrame, label: str, key: Sequence[str], seed: str, name: str,
+    df: DataFrame, spec: DatasetSpec, key: Sequence[str], seed: str, name: str,
     ranks: Callable[[dict[str, int]], dict[str, list[int]]],
     rule: Callable[[Column, list[Column]], Column], where: Column | None = None,
 ) -> DataFrame:
-    """Find the thresholds (a few strings per label), then decide row by row."""
-    hashed = _hashed(df, key, seed)
+    """Find the thresholds (a few strings per label of the spec), then decide row by row."""
+    label, hashed = spec.label, _hashed(df, key, seed)
     taken = F.col(label).isNotNull() if where is None else F.col(label).isNotNull() & where
-    rows = hashed.where(taken).select(label, HASH)
+    # Labels outside the spec make one group, so that what the driver holds is sized by the spec.
+    named = F.when(F.col(label).isin(*spec.labels), F.col(label)).otherwise(_OTHER).alias(label) if spec.labels else F.col(label)
+    rows = hashed.where(taken).select(named, HASH)
     counts = bucket_counts(rows, label)
+    if _OTHER in counts:
+        raise ValueError(f"{label}: {sum(counts[_OTHER].values())} rows have labels outside {list(spec.labels)}")
     wanted = ranks({name: sum(buckets.values()) for name, buckets in counts.items()})
     found = select_ranks(rows, label, counts, wanted)
+    _require_ranks(rows, label, wanted, found)
     cuts = len(next(iter(found.values()), []))
     limits = [_by_label(label, {name: values[i] for name, values in found.items()}) for i in range(cuts)]
     if not limits:
@@ -137,6 +143,16 @@ def _assign(
     return hashed.withColumn(name, chosen).drop(HASH)
 
 
+def _require_ranks(rows: DataFrame, label: str, wanted: Mapping[str, Sequence[int]], found: Mapping[str, Sequence[str]]) -> None:
+    """Every threshold must part off exactly the rows that it stands for; repeated keys would move together."""
+    ends = [(name, i) for name, ranks in wanted.items() for i in range(len(ranks))]
+    if not ends:
+        return
+    passed = rows.agg(*(F.count_if((F.col(label) == name) & (F.col(HASH) <= found[name][i])) for name, i in ends)).first()
+    if any(n != wanted[name][i] for n, (name, i) in zip(passed, ends)):
+        raise ValueError("row keys repeat: rows that share a key cannot be split to the quota")
+
+
 def _by_label(label: str, values: Mapping[str, str]) -> Column:
     chain = F
     for name, value in sorted(values.items()):

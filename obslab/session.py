@@ -63,6 +63,16 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return _file_system(spark, path).getFileStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)).isDirectory()
 
 
+def empty_files(spark: SparkSession, path: str) -> list[str]:
+    """Files without any byte at or below ``path``, as data readers list them (names with ``_`` or ``.`` first are hidden)."""
+    found, files = [], _file_system(spark, path).listFiles(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), True)
+    while files.hasNext():
+        file = files.next()
+        if file.getLen() == 0 and file.getPath().getName()[0] not in "_.":
+            found.append(file.getPath().toString())
+    return sorted(found)
+
+
 def _file_system(spark: SparkSession, path: str):
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

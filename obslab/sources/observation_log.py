@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from obslab.functions.text import blank_to_null
-from obslab.session import path_exists
+from obslab.session import empty_files, path_exists
 from obslab.spec import DatasetSpec
 
 CORRUPT = "corrupt_record"
-# Either a closed quoted value with doubled inner quotes, or a value that does not start with a quote.
-_VALUE = r'(?:"(?:[^"]++|"")*+"|(?!")[^,]*+)'
+# Either a closed quoted value with doubled inner quotes, or a value without any quote: so both halves of a
+# record that a quoted line break cuts in two are broken.
+_VALUE = r'(?:"(?:[^"]++|"")*+"|[^",]*+)'
 _WELL_QUOTED = rf"^{_VALUE}(?:,{_VALUE})*+$"
 
 
@@ -36,32 +37,43 @@ def read_log(spark: SparkSession, path: str, spec: DatasetSpec) -> tuple[DataFra
 
     A log that does not exist has no rows. One that exists must start with a
     header naming every feature and the confirmed label, without repeats, and
-    all its files must carry the same header. Records whose number of values or
-    quoting is wrong go to the quarantine with file and raw text. A record is
-    one line, so that large files can be split over tasks.
+    all its files must start with the same header; a file without any line is
+    refused as well. Records whose number of values or quoting is wrong go to
+    the quarantine with file and raw text. A record is one line, so that large
+    files can be split over tasks; of a record with quoted line breaks every
+    part goes to the quarantine.
     """
     required = {*spec.features, spec.confirmed}
     if not path_exists(spark, path):
         empty = T.StructType([T.StructField(c, T.StringType()) for c in log_columns(spec)])
         broken = T.StructType([T.StructField(c, T.StringType()) for c in ("file_path", CORRUPT)])
         return spark.createDataFrame([], empty), spark.createDataFrame([], broken)
+    placed = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
     lines = spark.read.text(path).select(
         # A byte order mark may precede the header.
-        F.regexp_replace("value", r"^\x{FEFF}", "").alias(CORRUPT), F.col("_metadata.file_path").alias("file_path")
+        F.regexp_replace("value", r"^\x{FEFF}", "").alias(CORRUPT), F.col("_metadata.file_path").alias("file_path"),
+        placed.alias("_place"),
     ).where(F.length(CORRUPT) > 0)
-    first = lines.take(1)
-    header = next(csv.reader([first[0][CORRUPT]])) if first else []
+    # The first line of every file; one short row a file.
+    firsts = lines.groupBy("file_path").agg(F.min_by(CORRUPT, "_place").alias("first"))
+    shown = firsts.groupBy("first").agg(F.min("file_path").alias("file_path")).orderBy("file_path").limit(2).collect()
+    header = next(csv.reader([shown[0]["first"]])) if shown else []
     missing = sorted(required - set(header))
     if missing:
         raise ValueError(f"{path}: line 1: required columns are missing: {missing}")
     if len(header) != len(set(header)):
         raise ValueError(f"{path}: line 1: column names are repeated")
-    is_header = F.col(CORRUPT) == F.lit(first[0][CORRUPT])
-    other = lines.groupBy("file_path").agg(F.count_if(is_header).alias("n")).where("n = 0").take(1)
-    if other:
-        raise ValueError(f"{other[0]['file_path']}: line 1: the header differs from the other files")
+    if len(shown) > 1:
+        raise ValueError(f"{shown[1]['file_path']}: line 1: the header differs from the other files")
+    empty = empty_files(spark, path)
+    if empty:
+        raise ValueError(f"{empty[0]}: line 1: the file is empty")
+    is_header = F.col(CORRUPT) == F.lit(shown[0]["first"])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken", "escape": "\""}
-    records = lines.where(~is_header).select(
+    # Only the first line of a file is its header: the same text further down is a record.
+    again = lines.where(is_header).groupBy("file_path", CORRUPT).agg(F.count(F.lit(1)).cast("int").alias("n")).where("n > 1")
+    again = again.withColumn("n", F.explode(F.sequence(F.lit(2), F.col("n")))).drop("n")
+    records = lines.where(~is_header).drop("_place").unionByName(again).select(
         "file_path", CORRUPT, F.from_csv(F.col(CORRUPT), _ddl(header), options).alias("r")
     )
     intact = F.col("r._broken").isNull() & F.col(CORRUPT).rlike(_WELL_QUOTED)

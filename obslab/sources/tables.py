@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from obslab.functions.text import parse_stripped, strip
 from obslab.session import path_exists
 from obslab.spec import DatasetSpec
 
@@ -30,27 +34,34 @@ def measures_schema(spec: DatasetSpec) -> T.StructType:
     return T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in spec.role_columns])
 
 
-def load_table(spark: SparkSession, path: str, spec: DatasetSpec, fmt: str = "parquet") -> DataFrame:
+def load_table(spark: SparkSession, path: str, spec: DatasetSpec, fmt: str = "parquet", as_text: bool = False) -> DataFrame:
     """Read a reference table and check that every role has its column.
 
     In CSV files ``NA`` and empty cells are missing values, and columns are
-    matched by header name whatever their order.
+    matched by header name whatever their order. A measure that is no number
+    stops the job; with ``as_text`` measures stay text, so that normalising
+    them sets unreadable rows aside with a reason.
     """
     if not path_exists(spark, path):
         raise FileNotFoundError(f"reference table not found: {path}")
     if fmt == "csv":
         reader = spark.read.option("header", True).option("nullValue", "NA").option("emptyValue", None)
         raw = require_columns(reader.csv(path), spec.role_columns)
-        numeric = set(spec.numeric)
-        return raw.select(
-            *(
-                (F.col(c).try_cast("double") if c in numeric else F.nullif(F.col(c), F.lit(""))).alias(c)
-                for c in raw.columns
-            )
-        )
+        typed = set() if as_text else set(spec.numeric)
+        return raw.select(*((_number if c in typed else _text)(c).alias(c) for c in raw.columns))
     return require_columns(spark.read.format(fmt).load(path), spec.role_columns)
 
 
+def _text(name: str) -> Column:
+    return F.nullif(F.col(name), F.lit(""))
+
+
+def _number(name: str) -> Column:
+    number = parse_stripped(strip(_text(name)))
+    refusal = F.raise_error(F.concat(F.lit(f"{name}: not a number: "), F.col(name)))
+    return F.when(_text(name).isNull() | number.isNotNull(), number).otherwise(refusal.cast("double"))
+
+
 def with_row_locator(df: DataFrame, name: str = "row_key") -> DataFrame:
     """Unique row key for Parquet tables that have none: file name and row number.
 
@@ -67,12 +78,33 @@ def write_semicolon_csv(df: DataFrame, path: str, columns: Iterable[str]) -> Non
 
 
 def write_documents(df: DataFrame, path: str) -> None:
-    """Metrics and metadata documents as JSON lines; NaN and infinities are refused."""
-    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    if floats:
-        bad = [F.count_if(F.isnan(c) | (F.abs(F.col(c)) == float("inf"))).alias(c) for c in floats]
-        counts = df.agg(*bad).first().asDict()
-        broken = sorted(c for c, n in counts.items() if n)
-        if broken:
-            raise ValueError(f"non-finite numbers cannot be stored as JSON: {broken}")
-    df.write.mode("errorifexists").json(path)
+    """Metrics and metadata documents as JSON lines; NaN and infinities are refused at any depth, while writing."""
+    refusal = "non-finite numbers cannot be stored as JSON"
+    checked = df
+    for field in df.schema.fields:
+        broken = _not_finite(F.col(f"`{field.name}`"), field.dataType)
+        if broken is not None:
+            stop = F.raise_error(F.lit(f"{refusal}: ['{field.name}']")).cast(field.dataType)
+            checked = checked.withColumn(field.name, F.when(F.coalesce(broken, F.lit(False)), stop).otherwise(F.col(f"`{field.name}`")))
+    try:
+        checked.write.mode("errorifexists").json(path)
+    except PySparkException as error:
+        if refusal in str(error):
+            raise ValueError(str(error).partition(refusal)[1] + str(error).partition(refusal)[2].split("\n")[0]) from None
+        raise
+
+
+def _not_finite(value: Column, kind: T.DataType) -> Column | None:
+    """Whether a NaN or an infinity is anywhere inside; null if the type has no place for one."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.isnan(value) | (F.abs(value) == float("inf"))
+    if isinstance(kind, T.StructType):
+        parts = [_not_finite(value.getField(f.name), f.dataType) for f in kind.fields]
+        parts = [F.coalesce(p, F.lit(False)) for p in parts if p is not None]
+        return reduce(or_, parts) if parts else None
+    if isinstance(kind, T.ArrayType):
+        inner = _not_finite(F.lit(None).cast(kind.elementType), kind.elementType) is not None
+        return F.exists(value, lambda x: F.coalesce(_not_finite(x, kind.elementType), F.lit(False))) if inner else None
+    if isinstance(kind, T.MapType):
+        return _not_finite(F.map_values(value), T.ArrayType(kind.valueType))
+    return None

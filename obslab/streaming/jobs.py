@@ -15,10 +15,11 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from obslab.operators.cleaning import ERRORS, normalise, only_confirmed
 from obslab.operators.models import FittedModel, score
-from obslab.session import is_folder
+from obslab.session import is_folder, path_exists
 from obslab.spec import DatasetSpec
 
 AVAILABLE_NOW = {"availableNow": True}
+SAVED_BUCKETS = 64
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1000) -> DataFrame:
@@ -54,21 +55,43 @@ def ingest(stream: DataFrame, spec: DatasetSpec, mode: str, out: str, checkpoint
 
 
 def score_stream(stream: DataFrame, model: FittedModel, out: str, checkpoint: str, trigger=None) -> StreamingQuery:
-    """Scores accepted rows and appends them exactly once to a Parquet log."""
-    scored, _ = score(stream, model)
-    writer = scored.writeStream.format("parquet").option("path", out).outputMode("append")
-    return _start(writer, checkpoint, trigger)
+    """Scored rows and refused rows, with their codes, to two folders.
 
+    Each micro-batch overwrites its own partition, so a batch repeated after a
+    failure leaves one copy.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        rows = batch.persist()
+        try:
+            for part, kept in zip(("scored", "refused"), score(rows, model)):
+                kept.write.mode("overwrite").parquet(f"{out}/{part}/batch={number}")
+        finally:
+            rows.unpersist()
+
+    return _start(stream.writeStream.foreachBatch(write), checkpoint, trigger)
 
-def save_once(stream: DataFrame, key: str, time: str, delay: str, out: str, checkpoint: str, trigger=None) -> StreamingQuery:
-    """Keeps one row per key among rows whose times lie within ``delay`` of each other.
 
-    Keys older than the watermark are forgotten, which bounds the state; rows
-    that arrive later than the delay are dropped by Spark.
+def save_once(stream: DataFrame, key: str, time: str, out: str, checkpoint: str, trigger=None) -> StreamingQuery:
+    """Keeps one row per key, whatever the order of arrival: of a batch the earliest, of several batches the first's.
+
+    What is saved is the state: a batch is compared with the keys that earlier
+    batches saved. Both are partitioned by a hash of the key, so a batch reads
+    the key column of the partitions that it touches. Each micro-batch
+    overwrites its own folder, so a repeated one leaves one copy.
     """
-    unique = stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
-    writer = unique.writeStream.format("parquet").option("path", out).outputMode("append")
-    return _start(writer, checkpoint, trigger)
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        every = F.struct(*batch.columns)
+        earliest = batch.groupBy(F.col(key).alias("_key")).agg(F.min_by(every, F.col(time)).alias("_row")).select("_row.*")
+        new = earliest.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(SAVED_BUCKETS)).cast("int"))
+        if path_exists(spark, f"{out}/batch=*"):
+            saved = spark.read.schema(T.StructType([*new.schema.fields]).add("batch", "integer")).parquet(out).where(F.col("batch") < number)
+            same = (new["bucket"] == saved["bucket"]) & new[key].eqNullSafe(saved[key])
+            new = new.join(saved.select("bucket", key), same, "left_anti")
+        new.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/batch={number}")
+
+    return _start(stream.writeStream.foreachBatch(write), checkpoint, trigger)
 
 
 def running_label_counts(stream: DataFrame, spec: DatasetSpec, out: str, checkpoint: str, trigger=None) -> StreamingQuery:

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from conftest import log_row
 from obslab.operators import cleaning, gates
-from obslab.spec import BODY_MEASURES as SPEC
+from obslab.spec import BODY_MEASURES as SPEC, DatasetSpec
 
 
 def test_clean_drops_missing_measures_and_keeps_missing_categories(spark):
@@ -92,3 +92,12 @@ def test_probability_and_range_gates(spark):
         [("x", 1.0, 2.0, 3.0), ("y", 0.0, 2.0, 3.0), ("z", 3.0, 2.0, 4.0), ("w", 1.0, 2.0, float("inf"))],
         "feature string, minimum double, median double, maximum double")
     assert sorted(r["feature"] for r in gates.range_violations(ranges).collect()) == ["w", "y", "z"]
+
+
+def test_agreeing_and_contradicting_confirmations(spark):
+    log = spark.createDataFrame([(1, "x"), (2, "x"), (3, "x")], "id int, c string")
+    labels = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (2, "b")], "id int, y string")
+    spec = DatasetSpec(label="y", numeric=("id",), labels=("a", "b"))
+    got = {r["id"]: r[spec.confirmed] for r in cleaning.attach_labels(log, labels, ["id"], spec).collect()}
+    assert got == {1: "a", 2: None, 3: None}
+    assert [tuple(r) for r in cleaning.contradicting_labels(labels, ["id"], spec).collect()] == [(2, "a", "b")]

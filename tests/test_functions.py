@@ -87,3 +87,9 @@ def test_version_ids(spark):
             assert good
         except ValueError:
             assert not good
+
+
+def test_ids_tell_where_a_value_is_missing(spark):
+    spec = DatasetSpec(label="y", numeric=("a", "b"), labels=("p",))
+    rows = spark.createDataFrame([(1.0, None, "p"), (None, 1.0, "p")], "a double, b double, y string")
+    assert rows.select(identity.record_id(spec).alias("i")).distinct().count() == 2

@@ -142,9 +142,10 @@ def test_hot_keys_are_found(spark):
 def test_salted_join_equals_the_plain_join(spark, how):
     left = hot_rows(spark, 6000).fillna("none", ["b"])
     right = spark.createDataFrame([(7.0, "h", 1), (3.0, "k", 2), (4.0, "none", 3)], "a double, b string, z int")
-    assert skew.hot_keys(left, ["a", "b"])
+    hot = skew.hot_keys(left, ["a", "b"])
+    assert hot
     plain = left.join(right, ["a", "b"], how)
-    salted = skew.salted_join(left, right, ["a", "b"], how, ["id"])
+    salted = skew.salted_join(left, right, ["a", "b"], how, ["id"], hot)
     assert salted.columns == plain.columns
     assert sorted(map(tuple, salted.collect())) == sorted(map(tuple, plain.collect()), key=lambda t: t)
 

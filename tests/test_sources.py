@@ -32,6 +32,47 @@ def test_csv_table_with_missing_words(spark, tmp_path):
         tables.load_table(spark, f"{tmp_path}/other.csv", BODY_MEASURES, "csv")
 
 
+def test_unreadable_measures_of_a_csv_table(spark, tmp_path):
+    head = "species,island,bill_length_mm,bill_depth_mm,flipper_length_mm,body_mass_g,sex,row\n"
+    lines = [f"Adelie,Torgersen,{x},18.7,181,{3750 + i},male,{i}" for i, x in enumerate(("39.1", "12mm", "3,7", "40.5"))]
+    (tmp_path / "t.csv").write_text(head + "\n".join(lines).replace("3,7", '"3,7"') + "\n")
+    with pytest.raises(Exception, match="bill_length_mm: not a number"):
+        tables.load_table(spark, f"{tmp_path}/t.csv", BODY_MEASURES, "csv").collect()
+    table = tables.load_table(spark, f"{tmp_path}/t.csv", SPEC, "csv", as_text=True)
+    log, _ = observation_log.read_log(spark, f"{tmp_path}/none.csv", BODY_MEASURES)
+    prepared = prepare_dataset(table, log.withColumn("row", F.lit("0")), SPEC, strict=False)
+    assert prepared.snapshot.count() == 2 and prepared.quarantine.count() == 2
+    with pytest.raises(ValueError, match="bill_length_mm:invalid_number"):
+        prepare_dataset(table, log.withColumn("row", F.lit("0")), SPEC)
+
+
+def test_header_is_the_first_line_and_no_other(spark, tmp_path):
+    folder = tmp_path / "log"
+    folder.mkdir()
+    (folder / "a.csv").write_text(f"{HEADER}\n{GOOD}\n{HEADER}\n{HEADER}\n")
+    rows, quarantine = observation_log.read_log(spark, str(folder), BODY_MEASURES)
+    assert rows.count() == 3 and quarantine.count() == 0
+    (folder / "b.csv").write_text(f"{GOOD}\n{HEADER}\n")
+    with pytest.raises(ValueError, match="header differs|required columns"):
+        observation_log.read_log(spark, str(folder), BODY_MEASURES)
+
+
+def test_empty_file_in_a_log_is_an_error(spark, tmp_path):
+    folder = tmp_path / "log"
+    folder.mkdir()
+    (folder / "a.csv").write_text(f"{HEADER}\n{GOOD}\n")
+    (folder / "b.csv").write_text("")
+    with pytest.raises(ValueError, match="empty"):
+        observation_log.read_log(spark, str(folder), BODY_MEASURES)
+
+
+def test_both_halves_of_a_split_record_are_quarantined(spark, tmp_path):
+    split = GOOD.replace("Dream", '"Dre\nam"')
+    (tmp_path / "log.csv").write_text(f"{HEADER}\n{GOOD}\n{split}\n5\"{GOOD[4:]}\n")
+    rows, quarantine = observation_log.read_log(spark, f"{tmp_path}/log.csv", BODY_MEASURES)
+    assert rows.count() == 1 and quarantine.count() == 3
+
+
 def test_absent_log_has_no_rows(spark, tmp_path):
     rows, broken = observation_log.read_log(spark, f"{tmp_path}/none.csv", BODY_MEASURES)
     assert rows.count() == 0 and broken.count() == 0 and rows.columns == HEADER.split(",")
@@ -127,6 +168,12 @@ def test_result_files(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/json").first()["score"] == 0.5
     with pytest.raises(ValueError, match="score"):
         tables.write_documents(spark.createDataFrame([(float("nan"),)], "score double"), f"{tmp_path}/nan")
+    for i, (value, kind) in enumerate((
+        ((float("inf"),), "struct<x:double>"), ([1.0, float("nan")], "array<double>"), ({"a": float("nan")}, "map<string,double>"),
+        ([({"a": [float("-inf")]},)], "array<struct<m:map<string,array<float>>>>"),
+    )):
+        with pytest.raises(ValueError, match="score"):
+            tables.write_documents(spark.createDataFrame([(value,)], f"score {kind}"), f"{tmp_path}/nested{i}")
 
 
 def test_version_states(spark):

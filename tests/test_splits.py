@@ -1,4 +1,5 @@
 from collections import Counter
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,3 +121,12 @@ def test_overlap_per_boundary_equals_pairwise_counts(spark):
         expected = (sum(left.values()), sum(right.values()), len(common),
                     sum(left[t] for t in common), sum(right[t] for t in common))
         assert tuple(got[name])[1:] == expected
+
+
+def test_repeated_keys_and_foreign_labels_are_refused(spark):
+    rows = spark.range(1000).select((F.col("id") % 5).alias("k"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("y"), "id")
+    spec = DatasetSpec(label="y", numeric=("id",), key=("k",), labels=("a", "b"))
+    with pytest.raises(ValueError, match="repeat"):
+        splits.stratified_split(rows, spec).count()
+    with pytest.raises(ValueError, match="outside"):
+        splits.stratified_split(rows, replace(spec, key=("id",), labels=("a", "c"))).count()

@@ -56,7 +56,7 @@ def test_single_file_as_stream(spark, tmp_path, incoming):
 def test_repeated_arrivals_are_saved_once(spark, tmp_path, incoming):
     rows(spark, 20, 60).write.mode("append").parquet(incoming)
     stream = jobs.read_stream(spark, incoming, spark.read.parquet(incoming).schema, files_per_trigger=1)
-    jobs.save_once(stream, "id", "ts", "1 day", f"{tmp_path}/saved", f"{tmp_path}/state").awaitTermination()
+    jobs.save_once(stream, "id", "ts", f"{tmp_path}/saved", f"{tmp_path}/state").awaitTermination()
     assert sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/saved").collect()) == list(range(60))
 
 
@@ -74,5 +74,16 @@ def test_streamed_scores_equal_batch_scores(spark, tmp_path, incoming):
     model = replace(fit(train, SPEC, Variant("m", trees=2)), version="v1")
     stream = jobs.read_stream(spark, incoming, stored.schema).select("id", "x", "c")
     jobs.score_stream(stream, model, f"{tmp_path}/scored", f"{tmp_path}/state").awaitTermination()
-    got = {r["id"]: r["predicted_y"] for r in spark.read.parquet(f"{tmp_path}/scored").collect()}
+    got = {r["id"]: r["predicted_y"] for r in spark.read.parquet(f"{tmp_path}/scored/scored").collect()}
     assert got == {r["id"]: r["predicted_y"] for r in model.predict(train).collect()} and len(got) == 48
+    refused = {r["id"]: r["errors"] for r in spark.read.parquet(f"{tmp_path}/scored/refused").collect()}
+    assert refused == {i: ["x:not_a_number"] for i in range(0, 60, 5)}
+
+
+def test_rows_that_arrive_in_reverse_order_are_all_saved(spark, tmp_path):
+    folder = f"{tmp_path}/reverse"
+    for start in (750, 500, 250, 0, 500):
+        rows(spark, start, start + 250).coalesce(1).write.mode("append").parquet(folder)
+        stream = jobs.read_stream(spark, folder, spark.read.parquet(folder).schema, files_per_trigger=1)
+        jobs.save_once(stream, "id", "ts", f"{tmp_path}/kept", f"{tmp_path}/kept-state").awaitTermination()
+    assert sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/kept").collect()) == list(range(1000))
