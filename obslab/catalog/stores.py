@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from obslab.catalog.tables import EVENTS, ORDERS, STEP_SNAPSHOT_SQL, STEPS, step_log, step_reference, table
-from obslab.functions.versions import RESERVED_NAMES, version_is_valid
+from obslab.functions.versions import RESERVED_NAMES, new_version_id, version_is_valid
+from obslab.operators.metrics import classification_metrics, confusion_cube
+from obslab.operators.models import Variant, fit
 from obslab.operators.prepare import prepare_dataset
+from obslab.operators.profile import feature_ranges
+from obslab.operators.ranges import collect_ranges
 from obslab.operators.versions import stale_candidates, version_state
 from obslab.session import shared_dir
 from obslab.sources.files import file_fingerprints
@@ -63,6 +69,25 @@ def snapshot_roundtrip(spark, sf_dir):
     return store.load(store.save(prepared.snapshot, STEPS))
 
 
+def served_version(spark, sf_dir):
+    """A version trained, published, adopted, loaded again and used for scoring its own snapshot."""
+    prepared = prepare_dataset(step_reference(spark, sf_dir), step_log(spark, sf_dir), STEPS, strict=False)
+    store = SnapshotStore(spark, shared_dir(spark, "served"))
+    version = new_version_id()
+    data = store.stage(prepared.snapshot, version)
+    spec = replace(STEPS, key=("record_id",))
+    ranges = collect_ranges(feature_ranges(data.withColumns({c: F.col(c).cast("double") for c in STEPS.numeric}), STEPS))
+    model = replace(fit(data, spec, Variant("served", fit_rows=2000)), ranges=ranges)
+    cube = confusion_cube(model.predict(data), spec.label, f"predicted_{spec.label}")
+    store.publish(version, STEPS, metrics=classification_metrics(cube), model=model)
+    store.activate(version)
+    scored, refused = store.score(store.load(version).select("o_orderkey", *STEPS.features))
+    known = F.col(f"predicted_{spec.label}").isin(*spec.labels)
+    rows = scored.select("o_orderkey", known.alias("label_is_known"), F.size("warnings").alias("n_warnings"), (
+        F.col("model_version") == version).alias("active"))
+    return rows.unionByName(refused.select("o_orderkey", F.lit(False).alias("label_is_known"), F.size("errors").alias("n_warnings"), F.lit(False).alias("active")))
+
+
 def _events(spark, sf_dir):
     """Every customer as a registry, every order as an event that adopts or returns."""
     newer = F.concat(F.lit("v"), F.col("o_orderkey").cast("string"))
@@ -103,6 +128,7 @@ QUERIES = {
     "file_fingerprints": fingerprints,
     "observation_log": observation_log,
     "snapshot_roundtrip": snapshot_roundtrip,
+    "served_version": served_version,
     "version_state": state,
     "stale_candidates": stale,
     "version_id_check": version_id_check,
@@ -143,6 +169,9 @@ SQL = {
     "snapshot_roundtrip": f"""
         SELECT o_orderkey, price_step, priority, status, source, feature_id, record_id FROM ({STEP_SNAPSHOT_SQL})
     """,
+    "served_version": f"""
+        SELECT o_orderkey, true AS label_is_known, 0::INTEGER AS n_warnings, true AS active FROM ({STEP_SNAPSHOT_SQL})
+    """,
     "version_state": _STATE_SQL,
     "stale_candidates": f"""
         SELECT registry, base_version, active_version, base_version <> active_version AS stale

@@ -9,32 +9,25 @@ from datetime import datetime, timezone
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The pattern of an id and names no folder may carry.
-VERSION_PATTERN = r"^[A-Za-z0-9][A-Za-z0-9_-]{0,95}$"
-RESERVED_NAMES = (
-    "CON", "PRN", "AUX", "NUL",
-    "COM1", "COM2", "COM3", "COM4", "COM5", "COM6", "COM7", "COM8", "COM9",
-    "LPT1", "LPT2", "LPT3", "LPT4", "LPT5", "LPT6", "LPT7", "LPT8", "LPT9",
-)
+# What an id may look like, and device names that some file systems reserve in any case.
+VERSION_ID = "[A-Za-z0-9][A-Za-z0-9_-]{0,95}"
+RESERVED_NAMES = ("CON", "PRN", "AUX", "NUL", *(f"{device}{n}" for device in ("COM", "LPT") for n in range(1, 10)))
+# One rule for columns and for the driver; Java and Python read it alike.
+_RULE = f"(?!(?i:{'|'.join(RESERVED_NAMES)})$){VERSION_ID}"
 
 
 def new_version_id(at: datetime | None = None) -> str:
-    """Ids sort by creation time; the random tail keeps parallel jobs apart."""
-    at = at or datetime.now(timezone.utc)
-    return f"{at:v%Y%m%dT%H%M%S%fZ}_{uuid.uuid4().hex[:12]}"
+    """Ids sort by the time of creation; the tail makes those of parallel jobs differ."""
+    moment = (at or datetime.now(timezone.utc)).astimezone(timezone.utc)
+    return f"{moment:%Y-%m-%d-%H%M%S-%f}-{uuid.uuid4().hex[-10:]}"
 
 
 def version_is_valid(version: Column) -> Column:
-    named = F.coalesce(version, F.lit(""))
-    return named.rlike(r"\A" + VERSION_PATTERN.strip("^$") + r"\z") & ~F.upper(named).isin(*RESERVED_NAMES)
+    return F.coalesce(version.rlike(rf"\A(?:{_RULE})\z"), F.lit(False))
 
 
 def check_version_id(version: str) -> str:
-    """Driver-side form of the same rule, for ids that become paths."""
-    if (
-        not isinstance(version, str)
-        or re.fullmatch(VERSION_PATTERN.strip("^$"), version) is None
-        or version.upper() in RESERVED_NAMES
-    ):
-        raise ValueError(f"not a valid version id: {version!r}")
-    return version
+    """The id itself, before it becomes a path."""
+    if isinstance(version, str) and re.fullmatch(_RULE, version):
+        return version
+    raise ValueError(f"not a valid version id: {version!r}")

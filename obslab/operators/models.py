@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -20,13 +21,20 @@ from obslab.spec import DatasetSpec
 
 # The deepest tree Spark ML can build; stands for "no depth limit".
 UNLIMITED_DEPTH = 30
+# Partitions of the rows of a fit: so many at least, and one for so many rows.
+LEAST_PARTITIONS, PARTITION_ROWS = 8, 250_000
 _LABEL = "label_index"
 _MODEL_COLUMNS = ("rawPrediction", "probability", "prediction", FEATURES)
 
 
 @dataclass(frozen=True)
 class Variant:
-    """A named configuration; ``features`` of the spec may be replaced for ablations."""
+    """A named configuration; ``features`` of the spec may be replaced for ablations.
+
+    ``fit_rows`` bounds the labelled rows of a fit: about so many are taken by
+    a hash of their key, the same ones whatever the layout. Without it every row
+    is used. Scoring and evaluation always cover all rows.
+    """
 
     name: str
     kind: str = "forest"
@@ -35,6 +43,8 @@ class Variant:
     min_leaf: int = 1
     c: float = 1.0
     seed: int = 42
+    bins: int = 128
+    fit_rows: int | None = None
     categorical: tuple[str, ...] | None = None
     numeric: tuple[str, ...] | None = None
 
@@ -81,15 +91,28 @@ def place(rows: DataFrame, spec: DatasetSpec, partitions: int | None = None) ->
     """Rows spread and sorted by their key.
 
     Spark's forest depends on how rows lie in partitions. Placing them by key
-    makes a seed give the same forest whatever the input layout, and puts every
-    core to work when the input comes in few files.
+    makes a seed give the same forest whatever the input layout and the session's
+    settings: the number of partitions follows from the number of rows alone.
     """
     if not spec.key:
         raise ValueError("placing rows needs a row key")
-    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(LEAST_PARTITIONS, -(-rows.count() // PARTITION_ROWS))
     return rows.repartition(n, *spec.key).sortWithinPartitions(*spec.key)
 
 
+def bounded(rows: DataFrame, spec: DatasetSpec, variant: Variant) -> DataFrame:
+    """The rows that a fit of the variant uses."""
+    if variant.fit_rows is None:
+        return rows
+    if not spec.key:
+        raise ValueError("bounding the rows of a fit needs a row key")
+    total = rows.count()
+    if total <= variant.fit_rows:
+        return rows
+    place_ = F.pmod(F.xxhash64(F.lit(f"fit:{variant.seed}"), *spec.key), F.lit(1 << 30))
+    return rows.where(place_ < int((1 << 30) * variant.fit_rows / total))
+
+
 def fit(train: DataFrame, spec: DatasetSpec, variant: Variant = Variant("forest"), placed: bool = False) -> FittedModel:
     """Fit preprocessing and classifier on the given rows.
 
@@ -102,6 +125,7 @@ def fit(train: DataFrame, spec: DatasetSpec, variant: Variant = Variant("forest"
     meta = {"ml_attr": {"type": "nominal", "vals": list(spec.class_order), "name": _LABEL}}
     index = (F.array_position(names, F.col(spec.label)) - 1).cast("double").alias(_LABEL, metadata=meta)
     rows = train.select(*spec.key, spec.label, *spec.features).where(F.col(spec.label).isin(*spec.class_order))
+    rows = bounded(rows, spec, variant)
     prepared = fit_features(rows, spec, scaled=variant.kind == "logistic")
     ordered = rows if placed else place(rows, spec)
     matrix = prepared.transform(ordered.select("*", index)).select(_LABEL, FEATURES)
@@ -124,6 +148,8 @@ def fit(train: DataFrame, spec: DatasetSpec, variant: Variant = Variant("forest"
             fitted = classifier.fit(stored)
         finally:
             stored.unpersist()
+    if variant.kind == "forest" and variant.depth is None and max(t.depth() for t in _trees(fitted)) >= UNLIMITED_DEPTH:
+        warnings.warn(f"{variant.name}: a tree reached depth {UNLIMITED_DEPTH}, the most Spark ML can build", stacklevel=2)
     return FittedModel(PipelineModel([*prepared.stages, fitted]), spec, variant)
 
 
@@ -139,7 +165,7 @@ def _forest(variant: Variant, inputs: int) -> RandomForestClassifier:
         maxDepth=UNLIMITED_DEPTH if variant.depth is None else variant.depth,
         minInstancesPerNode=variant.min_leaf,
         featureSubsetStrategy=str(max(1, int(inputs**0.5))),
-        maxBins=128,
+        maxBins=variant.bins,
         seed=variant.seed,
         maxMemoryInMB=512,
     )
@@ -176,10 +202,14 @@ def ranked_probabilities(scored: DataFrame, kept: Sequence[str]) -> DataFrame:
     )
 
 
+def _trees(forest) -> list:
+    """The trees as the JVM holds them: copying each into Python only to read two numbers is slow."""
+    return list(forest._call_java("trees"))
+
+
 def forest_size(model: FittedModel) -> dict[str, float]:
     """Mean nodes, depth and leaves per tree; every split has two children."""
-    # The trees stay in the JVM: copying each into Python only to read two numbers is slow.
-    trees = model.classifier._call_java("trees")
+    trees = _trees(model.classifier)
     nodes = [t.numNodes() for t in trees]
     return {
         "tree_nodes": sum(nodes) / len(nodes),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable
 from contextlib import ExitStack
 from dataclasses import dataclass, replace
 
@@ -17,6 +17,7 @@ from obslab.operators.models import FittedModel, Variant, fit
 from obslab.operators.prepare import CONFIRMED, REFERENCE, Prepared, prepare_dataset, source_rows
 from obslab.operators.profile import feature_ranges, min_class_gate
 from obslab.operators.ranges import collect_ranges
+from obslab.operators.release import release_check  # noqa: F401  (part of this job's interface)
 from obslab.operators.splits import FOLDS, SEED, stratified_folds, stratified_split
 from obslab.operators.versions import INITIAL
 from obslab.plans.study import cross_validate, kept
@@ -155,32 +156,3 @@ def retrain(
     comparison = candidate_vs_baseline(data, baseline, spec, variant, baseline_variant, progress=progress)
     store.publish(version, spec, active, comparison.metrics, comparison.deployment)
     return version, comparison
-
-
-def release_check(model: FittedModel, golden: DataFrame, medians: Mapping[str, float]) -> DataFrame:
-    """Score a golden table and one row of feature medians; report broken rules.
-
-    A model may be released when every rule has zero violations.
-    """
-    spec = model.spec
-    example = golden.sparkSession.range(1).select(
-        *[F.lit(float(medians[c])).alias(c) for c in spec.numeric], *[F.lit(spec.fill).alias(c) for c in spec.categorical]
-    )
-    rows = golden.select(*[F.col(c).cast("double").alias(c) for c in spec.numeric], *spec.categorical).unionByName(example)
-    scored = model.predict(rows)
-    proper = lambda df: df.agg(F.count(F.lit(1)).alias("violations"))
-    predicted = F.col(f"predicted_{spec.label}")
-    checks = {
-        "predicted_label_is_allowed": scored.where(~F.coalesce(predicted.isin(*spec.labels), F.lit(False))),
-        "probabilities_are_proper": gates.probability_violations(scored, spec.labels),
-    }
-    report = None
-    if model.ranges:
-        limits = [(c, float(low), float(medians[c]), float(high)) for c, (low, high) in model.ranges.items()]
-        checks["ranges_are_ordered"] = gates.range_violations(
-            golden.sparkSession.createDataFrame(limits, "feature string, minimum double, median double, maximum double")
-        )
-    for rule, broken in checks.items():
-        part = proper(broken).select(F.lit(rule).alias("rule"), "violations")
-        report = part if report is None else report.unionByName(part)
-    return report.withColumn("passed", F.col("violations") == 0)

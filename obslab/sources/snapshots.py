@@ -1,13 +1,16 @@
 """Versioned training snapshots, manifests and the registry on shared storage.
 
 A version is written under a folder of its own and never overwritten. It exists
-for readers once its manifest row is committed, which is written last. One
-writer per registry is assumed.
+for readers once its manifest row is committed, which is written last. It can be
+adopted if it has metrics and a model that passes the release check. Each event
+of a registry has a path of its own, so of two writers that want the same
+sequence number one fails.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +18,9 @@ from pyspark.sql import functions as F
 from obslab.functions.identity import fingerprint
 from obslab.functions.versions import check_version_id, new_version_id
 from obslab.operators import gates
-from obslab.operators.models import FittedModel
+from obslab.operators.models import FittedModel, Variant, score
 from obslab.operators.prepare import CONFIRMED, REFERENCE, source_rows
+from obslab.operators.release import require_release
 from obslab.operators.versions import EVENT_SCHEMA, INITIAL, adopt, roll_back, version_state
 from obslab.session import path_exists
 from obslab.spec import DatasetSpec
@@ -43,7 +47,10 @@ class SnapshotStore:
     def stage(self, data: DataFrame, version: str) -> DataFrame:
         """Write the snapshot rows of a version that is not published yet and read them back."""
         data.write.mode("errorifexists").parquet(self._path("training_data", version))
-        return self.load(version)
+        return self._rows(version)
+
+    def _rows(self, version: str) -> DataFrame:
+        return self.spark.read.parquet(self._path("training_data", version))
 
     def publish(
         self, version: str, spec: DatasetSpec, base_version: str = INITIAL, metrics: DataFrame | None = None,
@@ -51,11 +58,14 @@ class SnapshotStore:
     ) -> str:
         """Check the stored rows, write the other parts, and the manifest last.
 
-        A version that fails the gate never gets a manifest and stays invisible.
+        A version that fails the gate, or whose model fails the release check,
+        never gets a manifest and stays invisible.
         """
         check_version_id(base_version)
-        stored = self.load(version)
+        stored = self._rows(version)
         gates.require(gates.snapshot_gate(stored, spec))
+        if model is not None:
+            require_release(model, source_rows(stored, REFERENCE))
         source_rows(stored, CONFIRMED).select("record_id").write.mode("errorifexists").parquet(
             self._path("confirmed_ids", version)
         )
@@ -63,14 +73,40 @@ class SnapshotStore:
             metrics.write.mode("errorifexists").parquet(self._path("metrics", version))
         if model is not None:
             model.save(self._path("model", version))
+            known = {"spec": asdict(model.spec), "variant": asdict(model.variant), "ranges": dict(model.ranges)}
+            document = self.spark.createDataFrame([(json.dumps(known, allow_nan=False),)], "document string")
+            document.write.mode("errorifexists").parquet(self._path("model_document", version))
         manifest = fingerprint(source_rows(stored, REFERENCE), name="reference_fingerprint").select(
-            F.lit(base_version).alias("base_version"), "reference_fingerprint", F.current_timestamp().alias("created_at")
+            F.lit(base_version).alias("base_version"), "reference_fingerprint", F.current_timestamp().alias("created_at"),
+            F.lit(metrics is not None).alias("has_metrics"), F.lit(model is not None).alias("has_model"),
         )
         manifest.write.mode("errorifexists").parquet(self._path("manifest", version))
         return version
 
     def load(self, version: str) -> DataFrame:
-        return self.spark.read.parquet(self._path("training_data", version))
+        """Snapshot rows of a published version."""
+        self.manifest(version)
+        return self._rows(version)
+
+    def load_model(self, version: str | None = None) -> FittedModel:
+        """The model of a published version, the active one by default, as it was fitted: spec, variant and ranges."""
+        version = version or self.state()["active_version"]
+        if not self.manifest(version)["has_model"]:
+            raise ValueError(f"version {version!r} is incomplete: it has no model")
+        known = json.loads(self.spark.read.parquet(self._path("model_document", version)).first()["document"])
+        spec, variant = ({k: tuple(v) if isinstance(v, list) else v for k, v in known[part].items()} for part in ("spec", "variant"))
+        spec["categories"] = {k: tuple(v) for k, v in spec["categories"].items()}
+        ranges = {k: tuple(v) for k, v in known["ranges"].items()}
+        return FittedModel.load(self._path("model", version), DatasetSpec(**spec), Variant(**variant), version=version, ranges=ranges)
+
+    def score(self, df: DataFrame, version: str | None = None, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+        """``(scored, refused)`` by the model of a version, the active one by default, with its range warnings."""
+        return score(df, self.load_model(version), strict)
+
+    def metrics(self, version: str) -> DataFrame:
+        if not self.manifest(version)["has_metrics"]:
+            raise ValueError(f"version {version!r} is incomplete: it has no metrics")
+        return self.spark.read.parquet(self._path("metrics", version))
 
     def confirmed_ids(self, version: str) -> DataFrame:
         """Ids confirmed in a version; the initial version has none. A table, because it grows with the log."""
@@ -86,27 +122,39 @@ class SnapshotStore:
         return self.spark.read.parquet(path).first().asDict()
 
     def state(self) -> dict:
-        path = f"{self.root}/events"
         start = {"active_version": INITIAL, "previous_version": None, "seq": 0}
-        if not path_exists(self.spark, path):
+        if not path_exists(self.spark, f"{self._events}/*"):
             return start
-        events = self.spark.read.schema(EVENT_SCHEMA).parquet(path).where(F.col("registry") == self.registry)
+        events = self.spark.read.schema(EVENT_SCHEMA).parquet(f"{self._events}/*")
         latest = version_state(events).first()
         return latest.asDict() if latest else start
 
     def activate(self, version: str) -> dict:
-        """Adopt a complete version whose base is still the active one."""
-        return self._append(adopt(self.state(), version, self.manifest(version)["base_version"]))
+        """Adopt a complete version whose base is still the active one; its stored parts are checked again."""
+        manifest, state = self.manifest(version), self.state()
+        step = adopt(state, version, manifest["base_version"])
+        self._require_complete(version)
+        return self._append(state, step)
+
+    def _require_complete(self, version: str) -> None:
+        self.metrics(version)
+        require_release(self.load_model(version), source_rows(self.load(version), REFERENCE))
+
+    @property
+    def _events(self) -> str:
+        return f"{self.root}/events/registry_id={check_version_id(self.registry)}"
 
     def roll_back(self) -> dict:
         state = self.state()
         step = roll_back(state)
         if step["active_version"] != INITIAL:
-            self.manifest(step["active_version"])
-        return self._append(step)
+            self._require_complete(step["active_version"])
+        return self._append(state, step)
 
-    def _append(self, step: dict) -> dict:
-        seq = self.state()["seq"] + 1
+    def _append(self, state: dict, step: dict) -> dict:
+        """The event after the state that the step was decided on; fails if another writer was faster."""
+        seq = state["seq"] + 1
         row = (self.registry, seq, step["action"], step["active_version"], step["previous_version"])
-        self.spark.createDataFrame([row], EVENT_SCHEMA).write.mode("append").parquet(f"{self.root}/events")
+        event = self.spark.createDataFrame([row], EVENT_SCHEMA).coalesce(1)
+        event.write.mode("errorifexists").parquet(f"{self._events}/event-{seq:012d}")
         return self.state()

@@ -210,6 +210,22 @@ def test_store_versions_adoption_and_return(spark, reference, make_log, tmp_path
     assert store.roll_back()["active_version"] == "initial"
     again = store.roll_back()
     assert (again["active_version"], again["previous_version"]) == (first, "initial")
+    model = store.load_model()
+    assert (model.version, model.variant.name, model.spec.labels) == (first, "a", SPEC.labels) and set(model.ranges) == set(SPEC.numeric)
+    scored, refused = store.score(reference.withColumn("body_mass_g", F.lit(99999.0)))
+    assert scored.count() + refused.count() == 36 and {r["model_version"] for r in scored.collect()} == {first}
+    assert all(r["warnings"] for r in scored.collect()) and store.metrics(first).count() == 2
+    store.stage(store.load(first), "staged")
+    with pytest.raises(ValueError, match="incomplete"):
+        store.load("staged")
+    bare = store.save(store.load(first), SPEC, base_version=first)
+    with pytest.raises(ValueError, match="no metrics"):
+        store.activate(bare)
+    with pytest.raises(Exception, match="(?i)already.exists"):
+        store._append({"seq": store.state()["seq"] - 1}, {"action": "adopt", "active_version": "x", "previous_version": first})
+    broken = replace(model, ranges={"bill_length_mm": (5.0, 1.0)})
+    with pytest.raises(ValueError, match="ranges_are_ordered"):
+        store.save(store.load(first), SPEC, metrics=store.metrics(first), model=broken, version="unfit")
     with pytest.raises(Exception, match="(?i)already.exists"):
         store.save(store.load(first), SPEC, version=first)
     with pytest.raises(ValueError, match="incomplete"):
