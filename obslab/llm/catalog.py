@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from obslab.llm import fingerprints, html_text, language_id, lm_scoring, mixing, near_join, packing, quality_rules, secret_scan, token_counts
 from obslab.llm.common import documents, remainder, ship, stored
+from obslab.llm.statements import SQL  # noqa: F401  (registered beside the queries)
 
 
 def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -70,4 +71,3 @@ QUERIES = {
         op9_kneser_ney, op10_token_counts,
     )
 }
-SQL: dict[str, str] = {}
