@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from obslab.functions.display import half_even
-from obslab.operators.skew import salted_join
 from obslab.spec import DatasetSpec
 
 # Rank error of the bracketing sketch is 1/ACCURACY of the rows of a group.
@@ -129,70 +128,83 @@ def order_statistics(
 ) -> DataFrame:
     """Exact quantiles (linear interpolation) with count, mean, sample std, min and max.
 
-    A mergeable sketch first brackets each quantile; a second pass counts the
-    rows below the bracket and the distinct values inside it, both combined on
-    the map side, and the exact value is read off those few counts. No group is
+    A mergeable sketch first brackets each quantile; then the rows below each
+    bracket are counted, and only values inside one leave their row. Both are
+    combined on the map side, and the exact value is read off those few counts.
+    No row is repeated for a measure or a quantile, and no group is
     ever held whole, unlike an aggregate that keeps every distinct value.
     A bracket that misses its quantile stops the job rather than give a wrong value.
     """
-    rows = measures_long(df, columns, groups)
-    keys = [*groups, "feature"]
+    keys, size = [*groups, "feature"], len(probabilities)
     margin = 4.0 / accuracy
     lows = [max(0.0, p - margin) for p in probabilities]
     highs = [min(1.0, p + margin) for p in probabilities]
-    basics = rows.groupBy(*keys).agg(
-        F.count("value").alias("n"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("minimum"),
-        F.max("value").alias("maximum"),
-        F.percentile_approx("value", lows + highs, accuracy).alias("marks"),
-    )
-    size = len(probabilities)
-    brackets = F.array(*[
+    # Columns by number: names of measures may clash with those of groups and results.
+    wide = df.select(*groups, *[F.col(c).cast("double").alias(f"v{m}") for m, c in enumerate(columns)])
+    stats = wide.groupBy(*groups).agg(*[
         F.struct(
-            F.lit(i).alias("ix"),
-            (F.col("minimum") if lows[i] == 0 else F.col("marks")[i]).alias("low"),
-            (F.col("maximum") if highs[i] == 1 else F.col("marks")[size + i]).alias("high"),
-        )
-        for i in range(size)
+            F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("minimum"),
+            F.max(v).alias("maximum"), F.percentile_approx(v, lows + highs, accuracy).alias("marks"),
+        ).alias(f"s{m}")
+        for m, v in enumerate(f"v{m}" for m in range(len(columns)))
     ])
-    # One row per group and measure. The usual few are held as a small table and
-    # broadcast; with very many groups they stay distributed and the join is salted.
-    held = basics.take(GROUP_LIMIT + 1)
+    # One row per group. The usual few are held as a small table and broadcast; very many stay distributed.
+    held = stats.take(GROUP_LIMIT + 1)
     few = len(held) <= GROUP_LIMIT
-    if few:
-        basics = df.sparkSession.createDataFrame(held, basics.schema)
-    marks = basics.select(*keys, brackets.alias("brackets"))
-    bracketed = rows.join(F.broadcast(marks), keys) if few else salted_join(rows, marks, keys, "inner")
     small = F.broadcast if few else (lambda table: table)
-    below = F.col("value") < F.col("b.low")
-    counted = (
-        bracketed.select(*keys, "value", F.explode("brackets").alias("b"))
-        .where(F.col("value") <= F.col("b.high"))
-        .select(*keys, F.col("b.ix").alias("ix"), F.when(~below, F.col("value")).alias("value"))
-        .groupBy(*keys, "ix", "value")
-        .agg(F.count(F.lit(1)).alias("k"))
-    )
-    running = Window.partitionBy(*keys, "ix").orderBy(F.col("value").asc_nulls_first())
+    if few:
+        stats = df.sparkSession.createDataFrame(held, stats.schema)
+    cells = [(m, i) for m in range(len(columns)) for i in range(size)]
+
+    def limits(m: int, i: int) -> tuple[Column, Column]:
+        s = F.col(f"s{m}")
+        return (s["minimum"] if lows[i] == 0 else s["marks"][i]), (s["maximum"] if highs[i] == 1 else s["marks"][size + i])
+
+    def named(table: DataFrame, part: str) -> DataFrame:
+        """Long form of one struct a measure."""
+        long = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"{part}{m}").alias("_s")) for m, c in enumerate(columns)])
+        return table.select(*groups, F.inline(long))
+
+    basics = named(stats, "s").select(*keys, "_s.*").where("n > 0")
+    if groups:
+        bracketed = wide.join(small(stats), list(groups))
+    else:
+        known = stats.first()
+        marked = [F.lit(known[f"s{m}"]["marks"]).cast("array<double>") for m in range(len(columns))]
+        bracketed = wide.withColumns({
+            f"s{m}": F.struct(
+                F.lit(known[f"s{m}"]["minimum"]).cast("double").alias("minimum"), F.lit(known[f"s{m}"]["maximum"]).cast("double").alias("maximum"),
+                (F.array(*map(F.lit, known[f"s{m}"]["marks"])) if known[f"s{m}"]["marks"] else marked[m]).alias("marks"))
+            for m in range(len(columns))
+        })
+    # Rows below a bracket are only counted; rows of a bracket, a few in 50,000, become (measure, quantile, value).
+    below = named(bracketed.groupBy(*groups).agg(*[
+        F.array(*[F.count_if(F.col(f"v{m}") < limits(m, i)[0]) for i in range(size)]).alias(f"b{m}") for m in range(len(columns))
+    ]), "b").select(*keys, F.posexplode("_s").alias("ix", "below"))
+    inside = F.array_compact(F.array(*[
+        F.when(F.col(f"v{m}").between(*limits(m, i)), F.struct(
+            F.lit(columns[m]).alias("feature"), F.lit(i).alias("ix"), F.col(f"v{m}").alias("value")))
+        for m, i in cells
+    ]))
+    counted = bracketed.select(*groups, F.inline(inside)).groupBy(*keys, "ix", "value").agg(F.count(F.lit(1)).alias("k"))
+    running = Window.partitionBy(*keys, "ix").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     p = F.element_at(F.array(*[F.lit(float(v)) for v in probabilities]), F.col("ix") + 1)
     position = p * (F.col("n") - 1)
     reached = (
-        counted.withColumn("upto", F.sum("k").over(running.rowsBetween(Window.unboundedPreceding, 0)))
-        .join(small(basics.select(*keys, "n")), keys)
+        counted.withColumn("_inside", F.sum("k").over(running))
+        .join(small(below), [*keys, "ix"]).join(small(basics.select(*keys, "n")), keys)
+        .withColumn("upto", F.col("below") + F.col("_inside"))
         .withColumn("rank", F.floor(position))
         .withColumn("share", position - F.floor(position))
         .groupBy(*keys, "ix")
         .agg(
             F.first("share").alias("share"),
-            F.max(F.when(F.col("value").isNull(), F.col("upto")) > F.col("rank")).alias("too_low"),
+            F.max(F.col("below") > F.col("rank")).alias("too_low"),
             F.min(F.when(F.col("upto") > F.col("rank"), F.col("value"))).alias("lower"),
             F.min(F.when(F.col("upto") > F.col("rank") + 1, F.col("value"))).alias("upper"),
         )
     )
-    missed = F.coalesce(F.col("too_low"), F.lit(False)) | F.col("lower").isNull() | (
-        F.col("upper").isNull() & (F.col("share") > 0)
-    )
+    missed = F.col("too_low") | F.col("lower").isNull() | (F.col("upper").isNull() & (F.col("share") > 0))
     exact = F.col("lower") + F.when(F.col("share") > 0, F.col("share") * (F.col("upper") - F.col("lower"))).otherwise(0.0)
     checked = F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank"))).otherwise(exact)
     values = reached.groupBy(*keys).agg(*[
