@@ -70,7 +70,8 @@ def schedule(spark, shares: list[Share], block: int) -> DataFrame:
     for s in shares:
         at += s.target
         bounds.append(at / total)
-    slots = spark.range(math.ceil(total / block)).withColumnRenamed("id", "slot")
+    # The targets' sum is a whole number but for rounding, which must not add a slot.
+    slots = spark.range(math.ceil(round(total, 6) / block)).withColumnRenamed("id", "slot")
     point = (F.col("slot") + F.lit(0.5)) * F.lit(GOLDEN)
     ends = F.array(*(F.lit(b) for b in bounds[:-1])) if len(bounds) > 1 else F.array().cast("array<double>")
     dealt = slots.withColumn("_u", point - F.floor(point)).withColumn(

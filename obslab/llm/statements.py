@@ -105,7 +105,7 @@ OP6 = f"""
              greatest(1, least(4096, floor((min(target) FILTER (WHERE target >= 1) OVER ()) / 1024)))::BIGINT AS block FROM targets
     ), slots AS (
       SELECT x.n, u - floor(u) AS point FROM (SELECT n, (n + 0.5::DOUBLE) * {GOLDEN!r}::DOUBLE AS u
-        FROM (SELECT unnest(range(ceil(any_value(whole) / any_value(block))::BIGINT)) AS n FROM shares)) x
+        FROM (SELECT unnest(range(ceil(round(any_value(whole), 6) / any_value(block))::BIGINT)) AS n FROM shares)) x
     ), dealt AS (
       SELECT (SELECT count(*) FROM shares WHERE upto <= point AND no < (SELECT max(no) FROM shares)) AS no, count(*) AS turns FROM slots GROUP BY 1
     ), ends AS (
