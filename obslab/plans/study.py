@@ -6,7 +6,6 @@ run) on the cluster; only those counts and tree sizes meet on the driver.
 
 from __future__ import annotations
 
-import hashlib
 import time
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -224,12 +223,12 @@ def permutation_importance(
 ) -> DataFrame:
     """Loss of macro-F1 when one feature's values are shuffled over the held-out rows.
 
-    A seeded hash deals the rows into blocks of about ``BLOCK`` rows. For every
-    (feature, repeat) the feature's values are rotated inside each block by a
-    pseudo-random offset, which permutes them among rows that were put together
-    at random. The held-out rows are shuffled once, whatever the number of
-    trials, and no group is larger than a block; a table of up to ``BLOCK`` rows
-    is a single block.
+    A seeded hash deals the rows into blocks of about ``BLOCK`` rows, whatever
+    their number. For every (feature, repeat) the feature's values change places
+    inside each block by an order of their own, a hash of seed, feature, repeat
+    and row: a random permutation among rows that were put together at random.
+    The held-out rows are shuffled once, whatever the number of trials, and no
+    group is larger than a block.
     """
     spec = model.spec
     spark = held.sparkSession
@@ -241,13 +240,11 @@ def permutation_importance(
     dealt = rows.select(F.pmod(number, F.lit(blocks)).alias("block"), member.alias("member"))
     packed = dealt.groupBy("block").agg(F.array_sort(F.collect_list("member")).alias("members"))
     trials = F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat"), F.lit(_offset(seed, f, r)).alias("offset"))
-        for f in spec.features for r in range(repeats)
+        F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat")) for f in spec.features for r in range(repeats)
     ])
-    # Counting each block's rows from its own offset keeps blocks independent of each other.
-    size = F.size("members")
-    shift = F.when(size > 1, 1 + F.pmod(F.col("trial.offset") + F.col("block") * 7919, size - 1)).otherwise(0).cast("int")
-    turned = F.concat(F.slice("members", shift + 1, size), F.slice("members", F.lit(1), shift))
+    drawn = F.transform("members", lambda m: F.struct(
+        F.xxhash64(F.lit(str(seed)), F.col("trial.feature"), F.col("trial.repeat"), m.order).alias("place"), m.alias("member")))
+    turned = F.transform(F.array_sort(drawn), lambda d: d.member)
     paired = packed.select("block", "members", F.explode(trials).alias("trial")).select(
         F.col("trial.feature").alias("feature"), F.col("trial.repeat").alias("repeat"),
         F.explode(F.arrays_zip(F.col("members").alias("own"), turned.alias("donor"))).alias("pair"),
@@ -268,8 +265,3 @@ def permutation_importance(
     return loss.groupBy("feature").agg(
         F.avg("loss").alias("mean_decrease_macro_f1"), F.stddev_pop("loss").alias("standard_deviation")
     ).orderBy(F.col("mean_decrease_macro_f1").desc(), "feature")
-
-
-def _offset(seed: int, feature: str, repeat: int) -> int:
-    """Reproducible number of places by which a trial rotates the values."""
-    return int(hashlib.md5(f"{seed}:{feature}:{repeat}".encode()).hexdigest()[:12], 16)

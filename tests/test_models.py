@@ -164,6 +164,9 @@ def test_importance_finds_the_only_useful_features(toy, fitted, monkeypatch):
     monkeypatch.setattr(study, "BLOCK", 20)
     detail = study.permutation_importance(fitted, toy, 2, detail=True)
     assert detail.count() == 10
+    # Few rows, many trials: permutations differ, and so do their losses.
+    few = study.permutation_importance(fitted, toy.limit(12), 20, detail=True).where("feature = 'bill_length_mm'")
+    assert len({round(r["loss"], 9) for r in few.collect()}) > 2
 
 
 def test_release_check(toy, fitted):
