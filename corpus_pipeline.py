@@ -34,7 +34,10 @@ def row_key(docs: DataFrame) -> Column:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass, without the lines that fail. Empty and null texts are rejected."""
-    judged = quality_rules.quality_rules(docs, into=OWN).where(F.col(OWN).kept)
+    judged = quality_rules.quality_rules(docs, into=KEY)
+    # Exploding the verdict keeps Spark from working it out twice, once to filter and once to select.
+    kept = F.filter(F.array(KEY), lambda verdict: verdict.kept)
+    judged = judged.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(kept).alias(OWN))
     text = F.when(F.size(F.col(OWN).faults) == 0, F.col("text")).otherwise(F.col(OWN).clean_text)
     return changed_text(judged, text)
 
