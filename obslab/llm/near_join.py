@@ -33,12 +33,13 @@ from obslab.llm.word_batches import hash_words, words_of_batch
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Min-hashes of a node, nodes of a bucket that are compared at once, nodes of a block, and the deepest path.
-PLACES, LIMIT, BLOCK, DEPTH = 64, 256, 512, 8
+PLACES, LIMIT, BLOCK, DEPTH = 64, 256, 1024, 8
 #: Least sketch likeness of a pair that is verified: four standard errors below the threshold.
 LIKELY = THRESHOLD - 4 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / PLACES)
-#: Likeness to a pivot: from CLOSE on nodes are compared at once, below FAR they split further. FAR - CLOSE exceeds
-#: 1 - THRESHOLD by a standard error of the sketch.
-CLOSE, FAR = 0.5, 0.76
+#: Sketch likeness to a pivot: from CLOSE on nodes are compared at once, below FAR they split further. Two nodes' likeness
+#: to the pivot differs by the places in which they differ themselves at most: a fifth at the threshold, and FAR - CLOSE
+#: leaves two standard errors of that.
+CLOSE, FAR = 0.25, 0.56
 #: A node's chance of sharing a bucket with a partner at the threshold: 1 - exp(-1) on the first level; deeper ones sample
 #: twice as many tokens and keep eight of ten such pairs at any depth.
 SHARED = (1 - math.exp(-1)) * 0.797
@@ -145,23 +146,24 @@ def chosen(paths: np.ndarray, nodes: pa.Array, rate: float) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(mixed(paths[rows, places]).view(np.int64)), nodes.take(pa.array(rows))], names=["path", "set_key"])
 
 
+def pivot_likeness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, set_key, sketch, like): how like each row's sketch is to its bucket's pivot."""
+    for batch in batches:
+        if batch.num_rows:
+            own, pivot = fixed(batch.column("sketch"), "<u4", PLACES), fixed(batch.column("pivot"), "<u4", PLACES)
+            like = pa.array((own == pivot).mean(axis=1))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("path", "set_key", "sketch")] + [like], names=["path", "set_key", "sketch", "like"])
+
+
 def next_paths(rate: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(path, set_key, close): rows close to their bucket's pivot stay there, those not so close go to longer paths."""
+    """(path, set_key): the longer paths that each row of (path, set_key, sketch) takes from its path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            own, pivot = fixed(batch.column("sketch"), "<u4", PLACES), fixed(batch.column("pivot"), "<u4", PLACES)
-            like = (own == pivot).mean(axis=1)
-            close, far = np.flatnonzero(like >= CLOSE), np.flatnonzero(like < FAR)
-            stay = mixed(batch.column("path").to_numpy().view(np.uint64) + np.uint64(1))[close].view(np.int64)
-            nodes = batch.column("set_key")
-            yield pa.RecordBatch.from_arrays([pa.array(stay), nodes.take(pa.array(close)), pa.array(np.ones(len(close), bool))], names=["path", "set_key", "close"])
-            base = batch.column("path").to_numpy()[far].view(np.uint64)
-            tokens = mixed(mixed(own[far].astype(np.uint64) + SEEDS) + base[:, None] * MULTIPLIER)
-            more = chosen(tokens, nodes.take(pa.array(far)), rate)
-            yield pa.RecordBatch.from_arrays([*more.columns, pa.array(np.zeros(more.num_rows, bool))], names=["path", "set_key", "close"])
+            if batch.num_rows:
+                base = batch.column("path").to_numpy().view(np.uint64)
+                tokens = mixed(fixed(batch.column("sketch"), "<u4", PLACES).astype(np.uint64) + SEEDS)
+                yield chosen(mixed(tokens + base[:, None] * MULTIPLIER), batch.column("set_key"), rate)
 
     return run
 
@@ -181,9 +183,13 @@ def leaves(nodes: DataFrame, runs: int) -> DataFrame:
         found.append(level.where(F.col("n") <= LIMIT).select("path", "set_key"))
         known = large.drop("n").join(nodes.select("set_key", "sketch"), "set_key")
         pivots = known.groupBy("path").agg(F.min(F.struct("set_key", "sketch")).alias("_p")).select("path", F.col("_p.sketch").alias("pivot"))
-        split = stored(known.join(pivots, "path").mapInArrow(next_paths(2 * rate), "path bigint, set_key binary, close boolean"), "split")
-        found.append(split.where("close").select("path", "set_key"))
-        paths = split.where("not close").select("path", "set_key")
+        measured = known.join(pivots, "path").mapInArrow(pivot_likeness, "path bigint, set_key binary, sketch binary, like double")
+        split = stored(measured, "split")
+        # What stays has a path of its own. If all of a bucket stays, nothing needs to go further.
+        found.append(split.where(F.col("like") >= CLOSE).select(F.xxhash64(F.lit("close"), "path").alias("path"), "set_key"))
+        parted = split.where(F.col("like") < CLOSE).select("path").distinct()
+        further = split.where(F.col("like") < FAR).join(parted, "path").select("path", "set_key", "sketch")
+        paths = further.mapInArrow(next_paths(2 * rate), "path bigint, set_key binary")
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
