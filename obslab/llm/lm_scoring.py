@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obslab.llm.shared_arrays import map_arrays, write_arrays
-from obslab.llm.word_batches import hash_words, words_of_batch
+from obslab.llm.word_batches import hash_words, slices, words_of_batch
 from obslab.session import shared_dir
 
 #: Training rows for which one range of words is made; the number of ranges is a power of two, 16 at least.
@@ -332,9 +332,7 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scale = np.log10(model.tokens + 1 * (model.vocabulary + 1))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             tokens, before, seen, starts = token_stream(model, batch.column(1))
             p = np.log10(probabilities(model, tokens, before))
             yield pa.RecordBatch.from_arrays([

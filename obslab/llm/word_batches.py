@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -37,6 +38,16 @@ def words_of_batch(texts: pa.Array, lower: bool = False) -> Words:
     return Words(codes, distinct, ends)
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts whose texts take at most ``most`` bytes together, or of one row: they bound a task's memory."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().cumsum()
+    start = 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(sizes, most + (sizes[start - 1] if start else 0), "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def hash_words(distinct: pa.Array) -> np.ndarray:
     """64-bit hash of each word's UTF-8 bytes."""
     digest = xxhash.xxh3_64_intdigest
