@@ -33,7 +33,7 @@ from obslab.llm.word_batches import hash_words, words_of_batch
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Min-hashes of a node, nodes of a bucket that are compared at once, nodes of a block, and the deepest path.
-PLACES, LIMIT, BLOCK, DEPTH = 64, 256, 1024, 8
+PLACES, LIMIT, BLOCK, DEPTH = 64, 1024, 1024, 8
 #: Least sketch likeness of a pair that is verified: four standard errors below the threshold.
 LIKELY = THRESHOLD - 4 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / PLACES)
 #: Sketch likeness to a pivot: from CLOSE on nodes are compared at once, below FAR they split further. Two nodes' likeness
@@ -181,8 +181,10 @@ def leaves(nodes: DataFrame, runs: int) -> DataFrame:
             found.append(level.select("path", "set_key"))
             break
         found.append(level.where(F.col("n") <= LIMIT).select("path", "set_key"))
+        # The pivot is the bucket's least node; sketches meet the rows once.
+        pivots = large.groupBy("path").agg(F.min("set_key").alias("_pivot")).join(
+            nodes.select(F.col("set_key").alias("_pivot"), F.col("sketch").alias("pivot")), "_pivot").drop("_pivot")
         known = large.drop("n").join(nodes.select("set_key", "sketch"), "set_key")
-        pivots = known.groupBy("path").agg(F.min(F.struct("set_key", "sketch")).alias("_p")).select("path", F.col("_p.sketch").alias("pivot"))
         measured = known.join(pivots, "path").mapInArrow(pivot_likeness, "path bigint, set_key binary, sketch binary, like double")
         split = stored(measured, "split")
         # What stays has a path of its own. If all of a bucket stays, nothing needs to go further.
