@@ -1,9 +1,10 @@
 """Features, classifiers, studies and releases.
 
-Forests have the operator's own number of trees. A fit learns from about
+Forests have the operator's own number of trees. A fit learns from
 ``FIT_ROWS`` labelled rows (studies, which fit dozens of times, from
 ``STUDY_ROWS``), chosen by a hash of their key; every query scores and evaluates
-whole tables.
+whole tables. Where the training rows themselves are what is compared (the
+learning curve, candidate and baseline) fits use all of them.
 """
 
 from __future__ import annotations
@@ -144,9 +145,7 @@ def grid_study(spark, sf_dir):
 
 def learning_curve(spark, sf_dir):
     folded = study.with_folds(_orders(spark, sf_dir), ORDERS)
-    deep = replace(study.GRID[0], fit_rows=STUDY_ROWS)
-    full = study.cross_validate(folded, ORDERS, [deep])
-    return study.learning_curve(folded, ORDERS, deep, full=full)
+    return study.learning_curve(folded, ORDERS, study.GRID[0])
 
 
 def permutation_importance(spark, sf_dir):
@@ -173,8 +172,7 @@ def candidate_vs_baseline(spark, sf_dir):
     store = SnapshotStore(spark, shared_dir(spark, "comparison"))
     snapshot = store.load(store.save(prepared.snapshot, STEPS))
     result = retraining.candidate_vs_baseline(
-        snapshot, source_rows(snapshot, REFERENCE), STEPS, replace(FOREST, fit_rows=STUDY_ROWS),
-        replace(FOREST, name="baseline", depth=None, fit_rows=STUDY_ROWS),
+        snapshot, source_rows(snapshot, REFERENCE), STEPS, Variant("forest"), Variant("baseline", depth=None),
     )
     return result.metrics
 

@@ -10,12 +10,13 @@ from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obslab.operators.cleaning import ERRORS, normalise
 from obslab.operators.features import FEATURES, fit_features
 from obslab.operators.ranges import flag_ranges
+from obslab.operators.splits import nested_subsets
 from obslab.sources.tables import require_columns
 from obslab.spec import DatasetSpec
 
@@ -24,6 +25,7 @@ UNLIMITED_DEPTH = 30
 # Partitions of the rows of a fit: so many at least, and one for so many rows.
 LEAST_PARTITIONS, PARTITION_ROWS = 8, 250_000
 _LABEL = "label_index"
+_DRAWN = "_drawn"
 _MODEL_COLUMNS = ("rawPrediction", "probability", "prediction", FEATURES)
 
 
@@ -31,9 +33,10 @@ _MODEL_COLUMNS = ("rawPrediction", "probability", "prediction", FEATURES)
 class Variant:
     """A named configuration; ``features`` of the spec may be replaced for ablations.
 
-    ``fit_rows`` bounds the labelled rows of a fit: about so many are taken by
-    a hash of their key, the same ones whatever the layout. Without it every row
-    is used. Scoring and evaluation always cover all rows.
+    ``fit_rows`` bounds the labelled rows of a fit: so many (by the rounding of
+    each label's share) are taken by a hash of their key, the same ones whatever
+    the layout. Without it every row is used. Scoring and evaluation always cover
+    all rows.
     """
 
     name: str
@@ -64,6 +67,8 @@ class FittedModel:
     variant: Variant
     version: str = "unsaved"
     ranges: Mapping[str, tuple[float, float]] = field(default_factory=dict)
+    #: Rows that the classifier learnt from; null for a loaded model.
+    fitted_rows: int | None = None
 
     @property
     def classifier(self):
@@ -101,16 +106,24 @@ def place(rows: DataFrame, spec: DatasetSpec, partitions: int | None = None) ->
 
 
 def bounded(rows: DataFrame, spec: DatasetSpec, variant: Variant) -> DataFrame:
-    """The rows that a fit of the variant uses."""
+    """The rows that a fit of the variant uses: each label gives the same share of its rows, one at least."""
     if variant.fit_rows is None:
         return rows
     if not spec.key:
         raise ValueError("bounding the rows of a fit needs a row key")
-    total = rows.count()
+    return draw(rows, spec, variant, _DRAWN).where(_DRAWN).drop(_DRAWN)
+
+
+def draw(rows: DataFrame, spec: DatasetSpec, variant: Variant, name: str, where: Column | None = None) -> DataFrame:
+    """Adds whether a fit of the variant on the rows that are ``where`` uses the row."""
+    taken = F.col(spec.label).isin(*spec.class_order)
+    if where is not None:
+        taken = taken & where
+    total = rows.where(taken).count()
     if total <= variant.fit_rows:
-        return rows
-    place_ = F.pmod(F.xxhash64(F.lit(f"fit:{variant.seed}"), *spec.key), F.lit(1 << 30))
-    return rows.where(place_ < int((1 << 30) * variant.fit_rows / total))
+        return rows.withColumn(name, F.coalesce(taken, F.lit(False)))
+    drawn = nested_subsets(rows, spec, [variant.fit_rows / total], seed=f"fit:{variant.seed}", name=name, where=taken)
+    return drawn.withColumn(name, F.coalesce(F.col(name) == 0, F.lit(False)))
 
 
 def fit(train: DataFrame, spec: DatasetSpec, variant: Variant = Variant("forest"), placed: bool = False) -> FittedModel:
@@ -126,6 +139,7 @@ def fit(train: DataFrame, spec: DatasetSpec, variant: Variant = Variant("forest"
     index = (F.array_position(names, F.col(spec.label)) - 1).cast("double").alias(_LABEL, metadata=meta)
     rows = train.select(*spec.key, spec.label, *spec.features).where(F.col(spec.label).isin(*spec.class_order))
     rows = bounded(rows, spec, variant)
+    n = rows.count()
     prepared = fit_features(rows, spec, scaled=variant.kind == "logistic")
     ordered = rows if placed else place(rows, spec)
     matrix = prepared.transform(ordered.select("*", index)).select(_LABEL, FEATURES)
@@ -133,7 +147,7 @@ def fit(train: DataFrame, spec: DatasetSpec, variant: Variant = Variant("forest"
         classifier = _forest(variant, _vector_size(matrix))
     elif variant.kind == "logistic":
         classifier = LogisticRegression(
-            family="multinomial", regParam=1.0 / (variant.c * rows.count()), elasticNetParam=0.0,
+            family="multinomial", regParam=1.0 / (variant.c * n), elasticNetParam=0.0,
             standardization=False, maxIter=2000,
         )
     else:
@@ -150,7 +164,7 @@ def fit(train: DataFrame, spec: DatasetSpec, variant: Variant = Variant("forest"
             stored.unpersist()
     if variant.kind == "forest" and variant.depth is None and max(t.depth() for t in _trees(fitted)) >= UNLIMITED_DEPTH:
         warnings.warn(f"{variant.name}: a tree reached depth {UNLIMITED_DEPTH}, the most Spark ML can build", stacklevel=2)
-    return FittedModel(PipelineModel([*prepared.stages, fitted]), spec, variant)
+    return FittedModel(PipelineModel([*prepared.stages, fitted]), spec, variant, fitted_rows=n)
 
 
 def _vector_size(matrix: DataFrame) -> int:

@@ -86,8 +86,7 @@ def _compare(
         say(f"evaluating the {name} on the fixed hold-out")
         model = fit(training[name], spec, variants[name])
         cube = confusion_cube(model.predict(held), spec.label, f"predicted_{spec.label}")
-        size = training[name].count()
-        rows += [(name, size, r["actual"], r["predicted"], r["n"]) for r in cube.collect()]
+        rows += [(name, model.fitted_rows, r["actual"], r["predicted"], r["n"]) for r in cube.collect()]
     cubes = spark.createDataFrame(rows, "model string, n_train bigint, actual string, predicted string, n bigint")
     say("cross-validating the candidate")
     folded = stratified_folds(training["candidate"], spec, folds=folds, seed=seed)

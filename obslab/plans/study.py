@@ -10,6 +10,7 @@ import time
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from dataclasses import replace
 from functools import reduce
 
 from pyspark import StorageLevel
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from obslab.functions.identity import order_hash
 from obslab.operators.metrics import classification_metrics, confusion_cube, fold_summary, select_variant
-from obslab.operators.models import FittedModel, Variant, coefficient_count, fit, forest_size, place
+from obslab.operators.models import FittedModel, Variant, coefficient_count, draw, fit, forest_size, place
 from obslab.operators.splits import LEARNING_FRACTIONS, SEED, nested_subsets, stratified_folds, stratified_split
 from obslab.sources.tables import write_semicolon_csv
 from obslab.spec import DatasetSpec
@@ -96,7 +97,7 @@ def _fold_task(
         seconds = time.perf_counter() - began
         run = f"{variant.name}|{fold}|{fraction}"
         cube = _cube_rows(model, run, train=training, validation=validation)
-        facts = {"fit_seconds": seconds}
+        facts = {"fit_seconds": seconds, "n_train": model.fitted_rows}
         if variant.kind == "forest":
             facts.update(forest_size(model), coefficients=None)
         else:
@@ -106,18 +107,18 @@ def _fold_task(
 
 
 def _fold_table(spark: SparkSession, results: list[tuple]) -> DataFrame:
-    """One row per run with train and validation metrics, sizes and fit time."""
+    """One row per run with train and validation metrics, sizes and fit time; ``n_train`` counts the rows of the fit."""
     cube = spark.createDataFrame([row for _, rows in results for row in rows], _RUN)
     scores = classification_metrics(cube, ["run", "subset"])
     wide = scores.groupBy("run").agg(*[
         F.max(F.when(F.col("subset") == s, F.col(m))).alias(f"{s}_{m}")
         for s in ("train", "validation") for m in ("accuracy", "macro_f1", "cohen_kappa")
-    ], *[F.max(F.when(F.col("subset") == s, F.col("n"))).alias(f"n_{s}") for s in ("train", "validation")])
+    ], F.max(F.when(F.col("subset") == "validation", F.col("n"))).alias("n_validation"))
     facts = spark.createDataFrame(
-        [(run, name, fold, fraction, f["fit_seconds"], f["tree_nodes"], f["tree_depth"], f["tree_leaves"], f["coefficients"])
+        [(run, name, fold, fraction, f["fit_seconds"], f["tree_nodes"], f["tree_depth"], f["tree_leaves"], f["coefficients"], f["n_train"])
          for (run, name, fold, fraction, f), _ in results],
         "run string, variant string, fold int, fraction double, fit_seconds double, "
-        "tree_nodes double, tree_depth double, tree_leaves double, coefficients int",
+        "tree_nodes double, tree_depth double, tree_leaves double, coefficients int, n_train bigint",
     )
     return facts.join(F.broadcast(wide), "run").drop("run")
 
@@ -162,16 +163,17 @@ def learning_curve(
     """Scores per (fraction, fold) on nested subsets of each fold's training rows.
 
     The largest fraction is the plain cross-validation; pass its table as
-    ``full`` to reuse it instead of fitting again.
+    ``full`` to reuse it instead of fitting again. A variant with ``fit_rows``
+    bounds each fold's training rows once, as its plain cross-validation does;
+    the fractions are cut out of that sample, and every fit uses its whole subset.
     """
     rows = _model_rows(df, spec, "fold")
     for fold in range(1, folds + 1):
-        rows = nested_subsets(
-            rows, spec, fractions, seed=seed + fold, name=f"smallest_{fold}", where=F.col("fold") != fold
-        )
+        rows = _curve_rows(rows, spec, variant, fractions, fold, seed + fold)
+    whole = replace(variant, fit_rows=None)
     with kept(rows) as stored:
         tasks = [
-            _fold_task(stored, spec, variant, fold, f, i)
+            _fold_task(stored, spec, whole, fold, f, i)
             for i, f in enumerate(fractions) if f < 1.0 or full is None for fold in range(1, folds + 1)
         ]
         table = _fold_table(df.sparkSession, run_fits(tasks))
@@ -183,6 +185,17 @@ def learning_curve(
     )
 
 
+def _curve_rows(
+    rows: DataFrame, spec: DatasetSpec, variant: Variant, fractions: Sequence[float], fold: int, seed: int,
+) -> DataFrame:
+    """Adds the index of the smallest fraction that holds the row, of the fold's training rows that a plain fit uses."""
+    name, taken = f"smallest_{fold}", F.col("fold") != fold
+    if variant.fit_rows is not None:
+        rows = draw(rows, spec, variant, f"drawn_{fold}", taken)
+        taken = F.col(f"drawn_{fold}")
+    return nested_subsets(rows, spec, fractions, seed=seed, name=name, where=taken)
+
+
 def family_comparison(df: DataFrame, spec: DatasetSpec, families: Sequence[Variant] = FAMILIES, folds: int = 5) -> DataFrame:
     """Model families on identical folds: quality, fit time and size, mean and population std."""
     table = cross_validate(df, spec, families, folds)

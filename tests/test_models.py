@@ -144,6 +144,43 @@ def test_grid_and_learning_curve_share_folds(spark, toy, tmp_path):
     assert full == {r["fold"]: r["validation_macro_f1"] for r in rows if r["variant"] == "depth_none_leaf_1"}
 
 
+def test_bounded_curves_cut_nested_fractions_out_of_one_sample(toy):
+    folded = study.with_folds(toy, SPEC, folds=3)
+    small = replace(SMALL, fit_rows=60)
+    table = study.cross_validate(folded, SPEC, [small], folds=3)
+    rows = table.collect()
+    assert {(r["n_train"], r["n_validation"]) for r in rows} == {(60, 75)}
+    curve = study.learning_curve(folded, SPEC, small, folds=3).collect()
+    assert {(r["fraction"], r["n_train"]) for r in curve} == {(0.2, 12), (0.4, 24), (0.6, 36), (0.8, 48), (1.0, 60)}
+    # The largest fraction is the plain cross-validation of the bounded variant.
+    full = {r["fold"]: r["validation_macro_f1"] for r in curve if r["fraction"] == 1.0}
+    assert full == {r["fold"]: r["validation_macro_f1"] for r in rows}
+    drawn = models.bounded(toy, SPEC, small).groupBy("species").count().collect()
+    assert sorted(r["count"] for r in drawn) == [20, 20, 20]
+
+
+def test_comparison_reports_the_rows_of_its_fits(reference, make_log):
+    snapshot = prepare_dataset(reference, make_log(log_row()), SPEC).snapshot.checkpoint()
+    bounded = replace(SMALL, fit_rows=15)
+    result = retraining.candidate_vs_baseline(snapshot, source_rows(snapshot, "reference"), SPEC, bounded, SMALL)
+    assert {r["model"]: r["n_train"] for r in result.metrics.collect()} == {"baseline": 27, "candidate": 15}
+
+
+def test_catalog_curves_and_comparisons_fit_whole_training_sets(monkeypatch):
+    from obslab.catalog import models as catalog
+
+    used = []
+    monkeypatch.setattr(study, "with_folds", lambda *a: None)
+    monkeypatch.setattr(study, "learning_curve", lambda df, spec, variant, **known: used.append(variant))
+    monkeypatch.setattr(catalog, "_orders", lambda *a: None)
+    catalog.learning_curve(None, "")
+    for name in ("prepare_dataset", "step_reference", "step_log", "SnapshotStore", "shared_dir", "source_rows"):
+        monkeypatch.setattr(catalog, name, lambda *a, **k: type("Any", (), {"snapshot": None, "load": lambda *a: None, "save": lambda *a: None})())
+    monkeypatch.setattr(retraining, "candidate_vs_baseline", lambda *a: used.extend(a[3:]) or type("Any", (), {"metrics": None}))
+    catalog.candidate_vs_baseline(None, "")
+    assert len(used) == 3 and all(v.fit_rows is None for v in used)
+
+
 def test_families_and_ablation(toy):
     rows = study.protocol(toy, SPEC, folds=2)
     families = [v.with_trees(2) for v in study.FAMILIES]
