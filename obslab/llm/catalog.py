@@ -55,7 +55,7 @@ def op8_main_text(spark: SparkSession, folder: str) -> DataFrame:
 def op9_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
     ship(spark)
     table, held_out = documents(spark, folder), remainder("doc_id", 7) == 2
-    scored = lm_scoring.train_and_score(table, held_out)
+    scored = lm_scoring.train_and_score(table, held_out, order=3)
     return scored.select("doc_id", held_out.alias("held_out"), *(c for c in scored.columns if c != "doc_id"))
 
 

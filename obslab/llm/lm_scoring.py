@@ -1,15 +1,18 @@
-"""Interpolated modified Kneser-Ney bigram model: counted by Spark, kept as sorted arrays, mapped by the scoring tasks.
+"""Interpolated modified Kneser-Ney model of order 2 or 3: counted by Spark, kept as sorted arrays, mapped by the scoring tasks.
 
 1. Word counts: each task adds up its batches' words; rows meet by range of the word's hash. A range is stored as a sorted
    hash array with its counts; a word's number is its place in the arrays' concatenation.
 2. Bigram counts: keys ``context number << 32 | word number`` are added up in each batch, meet by range of contexts and are
    stored as a sorted key array, with totals for each context. What they say of the second words (in how many contexts a
    word was seen) meets by range of words and is stored too.
+   Of order 3, trigrams are counted instead: they meet by a hash of their two context words, which parts the pairs of a hot
+   word, and are stored likewise below the sorted contexts. What they say of their last two words (after how many first
+   words a pair was seen) meets by range of contexts and takes the place of the bigrams' counts.
 3. Scoring maps the arrays and looks all words of a batch up at once.
 
 Nothing but the ranges' sizes and a few sums (one row for each range) passes the driver. The number of ranges follows the
 number of training rows. Texts are lower-cased A-Z, cut into words ``[^\\x20\\x09-\\x0D]+`` and end with an end token; a
-begin mark is a context only. Null text is empty: just the end token. Without any training row every probability is 1 over
+begin mark is a context only (order 3 has two of them before a text). Null text is empty: just the end token. Without any training row every probability is 1 over
 the vocabulary with its unknown word, that is 1.
 """
 
@@ -35,7 +38,9 @@ RANGE_ROWS = 4096
 #: No word holds white space, so the end token's hash is no word's but by chance.
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))
 PARTS = "shard int, kind int, a binary, b binary, c binary, d binary"
-VOCABULARY, BIGRAMS, FOLLOWS = 0, 1, 2
+VOCABULARY, BIGRAMS, FOLLOWS, TRIGRAMS = 0, 1, 2, 3
+#: Bytes of text whose trigrams are added up at once.
+COUNTED_BYTES = 16 << 20
 COUNT_LIMIT = np.iinfo(np.uint16).max
 MANIFEST = "kind int, shard int, n bigint, m bigint, total bigint, n1 bigint, n2 bigint, n3 bigint, n4 bigint"
 
@@ -49,7 +54,9 @@ class Model:
     words: list[int] = field(default_factory=list)  # distinct words of each range
     bigrams: list[tuple[int, int]] = field(default_factory=list)  # keys and overflowing counts of each range
     tokens: int = 0
-    counts: list[list[int]] = field(default_factory=lambda: [[0] * 4, [0] * 4])  # n1..n4 of bigrams, of continuations
+    counts: list[list[int]] = field(default_factory=lambda: [[0] * 4 for _ in range(3)])  # n1..n4 of bigrams, words' contexts, trigrams
+    order: int = 2
+    trigrams: list[tuple[int, int, int]] = field(default_factory=list)  # keys, overflowing counts and contexts of each range
 
     @property
     def starts(self) -> np.ndarray:
@@ -60,7 +67,7 @@ class Model:
         return int(sum(self.words))
 
     def file(self, kind: int, shard: int) -> str:
-        return f"{self.path}/{('vocabulary', 'bigrams', 'follows')[kind]}-{shard:06d}.bin"
+        return f"{self.path}/{('vocabulary', 'bigrams', 'follows', 'trigrams')[kind]}-{shard:06d}.bin"
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -176,29 +183,107 @@ def count_bigrams(model: Model) -> Callable:
                 continue
             tokens, before, _, _ = token_stream(model, batch.column(0))
             keys, counts = combine(before.astype(np.uint64) << np.uint64(32) | tokens.astype(np.uint64))
-            contexts = (keys >> np.uint64(32)).astype("<u4")
-            cuts = np.searchsorted(contexts, np.arange((1 << model.bits) + 1) * width)
+            yield parts(bigram_rows(model, keys, counts, width))
+
+    return run
+
+
+def runs_of(contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal contexts starts, and its length."""
+    first = np.flatnonzero(np.r_[True, contexts[1:] != contexts[:-1]])
+    return first, np.diff(np.r_[first, len(contexts)]).astype("<u4")
+
+
+def bigram_rows(model: Model, keys: np.ndarray, counts: np.ndarray, width: int) -> list[tuple]:
+    """Ascending bigram keys and their counts, by range of contexts."""
+    contexts = (keys >> np.uint64(32)).astype("<u4")
+    cuts = np.searchsorted(contexts, np.arange((1 << model.bits) + 1) * width)
+    rows = []
+    for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+        if b > a:
+            own = contexts[a:b]
+            first, runs = runs_of(own)
+            rows.append((s, BIGRAMS, (keys[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), counts[a:b].astype("<u4").tobytes(), own[first].tobytes(), runs.tobytes()))
+    return rows
+
+
+def pair_contexts(model: Model, before: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The two words before each token as one number; two begin marks precede a text."""
+    second = np.r_[0, before[:-1]]
+    second[starts] = model.vocabulary + 1
+    return second.astype(np.uint64) << np.uint64(32) | before.astype(np.uint64)
+
+
+def trigram_shards(model: Model, contexts: np.ndarray) -> np.ndarray:
+    mixed = contexts * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return (mixed >> np.uint64(64 - model.bits)).astype(np.int32)
+
+
+def combine_trigrams(contexts: np.ndarray, words: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (context, word), ascending, and their summed counts."""
+    order = np.lexsort((words, contexts))
+    contexts, words = contexts[order], words[order]
+    first = np.flatnonzero(np.r_[True, (contexts[1:] != contexts[:-1]) | (words[1:] != words[:-1])])
+    sums = np.diff(np.r_[first, len(contexts)]) if counts is None else np.add.reduceat(counts[order], first)
+    return contexts[first], words[first], sums
+
+
+def count_trigrams(model: Model) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, 0, COUNTED_BYTES)):
+            tokens, before, _, starts = token_stream(model, batch.column(0))
+            contexts, words, counts = combine_trigrams(pair_contexts(model, before, starts), tokens.astype("<u4"))
+            shards = trigram_shards(model, contexts)
+            order = np.argsort(shards, kind="stable")
+            contexts, words, counts = contexts[order], words[order], counts[order].astype("<u4")
+            cuts = np.searchsorted(shards[order], np.arange((1 << model.bits) + 1))
             rows = []
             for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
                 if b > a:
-                    own = contexts[a:b]
-                    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                    runs = np.diff(np.r_[first, b - a]).astype("<u4")
-                    rows.append((s, BIGRAMS, (keys[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), counts[a:b].astype("<u4").tobytes(), own[first].tobytes(), runs.tobytes()))
+                    first, runs = runs_of(contexts[a:b])
+                    rows.append((s, TRIGRAMS, words[a:b].tobytes(), counts[a:b].tobytes(), contexts[a:b][first].astype("<u8").tobytes(), runs.tobytes()))
             yield parts(rows)
 
     return run
 
 
+def store_trigrams(model: Model) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Stores a range of contexts; returns after how many first words each pair was seen, by range, and a row for the manifest."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        shard = int(rows["shard"].iloc[0])
+        contexts, words, counts = combine_trigrams(
+            np.repeat(joined(rows["c"], "<u8"), joined(rows["d"], "<u4")), joined(rows["a"], "<u4"), joined(rows["b"], "<u4").astype(np.int64))
+        first, runs = runs_of(contexts)
+        own = np.repeat(np.arange(len(first)), runs)
+        kinds = [np.bincount(own[chosen], minlength=len(first)).astype("<u4") for chosen in (counts == 1, counts == 2, counts >= 3)]
+        over = np.flatnonzero(counts >= COUNT_LIMIT)
+        write_arrays(model.file(TRIGRAMS, shard), [
+            np.add.reduceat(counts, first).astype("<f8"), own.astype("<u8") << np.uint64(32) | words.astype("<u8"), over.astype("<i8"),
+            counts[over].astype("<i8"), contexts[first].astype("<u8"), *kinds, np.minimum(counts, COUNT_LIMIT).astype("<u2"),
+        ])
+        pairs, firsts = combine(contexts << np.uint64(32) | words.astype(np.uint64))
+        out = bigram_rows(model, pairs, firsts, context_width(model))
+        sums = np.array([shard, len(counts), len(over), len(first), *counts_of_counts(counts)], "<i8")
+        out.append((shard, TRIGRAMS, sums.tobytes(), None, None, None))
+        return pd.DataFrame(out, columns=["shard", "kind", "a", "b", "c", "d"])
+
+    return run
+
+
 def counts_of_counts(counts: np.ndarray) -> tuple[int, ...]:
     return tuple(int((counts == k).sum()) for k in (1, 2, 3, 4))
 
 
 def store_bigrams(model: Model) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Stores a range of contexts; returns the range's second words by their own range, and a row for the manifest."""
+    """Stores a range of contexts; returns the range's second words by their own range, and a row for the manifest; passes the trigram ranges' sums on."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         shard, width = int(rows["shard"].iloc[0]), context_width(model)
+        passed, rows = rows[rows["kind"] == TRIGRAMS], rows[rows["kind"] == BIGRAMS]
+        if not len(rows):
+            return passed
         contexts = np.repeat(joined(rows["c"], "<u4"), joined(rows["d"], "<u4")).astype(np.uint64)
         words = joined(rows["a"], "<u4").astype(np.uint64)
         keys, counts = combine(contexts << np.uint64(32) | words, joined(rows["b"], "<u4").astype(np.int64))
@@ -218,19 +303,22 @@ def store_bigrams(model: Model) -> Callable[[pd.DataFrame], pd.DataFrame]:
         ]
         sums = np.array([shard, len(keys), len(over), *counts_of_counts(counts)], "<i8")
         out.append((shard, BIGRAMS, sums.tobytes(), None, None, None))
-        return pd.DataFrame(out, columns=["shard", "kind", "a", "b", "c", "d"])
+        return pd.concat([pd.DataFrame(out, columns=["shard", "kind", "a", "b", "c", "d"]), passed])
 
     return run
 
 
 def store_follows(model: Model) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Stores in how many contexts each word of a range was seen; passes the bigram ranges' sums on."""
+    """Stores in how many contexts each word of a range was seen; passes the other ranges' sums on."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         shard, out = int(rows["shard"].iloc[0]), []
         for a in rows["a"][rows["kind"] == BIGRAMS]:
             s = np.frombuffer(a, "<i8").tolist()
             out.append(manifest(BIGRAMS, s[0], s[1], s[2], 0, tuple(s[3:])))
+        for a in rows["a"][rows["kind"] == TRIGRAMS]:
+            s = np.frombuffer(a, "<i8").tolist()
+            out.append(manifest(TRIGRAMS, s[0], s[1], s[2], s[3], tuple(s[4:])))
         own = rows[rows["kind"] == FOLLOWS]
         if len(own):
             start, n = int(model.starts[shard]), model.words[shard]
@@ -242,12 +330,14 @@ def store_follows(model: Model) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return run
 
 
-def train(texts: DataFrame, column: str = "text") -> Model:
-    """Count ``column`` of all rows and store the model below the shared folder."""
+def train(texts: DataFrame, column: str = "text", order: int = 2) -> Model:
+    """Count ``column`` of all rows and store the model below the shared folder; ``order`` is 2 or 3."""
+    if order not in (2, 3):
+        raise ValueError("the order is 2 or 3")
     texts = texts.select(column)
     n = texts.count()
     bits = max(4, (max(1, n) // RANGE_ROWS).bit_length())
-    model = Model(shared_dir(texts.sparkSession, "kneser-ney"), bits, [0] * (1 << bits), [(0, 0)] * (1 << bits))
+    model = Model(shared_dir(texts.sparkSession, "kneser-ney"), bits, [0] * (1 << bits), [(0, 0)] * (1 << bits), order=order, trigrams=[(0, 0, 0)] * (1 << bits))
     if not n:
         return model
     words = texts.mapInArrow(count_words(bits), PARTS).groupBy("shard").applyInPandas(store_words(model), MANIFEST)
@@ -256,13 +346,18 @@ def train(texts: DataFrame, column: str = "text") -> Model:
         model.tokens += r.total
     if model.vocabulary >= 2**32 - 2:
         raise ValueError("word numbers must fit 32 bits")
-    bigrams = texts.mapInArrow(count_bigrams(model), PARTS).groupBy("shard").applyInPandas(store_bigrams(model), PARTS)
+    counted = texts.mapInArrow(count_bigrams(model), PARTS)
+    if order == 3:
+        counted = texts.mapInArrow(count_trigrams(model), PARTS).groupBy("shard").applyInPandas(store_trigrams(model), PARTS)
+    bigrams = counted.groupBy("shard").applyInPandas(store_bigrams(model), PARTS)
     for r in bigrams.groupBy("shard").applyInPandas(store_follows(model), MANIFEST).collect():
-        sums = model.counts[0 if r.kind == BIGRAMS else 1]
+        sums = model.counts[{BIGRAMS: 0, FOLLOWS: 1, TRIGRAMS: 2}[r.kind]]
         for k, x in enumerate((r.n1, r.n2, r.n3, r.n4)):
             sums[k] += x
         if r.kind == BIGRAMS:
             model.bigrams[r.shard] = (r.n, r.m)
+        if r.kind == TRIGRAMS:
+            model.trigrams[r.shard] = (r.n, r.m, r.total)
     return model
 
 
@@ -275,6 +370,15 @@ def bigram_arrays(path: str, bits: int, sizes: tuple[tuple[int, int], ...], widt
     ]
 
 
+@lru_cache(maxsize=2)
+def trigram_arrays(path: str, bits: int, sizes: tuple[tuple[int, int, int], ...]) -> list[list[np.ndarray] | None]:
+    model = Model(path, bits)
+    return [
+        map_arrays(model.file(TRIGRAMS, s), [("<f8", k), ("<u8", n), ("<i8", m), ("<i8", m), ("<u8", k), ("<u4", k), ("<u4", k), ("<u4", k), ("<u2", n)]) if n else None
+        for s, (n, m, k) in enumerate(sizes)
+    ]
+
+
 @lru_cache(maxsize=2)
 def follow_arrays(path: str, bits: int, sizes: tuple[int, ...]) -> list[np.ndarray]:
     model = Model(path, bits)
@@ -308,20 +412,43 @@ def probabilities(model: Model, tokens: np.ndarray, before: np.ndarray) -> np.nd
         a, b = cuts[s], cuts[s + 1]
         if b == a or arrays is None:
             continue
-        totals, known, over, large, n1, n2, n3, counts = arrays
+        totals = arrays[0]
         own = contexts[a:b] - s * width
-        total = totals[own]
-        seen = total > 0
-        at = np.minimum(np.searchsorted(known, keys[a:b]), len(known) - 1)
-        count = np.where(known[at] == keys[a:b], counts[at], 0).astype(np.int64)
-        top = np.flatnonzero(count == COUNT_LIMIT)
-        count[top] = large[np.searchsorted(over, at[top])]
-        total = np.where(seen, total, 1)
-        found[a:b] = np.where(seen, (count - d[np.minimum(count, 3)]) / total, 0)
-        left[a:b] = np.where(seen, (d[1] * n1[own] + d[2] * n2[own] + d[3] * n3[own]) / total, 1)
+        found[a:b], left[a:b] = shares(arrays, keys[a:b], own, totals[own] > 0, d)
     return found[back] + left[back] * single
 
 
+def shares(arrays: list[np.ndarray], keys: np.ndarray, own: np.ndarray, seen: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of keys in a range: the discounted share of the context's count, and what the context leaves for the lower order."""
+    totals, known, over, large, n1, n2, n3, counts = arrays
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    count = np.where(known[at] == keys, counts[at], 0).astype(np.int64)
+    top = np.flatnonzero(count == COUNT_LIMIT)
+    count[top] = large[np.searchsorted(over, at[top])]
+    count[~seen] = 0
+    total = np.where(seen, totals[own], 1)
+    return np.where(seen, (count - d[np.minimum(count, 3)]) / total, 0), np.where(seen, (d[1] * n1[own] + d[2] * n2[own] + d[3] * n3[own]) / total, 1)
+
+
+def trigram_probabilities(model: Model, tokens: np.ndarray, contexts: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Probability of each token after the two before it, ``lower`` being that after one."""
+    shards, d = trigram_shards(model, contexts), discounts(model.counts[2])
+    order = np.lexsort((tokens, contexts, shards))
+    cuts = np.searchsorted(shards[order], np.arange((1 << model.bits) + 1))
+    out = lower.copy()
+    for s, arrays in enumerate(trigram_arrays(model.path, model.bits, tuple(model.trigrams))):
+        chosen = order[cuts[s] : cuts[s + 1]]
+        if arrays is None or not len(chosen):
+            continue
+        known = arrays[4]
+        own = np.minimum(np.searchsorted(known, contexts[chosen]), len(known) - 1)
+        seen = known[own] == contexts[chosen]
+        keys = own.astype(np.uint64) << np.uint64(32) | tokens[chosen].astype(np.uint64)
+        found, left = shares([*arrays[:4], *arrays[5:]], keys, own, seen, d)
+        out[chosen] = found + left * lower[chosen]
+    return out
+
+
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: (key, n_tokens, n_known, train_tokens, base_score, score); scores are sums of log10."""
     from pyspark.sql.pandas.types import to_arrow_type
@@ -334,7 +461,10 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
         scale = np.log10(model.tokens + 1 * (model.vocabulary + 1))
         for batch in (part for whole in batches for part in slices(whole, 1)):
             tokens, before, seen, starts = token_stream(model, batch.column(1))
-            p = np.log10(probabilities(model, tokens, before))
+            p = probabilities(model, tokens, before)
+            if model.order == 3:
+                p = trigram_probabilities(model, tokens, pair_contexts(model, before, starts), p)
+            p = np.log10(p)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).cast(arrow), pa.array(np.diff(np.r_[starts, len(tokens)])), pa.array(np.add.reduceat((seen > 0).astype(np.int64), starts)),
                 pa.array(np.full(len(starts), model.tokens)), pa.array(np.add.reduceat(np.log10(seen + 1.0) - scale, starts)), pa.array(np.add.reduceat(p, starts)),
@@ -343,6 +473,6 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind.simpleString()}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
-def train_and_score(df: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+def train_and_score(df: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", order: int = 2) -> DataFrame:
     """Scores of all rows by a model of those that are not held out; repeated rows are scored each."""
-    return score(df, train(df.where(~held_out), text), key, text)
+    return score(df, train(df.where(~held_out), text, order), key, text)

@@ -25,8 +25,10 @@ class Words(NamedTuple):
 
 def words_of_batch(texts: pa.Array, lower: bool = False) -> Words:
     """Words between ASCII white space (null: none); ``lower`` turns A-Z only."""
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
-    cut = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    texts = pc.fill_null(texts, "")
+    # Lowered before the cast: Arrow lowers the wrong bytes of a slice that was cast.
+    texts = (pc.ascii_lower(texts) if lower else texts).cast(pa.large_string())
+    cut = pc.ascii_split_whitespace(texts)
     named = cut.flatten().dictionary_encode()
     codes, distinct = named.indices.to_numpy(), named.dictionary
     ends = cut.offsets.to_numpy()[1:].astype(np.int64) - cut.offsets.to_numpy()[0]

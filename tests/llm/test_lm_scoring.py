@@ -2,11 +2,13 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from obslab.llm import lm_scoring as lm
 from obslab.llm.common import remainder
+from obslab.llm.word_batches import slices, words_of_batch
 
 
 def tokens(text):
@@ -82,3 +84,72 @@ def test_no_training_rows_empty_table_and_clashing_columns(odd, none, clashing,
     check(lm.train_and_score(odd, F.lit(True)).collect(), odd_rows, [])
     assert lm.train_and_score(none, F.lit(False)).collect() == []
     check(lm.train_and_score(clashing, F.lit(False)).collect(), odd_rows, odd_rows)
+
+
+class PlainTrigrams(Plain):
+    """Order 3 in plain Python: trigrams counted, pairs by the number of their first words."""
+
+    def __init__(self, texts):
+        super().__init__(texts)
+        streams = [tokens(t) for t in texts]
+        self.triples = Counter(p for s in streams for p in zip(["<s>", "<s>", *s], ["<s>", *s], s))
+        self.pairs = Counter(p[1:] for p in self.triples)
+        self.after, self.after_two = defaultdict(list), defaultdict(list)
+        for (a, _), n in self.pairs.items():
+            self.after[a].append(n)
+        for (a, b, _), n in self.triples.items():
+            self.after_two[a, b].append(n)
+        self.d2, self.d3 = (lm.discounts([list(c.values()).count(k) for k in (1, 2, 3, 4)]) for c in (self.pairs, self.triples))
+
+    def third(self, a, b, c):
+        p = self.probability(b, c)
+        if (a, b) in self.after_two:
+            total, n = sum(self.after_two[a, b]), self.triples.get((a, b, c), 0)
+            p = (n - self.d3[min(n, 3)]) / total + sum(self.d3[min(n, 3)] for n in self.after_two[a, b]) / total * p
+        return p
+
+    def scores(self, text):
+        s = tokens(text)
+        return *super().scores(text)[:4], sum(math.log10(self.third(*p)) for p in zip(["<s>", "<s>", *s], ["<s>", *s], s))
+
+
+def check_trigrams(rows, source, training):
+    model = PlainTrigrams([t for _, t, *_ in training])
+    got = sorted((r.doc_id or 0, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in rows)
+    want = sorted((i or 0, *model.scores(t)) for i, t, *_ in source)
+    assert len(got) == len(want)
+    for g, w in zip(got, want):
+        assert g[:4] == w[:4] and g[4:] == pytest.approx(w[4:], rel=1e-9)
+
+
+def test_trigram_scores_equal_plain_python(odd, none, odd_rows, monkeypatch):
+    out = held(odd)
+    check_trigrams(lm.train_and_score(odd, remainder("doc_id", 7) == 2, order=3).collect(), odd_rows, [r for r in odd_rows if r[0] not in out])
+    check_trigrams(lm.train_and_score(odd, F.lit(True), order=3).collect(), odd_rows, [])
+    assert lm.train_and_score(none, F.lit(False), order=3).collect() == []
+    model = PlainTrigrams(["a b c a b", "b c d", "a a a b"])
+    for context in (("a", "b"), ("<s>", "<s>"), ("<s>", "a"), ("never", "a"), ("never", "seen")):
+        assert sum(model.third(*context, w) for w in [*model.count, "unknown word"]) == pytest.approx(1)
+    with pytest.raises(ValueError, match="order"):
+        lm.train(none, order=4)
+
+
+def test_trigram_counts_beyond_16_bits(make):
+    source = [(1, "a b " * 80_000 + "c", "", "", 0), (2, "a b " * 40_000 + "b a a", "", "", 0), (3, "a c b", "", "", 0)]
+    check_trigrams(lm.train_and_score(make(*source), F.lit(False), order=3).collect(), source, source)
+
+
+def test_the_query_scores_by_two_words_before(make, monkeypatch):
+    from obslab.llm import catalog
+
+    source = [(i, f"x{i % 2} y z{i % 2}", "", "", 0) for i in range(40)] + [(100, "x0 y z1", "", "", 0)]
+    monkeypatch.setattr(catalog, "documents", lambda *a: make(*source))
+    rows = {r.doc_id: r.score for r in catalog.op9_kneser_ney(make(*source).sparkSession, "").collect()}
+    assert rows[0] > rows[100] + 0.5
+
+
+def test_words_of_slices_are_those_of_the_texts():
+    texts = [f"Ñandú {i} Wörter É{i % 9}" for i in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    found = [words_of_batch(part.column(0), lower=True) for part in slices(batch, 0, 500)]
+    assert len(found) > 5 and [f.distinct[c].as_py() for f in found for c in f.codes] == [w for t in texts for w in tokens(t)[:-1]]
