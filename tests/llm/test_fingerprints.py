@@ -1,6 +1,6 @@
 import hashlib
 
-from conftest import words_of
+from llm_rows import words_of
 from pyspark.sql import functions as F
 
 from obslab.llm import fingerprints as fp

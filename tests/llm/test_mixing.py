@@ -1,7 +1,7 @@
 from collections import Counter
 
 import pytest
-from conftest import words_of
+from llm_rows import words_of
 
 from obslab.llm import mixing
 from obslab.llm.common import stored

@@ -2,7 +2,7 @@ import random
 from itertools import combinations
 
 import pytest
-from conftest import words_of
+from llm_rows import words_of
 
 from obslab.llm import near_join as nj
 from obslab.llm.components import components

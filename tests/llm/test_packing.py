@@ -50,7 +50,7 @@ def test_round_trip(odd, odd_rows):
 
 
 def test_little_padding_over_many_blocks(make):
-    from conftest import plain_rows
+    from llm_rows import plain_rows
 
     source = plain_rows(400, 5)
     table = make(*source).coalesce(1)
@@ -59,7 +59,7 @@ def test_little_padding_over_many_blocks(make):
 
 
 def test_order_is_kept(make):
-    from conftest import plain_rows
+    from llm_rows import plain_rows
 
     rows = packing.pack(make(*plain_rows(50)).coalesce(1)).collect()
     placed = sorted(rows, key=lambda r: (r.sequence_id, r.offset))

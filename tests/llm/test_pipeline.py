@@ -3,7 +3,7 @@ from collections import Counter
 
 import corpus_pipeline as cp
 import pytest
-from conftest import ODD, SCHEMA, plain_rows, words_of
+from llm_rows import ODD, SCHEMA, plain_rows, words_of
 
 from obslab.llm.common import stored
 

@@ -1,7 +1,7 @@
 import re
 from collections import Counter
 
-from conftest import words_of
+from llm_rows import words_of
 
 from obslab.llm.quality_rules import LineRules, quality_rules
 
