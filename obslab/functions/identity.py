@@ -51,8 +51,18 @@ def _array(parts: Sequence[Column]) -> Column:
 
 
 def order_hash(seed: int | str, *keys: Column) -> Column:
-    """Reproducible pseudo-random sort key: depends on the seed and the row key only."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), *(k.cast("string") for k in keys)))
+    """Reproducible pseudo-random sort key: depends on the seed and the row key only.
+
+    Keys are joined by colons. Colons and backslashes inside a key are escaped and a null has a mark of its own, so
+    different keys never give the same text.
+    """
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *(_key_part(k) for k in keys)))
+
+
+def _key_part(key: Column) -> Column:
+    text = key.cast("string")
+    escaped = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit(":"), F.lit("\\:"))
+    return F.coalesce(escaped, F.lit("\\0"))
 
 
 def _hash_number(text: Column, start: int) -> Column:

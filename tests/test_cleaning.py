@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import log_row
+from core_rows import log_row
 from obslab.operators import cleaning, gates
 from obslab.spec import BODY_MEASURES as SPEC, DatasetSpec
 

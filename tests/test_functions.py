@@ -93,3 +93,8 @@ def test_ids_tell_where_a_value_is_missing(spark):
     spec = DatasetSpec(label="y", numeric=("a", "b"), labels=("p",))
     rows = spark.createDataFrame([(1.0, None, "p"), (None, 1.0, "p")], "a double, b double, y string")
     assert rows.select(identity.record_id(spec).alias("i")).distinct().count() == 2
+
+
+def test_order_hash_tells_different_keys_apart(spark):
+    rows = spark.createDataFrame([("a:b", "c"), ("a", "b:c"), ("a", None), (None, "a"), ("a\\", "b"), ("\\0", "a")], "x string, y string")
+    assert rows.select(identity.order_hash(1, F.col("x"), F.col("y")).alias("h")).distinct().count() == 6

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import log_row
+from core_rows import log_row
 from obslab.operators import features, gates, models, profile
 from obslab.operators.models import FittedModel, Variant, fit, score
 from obslab.operators.prepare import prepare_dataset, source_rows

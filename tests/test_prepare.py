@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import log_row, reference_rows
+from core_rows import log_row, reference_rows
 from dataclasses import replace
 from obslab.operators import duplicates, gates, leakage, skew
 from obslab.operators.prepare import prepare_dataset, source_rows

@@ -3,7 +3,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import log_row
+from core_rows import log_row
 from obslab.operators import versions
 from obslab.operators.models import Variant
 from obslab.operators.prepare import prepare_dataset
