@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from obslab.llm import fingerprints, html_text, language_id, lm_scoring, mixing, near_join, packing, quality_rules, secret_scan, token_counts
+from obslab.llm import (
+    collocations, decontamination, fingerprints, html_text, language_id, lm_scoring, mixing, near_join, packing, prefix_trie, quality_rules, secret_scan,
+    token_counts,
+)
 from obslab.llm.common import documents, remainder, ship, stored
 from obslab.llm.statements import SQL  # noqa: F401  (registered beside the queries)
 
@@ -64,10 +67,24 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, folder))
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    ship(spark)
+    return prefix_trie.trie(prefix_trie.rebuilt(spark.read.parquet(f"{folder}/conversations.parquet")))
+
+
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    ship(spark)
+    return collocations.collocations(documents(spark, folder))
+
+
+def op13_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.report(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_language_id, op3_chosen_path_join, op4_packing, op5_fingerprints, op6_mixing, op7_secret_scan, op8_main_text,
-        op9_kneser_ney, op10_token_counts,
+        op9_kneser_ney, op10_token_counts, op11_prefix_trie, op12_collocations, op13_decontamination,
     )
 }

@@ -318,13 +318,14 @@ def trie(conversations: DataFrame, shard_turns: int = SHARD_TURNS, fan: int = FA
     cut = paths.repartitionByRange(shards, "path").sortWithinPartitions("path").withColumn("shard", F.spark_partition_id().cast("bigint"))
     nodes = stored(cut.mapInArrow(_build, _NODE), "nodes")
     closed, open_nodes = [nodes.where("not open")], nodes.where("open")
+    last = open_nodes.agg(F.max("shard")).first()[0] or 0
     while True:
-        final = shards <= fan
+        final = last < fan
         merged = _merged(open_nodes, fan, final)
         closed.append(merged.where("not open"))
         if final:
             break
-        open_nodes, shards = merged.where("open"), -(-shards // fan)
+        open_nodes, last = merged.where("open"), last // fan
     seams = closed[1]
     for part in closed[2:]:
         seams = seams.unionByName(part)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from obslab.llm.collocations import COVERED, LEAST, MOST_WORDS, SCALE, TOP
+from obslab.llm.decontamination import WINDOW
 from obslab.llm.mixing import GOLDEN, MOST_PASSES
 from obslab.llm.near_join import SHINGLE, THRESHOLD
+from obslab.llm.prefix_trie import HEADS, MODULUS
 from obslab.llm.quality_rules import ENDINGS, MARKS, PHRASES, SEPARATORS, SYMBOLS, LineRules
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -121,4 +124,92 @@ OP6 = f"""
     FROM placed
 """
 
-SQL = {"op1_quality_rules": OP1, "op3_chosen_path_join": OP3, "op6_mixing": OP6}
+# The checksum of a number's decimal digits, byte by byte and bit by bit.
+_BITS = "list_reduce([xor(c, b)] || [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))"
+_CRC = f"xor(list_reduce([4294967295::UBIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda d: ascii(d)::UBIGINT), lambda c, b: {_BITS}), 4294967295::UBIGINT)"
+
+OP11 = f"""
+    WITH own AS (
+      SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+      FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+    ), checked AS (
+      SELECT *, ({_CRC} % {HEADS})::BIGINT AS h, conv_id - conv_id % {MODULUS} AS base FROM own
+    ), whole AS (
+      SELECT c.conv_id, list_concat(coalesce(b.turns, [])[:c.h], c.turns[c.h + 1:]) AS path
+      FROM checked c LEFT JOIN own b ON b.conv_id = c.base
+    ), prefixes AS (
+      SELECT conv_id, d, path[:d] AS node, d = len(path) AS ends FROM whole, unnest(range(len(path) + 1)) AS u(d)
+    ), nodes AS (
+      SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '') AS ids
+      FROM prefixes GROUP BY node, d
+    ), kids AS (
+      SELECT node[:d - 1] AS node, d - 1 AS d, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1, 2
+    ), linked AS (
+      SELECT nodes.*, coalesce(n_children, 0) AS n_children, CASE WHEN d > 0 THEN (n_convs - 1) * strlen(node[d].text) ELSE 0 END AS gain
+      FROM nodes LEFT JOIN kids USING (node, d)
+    ), subtrees AS (
+      SELECT node[:u.up] AS node, u.up AS d, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(gain)::BIGINT AS saved_tokens
+      FROM linked, unnest(range(d + 1)) AS u(up) GROUP BY 1, 2
+    )
+    SELECT l.conv_id, l.d AS depth, p.conv_id AS parent_conv_id, l.n_convs, l.n_children, n_leaves, saved_tokens, sha256(l.ids) AS ends_sha256
+    FROM linked l JOIN subtrees USING (node, d) LEFT JOIN nodes p ON p.d = l.d - 1 AND p.node = l.node[:l.d - 1]
+"""
+
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP12 = f"""
+    WITH pieces AS (
+      SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWERED}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+    ), worded AS (
+      SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces
+    ), totals AS (
+      SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang
+    ), f AS (
+      SELECT lang, w[i + 1:i + size] AS p, count(*) AS a
+      FROM worded, range(1, {MOST_WORDS + 1}) AS s(size), unnest(range(len(w) - size + 1)) AS u(i) GROUP BY ALL HAVING count(*) >= {LEAST}
+    ), cuts AS (
+      SELECT x.lang, x.p, x.a, k, l.a AS l, r.a AS r, (({SCALE}::HUGEINT * x.a) // (l.a + r.a)::HUGEINT)::BIGINT AS score
+      FROM f x, unnest(range(1, len(x.p))) AS u(k) JOIN f l ON l.lang = x.lang AND l.p = x.p[:k] JOIN f r ON r.lang = x.lang AND r.p = x.p[k + 1:]
+    ), best AS (
+      SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1
+    ), longest AS (
+      SELECT lang, p[i + 1:i + size] AS p, max(a) AS longer
+      FROM f, range(2, {MOST_WORDS}) AS s(size), unnest(range(len(p) - size + 1)) AS u(i) WHERE size < len(p) GROUP BY ALL
+    ), ranked AS (
+      SELECT b.*, array_to_string(b.p, ' ') AS phrase FROM best b LEFT JOIN longest g ON g.lang = b.lang AND g.p = b.p
+      WHERE longer IS NULL OR 100::HUGEINT * longer < {COVERED}::HUGEINT * b.a
+    )
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM ranked JOIN totals USING (lang) QUALIFY rank <= {TOP}
+"""
+
+_PLAIN = f"regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP13 = f"""
+    WITH d AS (
+      SELECT doc_id, row_number() OVER () AS row, {_PLAIN} AS w FROM documents
+    ), i AS (
+      SELECT coalesce(item_id::VARCHAR, '') AS item, {_PLAIN} AS w FROM benchmark
+    ), item_windows AS (
+      SELECT DISTINCT item, least(len(w), {WINDOW}) AS n, array_to_string(w[s + 1:s + {WINDOW}], ' ') AS win
+      FROM i, unnest(range(greatest(len(w) - {WINDOW}, 0) + 1)) AS u(s) WHERE len(w) > 0
+    ), sizes AS (
+      SELECT DISTINCT n FROM item_windows
+    ), windows AS (
+      SELECT row, s, n, array_to_string(w[s + 1:s + n], ' ') AS win FROM d, sizes, unnest(range(len(w) - n + 1)) AS u(s)
+    ), met AS (
+      SELECT row, s, n, item FROM windows JOIN item_windows USING (n, win)
+    ), hit AS (
+      SELECT row, count(DISTINCT s + j) AS n_hit FROM met, unnest(range(n)) AS v(j) GROUP BY row
+    ), named AS (
+      SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, item FROM met) GROUP BY row
+    )
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+    FROM d LEFT JOIN hit USING (row) LEFT JOIN named USING (row)
+"""
+
+SQL = {
+    "op1_quality_rules": OP1, "op3_chosen_path_join": OP3, "op6_mixing": OP6, "op11_prefix_trie": OP11, "op12_collocations": OP12,
+    "op13_decontamination": OP13,
+}
