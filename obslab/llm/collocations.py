@@ -40,6 +40,8 @@ SCALE = 2_000_000
 TILE_BITS, DENSE_TILES = 10, 2
 #: Dense tiles that a task holds, 4 MB each, before it hands them on.
 HELD_TILES = 24
+#: Words of encoded texts that a task works on at once.
+POSITIONS = 1 << 20
 #: Cells of other tiles for each bucket of the shuffle, about; and cells that a task gathers before it adds them up.
 BUCKET_CELLS, GATHERED = 1 << 22, 1 << 21
 #: Rows (a name and a number) of languages that may be broadcast.
@@ -220,6 +222,23 @@ def _cell_rows(found: Iterator[tuple[int, np.ndarray, np.ndarray]], part: int) -
 def _counter(tables: list[SortedTable], width: int, buckets: int):
     """Cells (phrase, next word) of encoded documents; the tables name phrases of 2, 3, ... words."""
 
+    ahead = len(tables) + 1
+
+    def met(words, starts, ends, at):
+        """Cells of the phrases that begin at ``POSITIONS`` words from ``at`` on, and the least numbers of their languages."""
+        words = words[at : at + POSITIONS + ahead]
+        start = starts[np.searchsorted(ends, np.arange(at, at + len(words)), "right")]
+        phrase, phrase_start = words, start
+        for k, table in enumerate(tables, 1):
+            there = (phrase[:-1] >= 0) & (words[k:] >= 0)
+            code, back = np.unique(phrase[:-1][there] * width + words[k:][there], return_inverse=True)
+            found, (ids, firsts) = table.find(code)
+            phrase, phrase_start = np.full(len(there), -1, np.int64), np.zeros(len(there), np.int64)
+            phrase[there], phrase_start[there] = np.where(found, ids, -1)[back], firsts[back]
+        # Both the phrase and the one that starts a word later must be frequent.
+        both = np.flatnonzero((phrase[:-1] >= 0) & (phrase[1:] >= 0))
+        return phrase[both], words[both + ahead], phrase_start[both], start[both + ahead]
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, part = _Cells(width, buckets), 0
         for batch in batches:
@@ -229,19 +248,9 @@ def _counter(tables: list[SortedTable], width: int, buckets: int):
             blobs = batch.column(1)
             ends = np.frombuffer(blobs.buffers()[1], np.int32, len(blobs) + 1, blobs.offset * 4)
             words = np.frombuffer(blobs.buffers()[2], "<i8", (ends[-1] - ends[0]) // 8, ends[0])
-            start = np.repeat(batch.column(0).to_numpy(), np.diff(ends) // 8)
-            phrase, phrase_start = words, start
-            for k, table in enumerate(tables, 1):
-                there = (phrase[:-1] >= 0) & (words[k:] >= 0)
-                code, back = np.unique(phrase[:-1][there] * width + words[k:][there], return_inverse=True)
-                found, (ids, starts) = table.find(code)
-                phrase, phrase_start = np.full(len(there), -1, np.int64), np.zeros(len(there), np.int64)
-                phrase[there], phrase_start[there] = np.where(found, ids, -1)[back], starts[back]
-            # Both the phrase and the one that starts a word later must be frequent.
-            ahead = len(tables) + 1
-            both = (phrase[:-1] >= 0) & (phrase[1:] >= 0)
-            after = words[ahead : ahead + len(both)]
-            yield from _cell_rows(cells.add(phrase[:-1][both], after[both], phrase_start[:-1][both], start[ahead : ahead + len(both)][both]), part)
+            ends = (ends[1:] - ends[0]) // 8
+            for at in range(0, len(words), POSITIONS):
+                yield from _cell_rows(cells.add(*met(words, batch.column(0).to_numpy(), ends, at)), part)
         yield from _cell_rows(cells.flush(), part)
 
     return count

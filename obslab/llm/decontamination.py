@@ -40,11 +40,11 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(lowered, GAP), "")
 
 
-def _worded(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, row hashes, words) of every document."""
+def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, row hashes, text) of every document."""
     parts = [part for c in (key, text) for part in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
     hashes = (F.xxhash64(*parts), F.xxhash64(F.lit(1), *parts))
-    return docs.select(F.col(f"`{key}`").alias("key"), *(h.alias(n) for h, n in zip(hashes, ROW)), words_of(F.col(f"`{text}`")).alias("words"))
+    return docs.select(F.col(f"`{key}`").alias("key"), *(h.alias(n) for h, n in zip(hashes, ROW)), F.col(f"`{text}`").alias("text"))
 
 
 def item_windows(items: DataFrame, item_key: str, text: str, window: int) -> DataFrame:
@@ -103,28 +103,36 @@ def occurrences(
     windows = stored(item_windows(items, item_key, text, window), "windows")
     distinct = windows.select("words").distinct()
     sizes = sorted(r[0] for r in distinct.select(F.least(F.size("words"), F.lit(SHINGLE))).distinct().collect())
-    worded = _worded(docs, key, text)
-    counted = worded.select("key", *ROW, F.size("words").cast("bigint").alias("n_words"))
-    if not sizes:
-        nothing = worded.where("false").select(*ROW, F.lit(0).alias("start"), F.col("words").alias("window"))
-        return counted, nothing, windows
-    prefixes = stored(_prefixes(worded, distinct, sizes, limit), "prefixes")
+    keyed = _keyed(docs, key, text)
+    none = F.array().cast("array<struct<start:int,window:array<string>>>")
+    if sizes:
+        listed = _candidates(keyed, distinct, sizes, limit).groupBy(*ROW).agg(F.collect_set(F.struct("start", "window")).alias("marks"))
+        listed = stored(listed, "candidates")
+        marked = listed.select(F.length(F.to_json("marks")).alias("n"))
+        keyed = keyed.join(F.broadcast(listed) if _small(marked, F.col("n") * 2, limit) else listed, ROW, "left")
+    else:
+        keyed = keyed.withColumn("marks", none)
+    worded = keyed.select("key", *ROW, "marks", words_of(F.col("text")).alias("words"))
+    same = let(F.struct("words", F.coalesce("marks", none).alias("marks")), lambda d: F.filter(
+        d["marks"], lambda m: F.slice(d["words"], m["start"] + 1, F.size(m["window"])) == m["window"]))
+    read = stored(worded.select("key", *ROW, F.size("words").cast("bigint").alias("n_words"), same.alias("marks")), "occurrences")
+    found = read.select(*ROW, F.explode("marks").alias("m")).select(*ROW, "m.start", "m.window").distinct()
+    return read.select("key", *ROW, "n_words"), found, windows
+
+
+def _candidates(keyed: DataFrame, windows: DataFrame, sizes: list[int], limit: int) -> DataFrame:
+    """(row hashes, start, window) wherever a window's rarest shingle stands and the window has room around it.
+
+    Shingles travel without the texts: a text that went along would be copied for each of its words.
+    """
+    met = keyed.select(*ROW, words_of(F.col("text")).alias("words"))
+    prefixes = stored(_prefixes(met, windows, sizes, limit), "prefixes")
     wanted = prefixes.select(F.col("words").alias("window"), F.col("at").alias("offset"), "token")
-    start = F.col("s.at") - F.col("offset")
-    room = (start >= 0) & (start + F.size("window") <= F.col("n"))
-    if _small(wanted, F.length(F.array_join("window", " ")) * 4, limit):
-        met = worded.select(*ROW, "words", F.explode(_all_shingles(F.col("words"), sizes)).alias("s"))
-        met = met.select("*", F.size("words").alias("n")).join(F.broadcast(wanted), F.col("s.token") == F.col("token"))
-        same = F.slice("words", start + 1, F.size("window")) == F.col("window")
-        found = met.where(room & same).select(*ROW, start.alias("start"), "window")
-    else:  # the shuffle carries shingles without texts; what is left then meets each different text once
-        met = worded.select(*ROW, F.size("words").alias("n"), F.explode(_all_shingles(F.col("words"), sizes)).alias("s"))
-        met = met.join(wanted, F.col("s.token") == F.col("token")).where(room)
-        candidates = met.select(*ROW, start.alias("start"), "window").distinct()
-        texts = worded.join(candidates.select(*ROW).distinct(), ROW, "left_semi").dropDuplicates(ROW).select(*ROW, "words")
-        same = F.slice("words", F.col("start") + 1, F.size("window")) == F.col("window")
-        found = candidates.join(texts, ROW).where(same).select(*ROW, "start", "window")
-    return counted, stored(found.distinct(), "occurrences"), windows
+    small = _small(wanted, F.length(F.array_join("window", " ")) * 4, limit)
+    met = met.select(*ROW, F.size("words").alias("n"), F.explode(_all_shingles(F.col("words"), sizes)).alias("s"))
+    met = met.select(*ROW, "n", "s.at", "s.token").join(F.broadcast(wanted) if small else wanted, "token")
+    start = F.col("at") - F.col("offset")
+    return met.where((start >= 0) & (start + F.size("window") <= F.col("n"))).select(*ROW, start.alias("start"), "window").distinct()
 
 
 def spans(found: DataFrame) -> DataFrame:

@@ -71,6 +71,7 @@ def test_equals_brute_force(shipped, least):
 
 
 def test_tops_and_levels_of_merging(shipped):
+    """Short stretches of words, files of few keys and two levels of merging give the same."""
     rows = table(120, 9)
     got = collocations.collocations(shipped.createDataFrame(rows, SCHEMA).repartition(7), least=2, top=5, fan=2)
     assert sorted(tuple(r) for r in got.collect()) == brute(rows, 2, top=5)
