@@ -22,8 +22,9 @@ from obslab.spec import DatasetSpec
 
 # The deepest tree Spark ML can build; stands for "no depth limit".
 UNLIMITED_DEPTH = 30
-# Partitions of the rows of a fit: so many at least, and one for so many rows.
-LEAST_PARTITIONS, PARTITION_ROWS = 8, 250_000
+# Partitions of the rows of a fit: one for so few rows, whose scheduling costs more than their work, up to eight, and then
+# one for so many rows.
+SMALL_ROWS, SPREAD, PARTITION_ROWS = 512, 8, 250_000
 _LABEL = "label_index"
 _DRAWN = "_drawn"
 _MODEL_COLUMNS = ("rawPrediction", "probability", "prediction", FEATURES)
@@ -101,10 +102,15 @@ def place(rows: DataFrame, spec: DatasetSpec, partitions: int | None = None) ->
     """
     if not spec.key:
         raise ValueError("placing rows needs a row key")
-    n = partitions or max(LEAST_PARTITIONS, -(-rows.count() // PARTITION_ROWS))
+    n = partitions or partitions_for(rows.count())
     return rows.repartition(n, *spec.key).sortWithinPartitions(*spec.key)
 
 
+def partitions_for(rows: int) -> int:
+    """Partitions of the rows of a fit: it follows from their number alone."""
+    return max(1, min(-(-rows // SMALL_ROWS), max(SPREAD, -(-rows // PARTITION_ROWS))))
+
+
 def bounded(rows: DataFrame, spec: DatasetSpec, variant: Variant) -> DataFrame:
     """The rows that a fit of the variant uses: each label gives the same share of its rows, one at least."""
     if variant.fit_rows is None:

@@ -86,10 +86,23 @@ def nested_subsets(
     construction; each label gives max(1, round-half-even(f*n)) rows. Rows
     outside ``where`` take no part and get null.
     """
+    found = subset_rule(df, spec, fractions, key, seed, where)
+    return df.withColumn(name, F.lit(None).cast("string") if found is None else found)
+
+
+def subset_rule(
+    df: DataFrame, spec: DatasetSpec, fractions: Sequence[float], key: Sequence[str] | None = None, seed: int | str = SEED,
+    where: Column | None = None,
+) -> Column | None:
+    """The expression of ``nested_subsets`` for one row, so that several can be found at the same time."""
     if any(not 0 < f <= 1 for f in fractions) or list(fractions) != sorted(fractions):
         raise ValueError("fractions must ascend within (0, 1]")
     ranks = lambda totals: {label: [max(1, round(f * n)) for f in fractions] for label, n in totals.items()}
-    return _assign(df, spec, key or spec.key, f"{seed}:subset", name, ranks, _passed, where)
+    return _rule(df, spec, key or spec.key, subset_seed(seed), ranks, _passed, where)
+
+
+def subset_seed(seed: int | str) -> str:
+    return f"{seed}:subset"
 
 
 def explode_subsets(subsets: DataFrame, fractions: Sequence[float] = LEARNING_FRACTIONS, name: str = "smallest") -> DataFrame:
@@ -124,6 +137,15 @@ def _assign(
     rule: Callable[[Column, list[Column]], Column], where: Column | None = None,
 ) -> DataFrame:
     """Find the thresholds (a few strings per label of the spec), then decide row by row."""
+    rule_of_row = _rule(df, spec, key, seed, ranks, rule, where)
+    return df.withColumn(name, F.lit(None).cast("string") if rule_of_row is None else rule_of_row)
+
+
+def _rule(
+    df: DataFrame, spec: DatasetSpec, key: Sequence[str], seed: str, ranks: Callable[[dict[str, int]], dict[str, list[int]]],
+    rule: Callable[[Column, list[Column]], Column], where: Column | None = None,
+) -> Column | None:
+    """The expression that decides for each row; null if there is nothing to decide."""
     label, hashed = spec.label, _hashed(df, key, seed)
     taken = F.col(label).isNotNull() if where is None else F.col(label).isNotNull() & where
     # Labels outside the spec make one group, so that what the driver holds is sized by the spec.
@@ -137,10 +159,7 @@ def _assign(
     _require_ranks(rows, label, wanted, found)
     cuts = len(next(iter(found.values()), []))
     limits = [_by_label(label, {name: values[i] for name, values in found.items()}) for i in range(cuts)]
-    if not limits:
-        return df.withColumn(name, F.lit(None).cast("string"))
-    chosen = F.when(taken, rule(F.col(HASH), limits))
-    return hashed.withColumn(name, chosen).drop(HASH)
+    return F.when(taken, rule(order_hash(seed, *(F.col(k) for k in key)), limits)) if limits else None
 
 
 def _require_ranks(rows: DataFrame, label: str, wanted: Mapping[str, Sequence[int]], found: Mapping[str, Sequence[str]]) -> None:

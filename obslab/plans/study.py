@@ -9,29 +9,35 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from contextlib import contextmanager
+from contextlib import ExitStack, contextmanager
 from dataclasses import replace
 from functools import reduce
+from heapq import nsmallest
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from obslab.functions.identity import order_hash
+from obslab.operators.forest_bins import BROADCAST_BYTES, binned_cube, forest_bins
 from obslab.operators.metrics import classification_metrics, confusion_cube, fold_summary, select_variant
-from obslab.operators.models import FittedModel, Variant, coefficient_count, draw, fit, forest_size, place
-from obslab.operators.splits import LEARNING_FRACTIONS, SEED, nested_subsets, stratified_folds, stratified_split
+from obslab.operators.models import FittedModel, Variant, coefficient_count, draw, fit, forest_size, partitions_for, place
+from obslab.operators.splits import LEARNING_FRACTIONS, SEED, stratified_folds, stratified_split, subset_rule, subset_seed
+from obslab.session import shared_dir
 from obslab.sources.tables import write_semicolon_csv
 from obslab.spec import DatasetSpec
 
 # Fits submitted to the cluster at the same time.
-PARALLEL_FITS = 4
+PARALLEL_FITS = 8
+# Fits of at most so many rows are drawn for all folds in one pass: the hashes that decide meet on the driver.
+DRAWN_ROWS = 20_000
 # Rows of one block in which a permutation trial moves values.
-BLOCK = 4096
+BLOCK = 1024
+# Files of blocks at most.
+MOST_FILES = 10_000
 # The grid of the regularisation study.
 GRID = tuple(
-    Variant(f"depth_{'none' if depth is None else depth}_leaf_{leaf}", depth=depth, min_leaf=leaf)
-    for depth in (None, 5, 10) for leaf in (1, 2, 4)
+    Variant(f"d{depth or 'max'}-l{leaves}", depth=depth, min_leaf=leaves) for depth in (None, 5, 10) for leaves in (1, 2, 4)
 )
 # The three model families compared on the same folds.
 FAMILIES = (
@@ -75,25 +81,89 @@ def _cube_rows(model: FittedModel, run: str, **subsets: DataFrame) -> list[tuple
     tagged = reduce(
         DataFrame.unionByName, [rows.withColumn("subset", F.lit(name)) for name, rows in subsets.items()]
     )
-    cube = confusion_cube(model.predict(tagged), model.spec.label, f"predicted_{model.spec.label}", ["subset"])
+    cube = _cube(model, tagged, ["subset"])
     return [(run, r["subset"], r["actual"], r["predicted"], r["n"]) for r in cube.collect()]
 
 
+def _cube(model: FittedModel, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    if model.variant.kind == "forest":
+        return binned_cube(model, rows, keys)
+    return confusion_cube(model.predict(rows), model.spec.label, f"predicted_{model.spec.label}", keys)
+
+
 def run_fits(tasks: Sequence[Callable[[], tuple]]) -> list[tuple]:
     """Submit independent fits from a few driver threads so that the cluster stays busy."""
     with ThreadPoolExecutor(max_workers=PARALLEL_FITS) as pool:
         return list(pool.map(lambda task: task(), tasks))
 
 
+def fold_draws(rows: DataFrame, spec: DatasetSpec, variant: Variant, folds: int) -> tuple[DataFrame, int]:
+    """Adds ``drawn_<fold>``, whether a fit of the variant on that fold's training rows uses the row, and the largest draw.
+
+    The same rows as ``models.draw`` takes fold by fold, found in two passes for all folds together: a count by label and
+    fold, and the least hashes of each, among which are those of every other fold's draw.
+    """
+    label, names = spec.label, spec.class_order
+    hashed = order_hash(subset_seed(f"fit:{variant.seed}"), *(F.col(k) for k in spec.key))
+    known = rows.where(F.col(label).isin(*names) & F.col("fold").isNotNull())
+    counts = {(r[0], r[1]): r[2] for r in known.groupBy(label, "fold").count().collect()}
+    quotas: dict[int, dict[str, int] | None] = {}
+    for fold in range(1, folds + 1):
+        sizes = {c: sum(n for (name, f), n in counts.items() if name == c and f != fold) for c in names}
+        total = sum(sizes.values())
+        share = variant.fit_rows / total if total else 1.0
+        quotas[fold] = None if total <= variant.fit_rows else {c: max(1, round(share * n)) for c, n in sizes.items() if n}
+    most = max((n for q in quotas.values() if q for n in q.values()), default=0)
+    least: dict[tuple[str, int], list[str]] = {}
+    if most:
+        place = F.row_number().over(Window.partitionBy(label, "fold").orderBy("hash"))
+        ranked = known.select(label, "fold", hashed.alias("hash")).withColumn("place", place).where(F.col("place") <= most + 1)
+        for name, fold, text in ranked.select(label, "fold", "hash").collect():
+            least.setdefault((name, fold), []).append(text)
+    drawn, largest = {}, 0
+    for fold, quota in quotas.items():
+        outside = F.col("fold") != fold
+        if quota is None:
+            chosen = F.col(label).isin(*names) & outside
+            largest = max(largest, sum(n for (_, f), n in counts.items() if f != fold))
+        else:
+            chosen, largest = F.lit(False), max(largest, sum(quota.values()))
+            for name, n in quota.items():
+                merged = nsmallest(n + 1, (h for (c, f), own in least.items() if c == name and f != fold for h in own))
+                if merged[n - 1] == merged[-1] and len(merged) > n:
+                    raise ValueError("row keys repeat: rows that share a key cannot be split to the quota")
+                chosen = chosen | ((F.col(label) == name) & (hashed <= merged[n - 1]) & outside)
+        drawn[f"drawn_{fold}"] = F.coalesce(chosen, F.lit(False))
+    return rows.withColumns(drawn), largest
+
+
+def _samples(stack: ExitStack, rows: DataFrame, spec: DatasetSpec, variants: Sequence[Variant], folds: int) -> dict:
+    """The rows that bounded variants fit, by (fit_rows, seed): one small table for all folds and variants that share it."""
+    samples = {}
+    for v in variants:
+        bound = (v.fit_rows, v.seed)
+        if v.fit_rows is None or v.fit_rows > DRAWN_ROWS or bound in samples:
+            continue
+        drawn, largest = fold_draws(rows, spec, v, folds)
+        used = drawn.where(reduce(lambda a, b: a | b, (F.col(f"drawn_{f}") for f in range(1, folds + 1))))
+        samples[bound] = stack.enter_context(kept(place(used, spec, partitions_for(largest))))
+    return samples
+
+
 def _fold_task(
-    rows: DataFrame, spec: DatasetSpec, variant: Variant, fold: int, fraction: float = 1.0, subset: int | None = None
+    rows: DataFrame, spec: DatasetSpec, variant: Variant, fold: int, fraction: float = 1.0, subset: int | None = None,
+    samples: dict | None = None,
 ):
     def task():
         training, validation = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
         if subset is not None:
             training = training.where(F.col(f"smallest_{fold}") <= subset)
+        sample = (samples or {}).get((variant.fit_rows, variant.seed))
         began = time.perf_counter()
-        model = fit(training, spec, variant, placed=True)
+        if sample is None:
+            model = fit(training, spec, variant, placed=True)
+        else:
+            model = fit(sample.where(f"drawn_{fold}"), spec, replace(variant, fit_rows=None), placed=True)
         seconds = time.perf_counter() - began
         run = f"{variant.name}|{fold}|{fraction}"
         cube = _cube_rows(model, run, train=training, validation=validation)
@@ -126,10 +196,12 @@ def _fold_table(spark: SparkSession, results: list[tuple]) -> DataFrame:
 def cross_validate(df: DataFrame, spec: DatasetSpec, variants: Sequence[Variant], folds: int = 5) -> DataFrame:
     """One row per (variant, fold); ``df`` carries a ``fold`` column from 1 to ``folds``.
 
-    Preprocessing is learnt anew from each fold's training rows.
+    Preprocessing is learnt anew from each fold's training rows. Variants with the same ``fit_rows`` and seed share one draw.
     """
-    with kept(_model_rows(df, spec, "fold")) as rows:
-        tasks = [_fold_task(rows, spec, v, fold) for v in variants for fold in range(1, folds + 1)]
+    with ExitStack() as stack:
+        rows = stack.enter_context(kept(_model_rows(df, spec, "fold")))
+        samples = _samples(stack, rows, spec, variants, folds)
+        tasks = [_fold_task(rows, spec, v, fold, samples=samples) for v in variants for fold in range(1, folds + 1)]
         return _fold_table(df.sparkSession, run_fits(tasks))
 
 
@@ -167,13 +239,24 @@ def learning_curve(
     bounds each fold's training rows once, as its plain cross-validation does;
     the fractions are cut out of that sample, and every fit uses its whole subset.
     """
-    rows = _model_rows(df, spec, "fold")
-    for fold in range(1, folds + 1):
-        rows = _curve_rows(rows, spec, variant, fractions, fold, seed + fold)
     whole = replace(variant, fit_rows=None)
-    with kept(rows) as stored:
+    with kept(_model_rows(df, spec, "fold")) as base:
+        taken = {fold: F.col("fold") != fold for fold in range(1, folds + 1)}
+        if variant.fit_rows is not None and variant.fit_rows <= DRAWN_ROWS:
+            base, _ = fold_draws(base, spec, variant, folds)
+            taken = {fold: F.col(f"drawn_{fold}") for fold in taken}
+        elif variant.fit_rows is not None:
+            for fold, where in taken.items():
+                base = draw(base, spec, variant, f"drawn_{fold}", where)
+            taken = {fold: F.col(f"drawn_{fold}") for fold in taken}
+        # The thresholds of all folds are found at the same time.
+        rules = run_fits([
+            lambda fold=fold, where=where: (f"smallest_{fold}", subset_rule(base, spec, fractions, seed=seed + fold, where=where))
+            for fold, where in taken.items()
+        ])
+        rows = base.withColumns({name: rule for name, rule in rules if rule is not None})
         tasks = [
-            _fold_task(stored, spec, whole, fold, f, i)
+            _fold_task(rows, spec, whole, fold, f, i)
             for i, f in enumerate(fractions) if f < 1.0 or full is None for fold in range(1, folds + 1)
         ]
         table = _fold_table(df.sparkSession, run_fits(tasks))
@@ -185,17 +268,6 @@ def learning_curve(
     )
 
 
-def _curve_rows(
-    rows: DataFrame, spec: DatasetSpec, variant: Variant, fractions: Sequence[float], fold: int, seed: int,
-) -> DataFrame:
-    """Adds the index of the smallest fraction that holds the row, of the fold's training rows that a plain fit uses."""
-    name, taken = f"smallest_{fold}", F.col("fold") != fold
-    if variant.fit_rows is not None:
-        rows = draw(rows, spec, variant, f"drawn_{fold}", taken)
-        taken = F.col(f"drawn_{fold}")
-    return nested_subsets(rows, spec, fractions, seed=seed, name=name, where=taken)
-
-
 def family_comparison(df: DataFrame, spec: DatasetSpec, families: Sequence[Variant] = FAMILIES, folds: int = 5) -> DataFrame:
     """Model families on identical folds: quality, fit time and size, mean and population std."""
     table = cross_validate(df, spec, families, folds)
@@ -213,15 +285,17 @@ def ablation(df: DataFrame, spec: DatasetSpec, variants: Sequence[Variant], fold
     variant: hold-out metrics next to cross-validated ones.
     """
     spark = df.sparkSession
-    with kept(_model_rows(df, spec, "split", "fold")) as rows:
+    with ExitStack() as stack:
+        rows = stack.enter_context(kept(_model_rows(df, spec, "split", "fold")))
         training, held = rows.where("split = 'train'"), rows.where("split = 'test'")
+        samples = _samples(stack, training, spec, variants, folds)
 
         def holdout(variant: Variant):
             return lambda: (variant.name, _cube_rows(
                 fit(training, spec, variant, placed=True), variant.name, holdout=held))
 
         tests = run_fits([holdout(v) for v in variants])
-        tasks = [_fold_task(training, spec, v, fold) for v in variants for fold in range(1, folds + 1)]
+        tasks = [_fold_task(training, spec, v, fold, samples=samples) for v in variants for fold in range(1, folds + 1)]
         table = _fold_table(spark, run_fits(tasks))
     cube = spark.createDataFrame([row for _, rows in tests for row in rows], _RUN)
     test = classification_metrics(cube.withColumnRenamed("run", "variant"), ["variant"])
@@ -232,7 +306,7 @@ def ablation(df: DataFrame, spec: DatasetSpec, variants: Sequence[Variant], fold
 
 
 def permutation_importance(
-    model: FittedModel, held: DataFrame, repeats: int = 30, seed: int = SEED, detail: bool = False
+    model: FittedModel, held: DataFrame, repeats: int = 30, seed: int = SEED, detail: bool = False, binned: bool | None = None,
 ) -> DataFrame:
     """Loss of macro-F1 when one feature's values are shuffled over the held-out rows.
 
@@ -242,39 +316,76 @@ def permutation_importance(
     and row: a random permutation among rows that were put together at random.
     The held-out rows are shuffled once, whatever the number of trials, and no
     group is larger than a block.
+
+    A forest's rows travel as their bins (``forest_bins``): a trial replaces one
+    digit of a row's code, and every different code is scored once for all
+    trials. Other models, or ``binned=False``, score every row of every trial.
     """
     spec = model.spec
     spark = held.sparkSession
-    rows = held.select(*spec.key, spec.label, *spec.features)
-    blocks = max(1, -(-rows.count() // BLOCK))
+    binned = model.variant.kind == "forest" if binned is None else binned
+    keys = ["feature", "repeat"]
+    trials = _coded_cube(model, held, repeats, seed) if binned else _scored_cube(model, held, repeats, seed)
+    counted = spark.createDataFrame(trials.collect(), trials.schema)
+    scores = classification_metrics(counted.fillna({"feature": "", "repeat": -1}), keys)
+    base = scores.where("repeat = -1").first()["macro_f1"]
+    loss = scores.where("repeat >= 0").select(*keys, (F.lit(base) - F.col("macro_f1")).alias("loss"))
+    if detail:
+        return loss
+    return loss.groupBy("feature").agg(
+        F.avg("loss").alias("mean_decrease_macro_f1"), F.stddev_pop("loss").alias("standard_deviation")
+    ).orderBy(F.col("mean_decrease_macro_f1").desc(), "feature")
+
+
+def _pairs(held: DataFrame, spec: DatasetSpec, carried: Sequence[str], repeats: int, seed: int) -> DataFrame:
+    """(feature, repeat, own, donor) for each row and trial, and once with nulls and the row itself as donor."""
+    blocks = max(1, -(-held.count() // BLOCK))
     hashed = order_hash(f"{seed}:importance", *[F.col(k) for k in spec.key])
     number = F.conv(F.substring(hashed, 1, 15), 16, 10).cast("bigint")
-    member = F.struct(hashed.alias("order"), F.col(spec.label), *spec.features)
-    dealt = rows.select(F.pmod(number, F.lit(blocks)).alias("block"), member.alias("member"))
-    packed = dealt.groupBy("block").agg(F.array_sort(F.collect_list("member")).alias("members"))
+    member = F.struct(hashed.alias("order"), *carried)
+    dealt = held.select(F.pmod(number, F.lit(blocks)).alias("block"), member.alias("member"))
+    path = shared_dir(held.sparkSession, "blocks")
+    # One partition, and so one file, for each block: blocks are what later tasks work on.
+    dealt = dealt.repartition(min(blocks, MOST_FILES), "block")
+    dealt.groupBy("block").agg(F.array_sort(F.collect_list("member")).alias("members")).write.parquet(path)
+    packed = held.sparkSession.read.parquet(path)
     trials = F.array(*[
         F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat")) for f in spec.features for r in range(repeats)
     ])
-    drawn = F.transform("members", lambda m: F.struct(
+    places = F.transform("members", lambda m: F.struct(
         F.xxhash64(F.lit(str(seed)), F.col("trial.feature"), F.col("trial.repeat"), m.order).alias("place"), m.alias("member")))
-    turned = F.transform(F.array_sort(drawn), lambda d: d.member)
-    paired = packed.select("block", "members", F.explode(trials).alias("trial")).select(
+    turned = F.transform(F.array_sort(places), lambda d: d.member)
+    drawn = packed.select("members", F.explode(trials).alias("trial")).select(
         F.col("trial.feature").alias("feature"), F.col("trial.repeat").alias("repeat"),
         F.explode(F.arrays_zip(F.col("members").alias("own"), turned.alias("donor"))).alias("pair"),
     )
-    keys = ["feature", "repeat"]
-    shuffled = paired.select(
-        *keys, F.col("pair.own")[spec.label].alias(spec.label),
-        *[F.when(F.col("feature") == c, F.col("pair.donor")[c]).otherwise(F.col("pair.own")[c]).alias(c)
-          for c in spec.features],
+    plain = packed.select(F.explode("members").alias("m")).select(
+        F.lit(None).cast("string").alias("feature"), F.lit(None).cast("int").alias("repeat"),
+        F.struct(F.col("m").alias("own"), F.col("m").alias("donor")).alias("pair"),
     )
-    cube = confusion_cube(model.predict(shuffled), spec.label, f"predicted_{spec.label}", keys)
-    counted = spark.createDataFrame(cube.collect(), cube.schema)
-    base_cube = spark.createDataFrame(_cube_rows(model, "base", holdout=rows), _RUN)
-    base = classification_metrics(base_cube).first()["macro_f1"]
-    loss = classification_metrics(counted, keys).select(*keys, (F.lit(base) - F.col("macro_f1")).alias("loss"))
-    if detail:
-        return loss
-    return loss.groupBy("feature").agg(
-        F.avg("loss").alias("mean_decrease_macro_f1"), F.stddev_pop("loss").alias("standard_deviation")
-    ).orderBy(F.col("mean_decrease_macro_f1").desc(), "feature")
+    both = drawn.unionByName(plain)
+    return both.select("feature", "repeat", F.col("pair.own").alias("own"), F.col("pair.donor").alias("donor"))
+
+
+def _scored_cube(model: FittedModel, held: DataFrame, repeats: int, seed: int) -> DataFrame:
+    """Confusion counts by trial, every row scored in every trial."""
+    spec = model.spec
+    pairs = _pairs(held, spec, [spec.label, *spec.features], repeats, seed)
+    shuffled = pairs.select(
+        "feature", "repeat", F.col("own")[spec.label].alias(spec.label),
+        *[F.when(F.col("feature") == c, F.col("donor")[c]).otherwise(F.col("own")[c]).alias(c) for c in spec.features],
+    )
+    return confusion_cube(model.predict(shuffled), spec.label, f"predicted_{spec.label}", ["feature", "repeat"])
+
+
+def _coded_cube(model: FittedModel, held: DataFrame, repeats: int, seed: int) -> DataFrame:
+    """Confusion counts by trial: codes are permuted, and each different one is scored once."""
+    spec, bins = model.spec, forest_bins(model)
+    names = [f"_bin_{i}" for i in range(len(spec.features))]
+    pairs = _pairs(bins.with_bins(held), spec, [spec.label, *names], repeats, seed)
+    chosen = lambda i: F.when(F.col("feature") == spec.features[i], F.col("donor")[names[i]]).otherwise(F.col("own")[names[i]])
+    coded = pairs.select("feature", "repeat", F.col("own")[spec.label].alias("actual"), *bins.codes(chosen))
+    answers = bins.answers(coded)
+    small = answers.count() * (8 * len(bins.words) + 32) <= BROADCAST_BYTES
+    answered = coded.join(F.broadcast(answers) if small else answers, bins.words)
+    return answered.groupBy("feature", "repeat", "actual", "predicted").agg(F.count(F.lit(1)).alias("n"))

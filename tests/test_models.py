@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from core_rows import log_row
-from obslab.operators import features, gates, models, profile
+from obslab.operators import features, forest_bins, gates, models, profile
 from obslab.operators.models import FittedModel, Variant, fit, score
 from obslab.operators.prepare import prepare_dataset, source_rows
 from obslab.operators.ranges import collect_ranges
@@ -141,7 +141,7 @@ def test_grid_and_learning_curve_share_folds(spark, toy, tmp_path):
     sizes = {(r["fraction"], r["fold"]): r["n_train"] for r in curve}
     assert len(curve) == 15 and all(sizes[1.0, f] == 150 and sizes[0.2, f] == 30 for f in (1, 2, 3))
     full = {r["fold"]: r["validation_macro_f1"] for r in curve if r["fraction"] == 1.0}
-    assert full == {r["fold"]: r["validation_macro_f1"] for r in rows if r["variant"] == "depth_none_leaf_1"}
+    assert full == {r["fold"]: r["validation_macro_f1"] for r in rows if r["variant"] == "dmax-l1"}
 
 
 def test_bounded_curves_cut_nested_fractions_out_of_one_sample(toy):
@@ -206,6 +206,49 @@ def test_importance_finds_the_only_useful_features(toy, fitted, monkeypatch):
     assert len({round(r["loss"], 9) for r in few.collect()}) > 2
 
 
+def test_bins_of_a_forest_give_its_answers(toy, fitted, monkeypatch):
+    """Permuted codes lose what permuted rows lose, trial by trial; small blocks, many trials."""
+    monkeypatch.setattr(study, "BLOCK", 40)
+    both = [{(r["feature"], r["repeat"]): r["loss"] for r in study.permutation_importance(fitted, toy, 5, detail=True, binned=b).collect()}
+            for b in (True, False)]
+    assert both[0] == both[1] and len(both[0]) == 25 and any(both[0].values())
+    bins = forest_bins.forest_bins(fitted)
+    assert bins.categories == {"sex": ["female", "male", "unknown"]} and all(t == sorted(set(t)) for t in bins.thresholds.values())
+    # Values on, right above and far beyond every threshold, unseen and missing categories.
+    edges = [v for t in bins.thresholds["bill_length_mm"] for v in (t, np.nextafter(t, np.inf), np.nextafter(t, -np.inf))] + [-1e308, 1e308]
+    rows = toy.limit(3).drop("bill_length_mm", "sex").crossJoin(toy.sparkSession.createDataFrame([(float(v),) for v in edges], "bill_length_mm double"))
+    rows = rows.select("*", F.explode(F.array(F.lit("male"), F.lit("never seen"), F.lit(None))).alias("sex"))
+    plain = study.confusion_cube(fitted.predict(rows), "species", "predicted_species", ["sex"])
+    assert sorted(map(repr, forest_bins.binned_cube(fitted, rows, ["sex"]).select(*plain.columns).collect())) == sorted(map(repr, plain.collect()))
+    # Codes that need several longs.
+    monkeypatch.setattr(forest_bins, "_CODES", 40)
+    assert len(forest_bins.forest_bins(fitted).words) > 1
+    again = study.permutation_importance(fitted, toy, 5, detail=True)
+    assert {(r["feature"], r["repeat"]): r["loss"] for r in again.collect()} == both[0]
+
+
+def test_one_draw_for_all_folds_takes_the_rows_of_separate_draws(toy):
+    folded = study.with_folds(toy, SPEC, folds=3).cache()
+    small = replace(SMALL, fit_rows=50)
+    drawn, largest = study.fold_draws(folded, SPEC, small, 3)
+    assert largest == drawn.where("drawn_1").count()
+    for fold in (1, 2, 3):
+        one = models.draw(folded, SPEC, small, "one", F.col("fold") != fold).where("one")
+        assert {r["row"] for r in one.collect()} == {r["row"] for r in drawn.where(f"drawn_{fold}").collect()}
+    whole, _ = study.fold_draws(folded, SPEC, replace(SMALL, fit_rows=1000), 3)
+    assert whole.where("drawn_2").count() == folded.where("fold != 2").count()
+
+
+def test_cross_validation_scores_as_separate_fits_do(toy):
+    folded = study.with_folds(toy, SPEC, folds=3)
+    noisy = folded.withColumn("species", F.when(F.xxhash64("row") % 3 == 0, "Adelie").otherwise(F.col("species")))
+    small = replace(SMALL, fit_rows=60)
+    got = {r["fold"]: (r["validation_accuracy"], r["train_accuracy"]) for r in study.cross_validate(noisy, SPEC, [small], folds=3).collect()}
+    for fold in (1, 2, 3):
+        model = fit(noisy.where(F.col("fold") != fold), SPEC, small)
+        assert got[fold] == tuple(pytest.approx(accuracy(model, noisy.where(c))) for c in (F.col("fold") == fold, F.col("fold") != fold))
+
+
 def test_release_check(toy, fitted):
     medians = {r["feature"]: r["median"] for r in profile.feature_ranges(toy, SPEC).collect()}
     report = retraining.release_check(fitted, toy, medians).collect()
