@@ -4,10 +4,12 @@ Words are runs of ``0-9``, ``a-z`` and every character beyond ASCII, after A-Z b
 words of an item; an item with fewer words, but at least one, is one window. A window occurs in a document where all its words
 stand one after the other.
 
-Every window is a set of shingles (runs of up to ``SHINGLE`` words), ordered by how often the documents hold them. All of them
-must be met, so the necessary prefix of a window is its rarest shingle alone, and a window with a shingle that no document
-holds is out. Documents join that one shingle; a candidate must then have room for the whole window around it (positional and
-length bounds), and its words are compared with the window's, so that hashes decide nothing.
+Every window is a set of shingles (runs of up to ``SHINGLE`` words) at their places. One pass over the documents keeps the
+places at which a shingle of any item stands; texts do not travel. How often the documents hold a shingle orders them by
+rarity. All shingles of a window must be met, so its necessary prefix is the rarest one alone, and a window with a shingle that
+no document holds is out. Places join that one shingle; a candidate must have room for the whole window around it (positional
+and length bounds); and then every shingle of the window must stand at its place. Shingles are told apart by hashes of 64 bits:
+a word that differs lies in several shingles of a longer window, each of which would have to collide.
 
 Defined results: null and empty texts have no words, no hits and no items (the hash of the empty string); repeated documents
 get a row each, repeated items count once; a null item id counts as the empty string; without items every document is clean.
@@ -71,74 +73,57 @@ def _small(table: DataFrame, bytes_: Column, limit: int) -> bool:
     return (table.agg(F.sum(bytes_ + 64)).first()[0] or 0) <= limit
 
 
-def _prefixes(docs: DataFrame, windows: DataFrame, sizes: list[int], limit: int) -> DataFrame:
-    """(words, at, token) of each window's rarest shingle over all documents; windows that lack a shingle there are out."""
-    own = F.size("words")
-    per_window = F.when(own >= SHINGLE, _shingles(F.col("words"), SHINGLE))
-    for n in sizes:
-        if n < SHINGLE:
-            per_window = per_window.when(own == n, _shingles(F.col("words"), n))
-    shingles = windows.select("words", F.explode(per_window).alias("s")).select("words", "s.at", "s.token")
-    shingles = stored(shingles, "window-shingles")
-    tokens = shingles.select("token").distinct()
-    met = docs.select(F.explode(_all_shingles(F.col("words"), sizes)).alias("s")).select("s.token")
-    if _small(tokens, F.lit(8), limit):
-        counts = met.join(F.broadcast(tokens), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    else:  # counted before they meet, so a hot shingle is one row a task
-        counts = met.groupBy("token").agg(F.count(F.lit(1)).alias("n")).join(tokens, "token", "left_semi")
-    counted = shingles.join(counts, "token", "left")
-    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "at")).alias("s")
-    return counted.groupBy("words").agg(rarest).where("s.n > 0").select("words", "s.at", "s.token")
+def _met(keyed: DataFrame, tokens: DataFrame, sizes: list[int], limit: int) -> DataFrame:
+    """(row hashes, n, at, token) of every place in a document of ``n`` words where a shingle of an item stands."""
+    worded = keyed.select(*ROW, words_of(F.col("text")).alias("words"))
+    placed = worded.select(*ROW, F.size("words").alias("n"), F.explode(_all_shingles(F.col("words"), sizes)).alias("s"))
+    placed = placed.select(*ROW, "n", "s.at", "s.token")
+    return stored(placed.join(F.broadcast(tokens) if _small(tokens, F.lit(8), limit) else tokens, "token", "left_semi"), "places")
 
 
 def occurrences(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text", window: int = WINDOW,
     limit: int = BROADCAST_BYTES,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What the join finds, as three tables that share the row hashes and the windows' words.
+    """What the join finds, as three tables that share the row hashes and the windows' numbers.
 
-    The documents (key, row hashes, n_words); the occurrences (row hashes, start in words, words of the window), each once for
-    each different document; the windows of the items (item, words).
+    The documents (key, row hashes, n_words); the occurrences (row hashes, start and length in words, window), each once for
+    each different document; the windows of the items (item, window, words).
     """
-    windows = stored(item_windows(items, item_key, text, window), "windows")
-    distinct = windows.select("words").distinct()
-    sizes = sorted(r[0] for r in distinct.select(F.least(F.size("words"), F.lit(SHINGLE))).distinct().collect())
+    listed = stored(item_windows(items, item_key, text, window), "windows")
+    windows = stored(listed.select("words").distinct().withColumn("window", F.monotonically_increasing_id()), "windows")
+    sizes = sorted(r[0] for r in windows.select(F.least(F.size("words"), F.lit(SHINGLE))).distinct().collect())
     keyed = _keyed(docs, key, text)
-    none = F.array().cast("array<struct<start:int,window:array<string>>>")
-    if sizes:
-        listed = _candidates(keyed, distinct, sizes, limit).groupBy(*ROW).agg(F.collect_set(F.struct("start", "window")).alias("marks"))
-        listed = stored(listed, "candidates")
-        marked = listed.select(F.length(F.to_json("marks")).alias("n"))
-        keyed = keyed.join(F.broadcast(listed) if _small(marked, F.col("n") * 2, limit) else listed, ROW, "left")
-    else:
-        keyed = keyed.withColumn("marks", none)
-    worded = keyed.select("key", *ROW, "marks", words_of(F.col("text")).alias("words"))
-    same = let(F.struct("words", F.coalesce("marks", none).alias("marks")), lambda d: F.filter(
-        d["marks"], lambda m: F.slice(d["words"], m["start"] + 1, F.size(m["window"])) == m["window"]))
-    read = stored(worded.select("key", *ROW, F.size("words").cast("bigint").alias("n_words"), same.alias("marks")), "occurrences")
-    found = read.select(*ROW, F.explode("marks").alias("m")).select(*ROW, "m.start", "m.window").distinct()
-    return read.select("key", *ROW, "n_words"), found, windows
-
-
-def _candidates(keyed: DataFrame, windows: DataFrame, sizes: list[int], limit: int) -> DataFrame:
-    """(row hashes, start, window) wherever a window's rarest shingle stands and the window has room around it.
-
-    Shingles travel without the texts: a text that went along would be copied for each of its words.
-    """
-    met = keyed.select(*ROW, words_of(F.col("text")).alias("words"))
-    prefixes = stored(_prefixes(met, windows, sizes, limit), "prefixes")
-    wanted = prefixes.select(F.col("words").alias("window"), F.col("at").alias("offset"), "token")
-    small = _small(wanted, F.length(F.array_join("window", " ")) * 4, limit)
-    met = met.select(*ROW, F.size("words").alias("n"), F.explode(_all_shingles(F.col("words"), sizes)).alias("s"))
-    met = met.select(*ROW, "n", "s.at", "s.token").join(F.broadcast(wanted) if small else wanted, "token")
+    counted = keyed.select("key", *ROW, F.size(words_of(F.col("text"))).cast("bigint").alias("n_words"))
+    own = F.size("words")
+    runs = F.when(own >= SHINGLE, _shingles(F.col("words"), SHINGLE))
+    for n in range(1, SHINGLE):
+        runs = runs.when(own == n, _shingles(F.col("words"), n))
+    shingles = windows.select("window", own.alias("length"), F.explode(runs).alias("s")).select("window", "length", F.col("s.at").alias("offset"), "s.token")
+    shingles = stored(shingles, "window-shingles")
+    met = _met(keyed, shingles.select("token").distinct(), sizes or [SHINGLE], limit)
+    counts = met.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "offset")).alias("s")
+    prefixes = shingles.join(counts, "token", "left").groupBy("window", "length").agg(rarest, F.count(F.lit(1)).alias("needed"))
+    prefixes = stored(prefixes.where("s.n > 0").select("window", "length", "needed", "s.token", "s.offset"), "prefixes")
     start = F.col("at") - F.col("offset")
-    return met.where((start >= 0) & (start + F.size("window") <= F.col("n"))).select(*ROW, start.alias("start"), "window").distinct()
+    room = (start >= 0) & (start + F.col("length") <= F.col("n"))
+    small = _small(prefixes, F.lit(40), limit)
+    candidates = met.join(F.broadcast(prefixes) if small else prefixes, "token").where(room)
+    candidates = candidates.select(*ROW, start.alias("start"), "window", "length", "needed").distinct()
+    parts = shingles.select("window", "offset", "token")
+    wanted = candidates.join(F.broadcast(parts) if _small(parts, F.lit(24), limit) else parts, "window")
+    wanted = wanted.select(*ROW, "start", "window", "length", "needed", (F.col("start") + F.col("offset")).alias("at"), "token")
+    held = wanted.join(met.select(*ROW, "at", "token").distinct(), [*ROW, "at", "token"])
+    whole = held.groupBy(*ROW, "start", "window", "length", "needed").agg(F.count(F.lit(1)).alias("found")).where("found = needed")
+    found = stored(whole.select(*ROW, "start", "length", "window"), "occurrences")
+    return counted, found, listed.join(windows, "words").select("item", "window", "words")
 
 
 def spans(found: DataFrame) -> DataFrame:
     """(row hashes, start, end) in words: the union of the occurrences as runs that do not touch."""
     inside = Window.partitionBy(*ROW).orderBy("start", "end")
-    ranges = found.select(*ROW, "start", (F.col("start") + F.size("window")).alias("end")).distinct()
+    ranges = found.select(*ROW, "start", (F.col("start") + F.col("length")).alias("end")).distinct()
     reached = F.max("end").over(inside.rowsBetween(Window.unboundedPreceding, -1))
     opens = ranges.withColumn("opens", (reached.isNull() | (F.col("start") > reached)).cast("int"))
     runs = opens.withColumn("run", F.sum("opens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
@@ -152,7 +137,7 @@ def report(
     """One row for each document: its words, those inside an occurrence, the items that occur and whether any does."""
     counted, found, windows = occurrences(docs, items, key, item_key, text, window, limit)
     hit = spans(found).groupBy(*ROW).agg(F.sum(F.col("end") - F.col("start")).alias("n_hit"))
-    pairs = found.select(*ROW, F.col("window").alias("words")).distinct().join(windows, "words").select(*ROW, "item").distinct()
+    pairs = found.select(*ROW, "window").distinct().join(windows, "window").select(*ROW, "item").distinct()
     listed = pairs.groupBy(*ROW).agg(F.array_sort(F.collect_list("item")).alias("items"))
     told = counted.join(hit.join(listed, ROW), ROW, "left")
     names = F.coalesce("items", F.array().cast("array<string>"))
