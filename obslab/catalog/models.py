@@ -114,11 +114,24 @@ def ranked(spark, sf_dir):
 
 
 def probability_gate(spark, sf_dir):
+    """The hold-out's own probabilities, and the same with those of some flags spoilt in four ways."""
     model, test = _fitted(spark, sf_dir)
-    scored = model.predict(test)
-    broken = gates.probability_violations(scored, LINES.labels)
+    scored = model.predict(test).select(*_KEY, "probabilities")
+    first, nan = LINES.class_order[0], F.lit(float("nan"))
+    spoilt = lambda change: F.map_from_entries(F.transform(F.map_entries("probabilities"), lambda e: F.struct(
+        e["key"].alias("key"), F.when(e["key"] == first, change(e["value"])).otherwise(e["value"]).alias("value"))))
+    # One way for each of the first four line numbers: not a number, below zero, a sum beside one, a class that is missing.
+    broken = table(spark, sf_dir, "lineitem").select(*_KEY).withColumn("probabilities", F.map_from_arrays(
+        F.array(*map(F.lit, LINES.class_order)), F.array(F.lit(0.5), F.lit(0.25), F.lit(0.25))))
+    broken = broken.withColumn("probabilities", F.when(F.col("l_linenumber") == 1, spoilt(lambda v: nan)).when(
+        F.col("l_linenumber") == 2, spoilt(lambda v: -v)).when(F.col("l_linenumber") == 3, spoilt(lambda v: v + 0.01)).when(
+        F.col("l_linenumber") == 4, F.map_filter("probabilities", lambda k, v: k != first)).otherwise(F.col("probabilities")))
     counted = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("measure"), "n")
-    return counted(scored, "scored").unionByName(counted(broken, "violations"))
+    parts = {"scored": scored, "violations": gates.probability_violations(scored, LINES.labels)}
+    found = gates.probability_violations(broken, LINES.labels)
+    whole = counted(parts["scored"], "scored").unionByName(counted(parts["violations"], "violations"))
+    by_line = found.groupBy(F.concat(F.lit("spoilt in line "), F.col("l_linenumber").cast("string")).alias("measure")).agg(F.count(F.lit(1)).alias("n"))
+    return whole.unionByName(by_line)
 
 
 def forest_size(spark, sf_dir):
@@ -209,6 +222,7 @@ SQL = {
     "probability_gate": """
         SELECT 'scored' AS measure, CAST(ceil(count(*) * 0.25) AS BIGINT) AS n FROM lineitem
         UNION ALL SELECT 'violations', 0
+        UNION ALL SELECT 'spoilt in line ' || l_linenumber, count(*) FROM lineitem WHERE l_linenumber <= 4 GROUP BY l_linenumber
     """,
     "standardised_features": f"""
         SELECT {", ".join(_KEY)}, {_STD} FROM lineitem, (SELECT {_STATS} FROM lineitem)

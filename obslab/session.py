@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -73,6 +74,31 @@ def empty_files(spark: SparkSession, path: str) -> list[str]:
     return sorted(found)
 
 
+def create_once(spark: SparkSession, path: str) -> bool:
+    """Create an empty file; false if it is there already. Of several writers one succeeds, whatever their timing.
+
+    Hadoop's file systems create atomically, but the local one only looks first; there the system's own exclusive create is used.
+    """
+    jvm, system = spark.sparkContext._jvm, _file_system(spark, path)
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    system.mkdirs(target.getParent())
+    try:
+        if system.getUri().getScheme() == "file":
+            local = jvm.org.apache.hadoop.fs.Path.getPathWithoutSchemeAndAuthority(target).toString()
+            jvm.java.nio.file.Files.createFile(jvm.java.io.File(local).toPath(), spark.sparkContext._gateway.new_array(jvm.java.nio.file.attribute.FileAttribute, 0))
+        else:
+            system.create(target, False).close()
+    except Py4JJavaError as error:
+        if "AlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
+def remove_file(spark: SparkSession, path: str) -> None:
+    _file_system(spark, path).delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), False)
+
+
 def _file_system(spark: SparkSession, path: str):
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

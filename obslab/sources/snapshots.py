@@ -22,7 +22,7 @@ from obslab.operators.models import FittedModel, Variant, score
 from obslab.operators.prepare import CONFIRMED, REFERENCE, source_rows
 from obslab.operators.release import require_release
 from obslab.operators.versions import EVENT_SCHEMA, INITIAL, adopt, roll_back, version_state
-from obslab.session import path_exists
+from obslab.session import create_once, path_exists, remove_file
 from obslab.spec import DatasetSpec
 
 
@@ -152,9 +152,20 @@ class SnapshotStore:
         return self._append(state, step)
 
     def _append(self, state: dict, step: dict) -> dict:
-        """The event after the state that the step was decided on; fails if another writer was faster."""
+        """The event after the state that the step was decided on; fails if another writer was faster.
+
+        A claim, created atomically, decides between writers. A writer that fails takes its claim back; the claim of one that
+        was killed stays and is named by the error, until it is removed by hand.
+        """
         seq = state["seq"] + 1
+        claim = f"{self.root}/claims/registry_id={check_version_id(self.registry)}/event-{seq:012d}"
+        if not create_once(self.spark, claim):
+            raise ValueError(f"event {seq} of {self.registry!r} already exists: another writer has taken it ({claim})")
         row = (self.registry, seq, step["action"], step["active_version"], step["previous_version"])
-        event = self.spark.createDataFrame([row], EVENT_SCHEMA).coalesce(1)
-        event.write.mode("errorifexists").parquet(f"{self._events}/event-{seq:012d}")
+        try:
+            event = self.spark.createDataFrame([row], EVENT_SCHEMA).coalesce(1)
+            event.write.mode("errorifexists").parquet(f"{self._events}/event-{seq:012d}")
+        except BaseException:
+            remove_file(self.spark, claim)
+            raise
         return self.state()

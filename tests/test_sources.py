@@ -238,3 +238,38 @@ def test_store_versions_adoption_and_return(spark, reference, make_log, tmp_path
 
 def test_shared_folder_follows_the_session(spark):
     assert shared_dir(spark, "x") != shared_dir(spark, "x")
+
+
+def test_of_two_writers_one_succeeds(spark, tmp_path):
+    """Both decide on the same state and write at the same time; the loser learns of it."""
+    from threading import Barrier, Thread
+
+    store = SnapshotStore(spark, str(tmp_path))
+    for number in range(1, 6):
+        state, gate, told = store.state(), Barrier(2), []
+
+        def write(name):
+            gate.wait()
+            try:
+                store._append(state, {"action": "adopt", "active_version": name, "previous_version": state["active_version"]})
+                told.append(name)
+            except ValueError as error:
+                told.append(str(error))
+
+        writers = [Thread(target=write, args=(f"v{number}{side}",)) for side in "ab"]
+        for w in writers:
+            w.start()
+        for w in writers:
+            w.join()
+        assert sum("another writer" in t for t in told) == 1 and len(told) == 2
+        after = store.state()
+        assert after["seq"] == number and after["active_version"] in told
+
+
+def test_a_writer_that_fails_takes_its_claim_back(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path))
+    step = {"action": "adopt", "active_version": "v1", "previous_version": None}
+    with pytest.raises(Exception):
+        store._append(store.state(), {**step, "active_version": object()})
+    assert not list(tmp_path.glob("claims/*/event-000000000001"))
+    assert store._append(store.state(), step)["seq"] == 1
