@@ -4,7 +4,7 @@ Everything is one projection per document: no shuffle, no Python. A line fails b
 
 * ``punctuation``: it does not end like a sentence, or marks (``! ?`` repeated, symbols) are too many for its words;
 * ``navigation``: separators (``|`` and the like) stand between most of its words;
-* ``boilerplate``: it has one of the fixed phrases of consent banners, scripts and page furniture.
+* ``boilerplate``: the fixed phrases of consent banners, scripts and page furniture are many for its words.
 
 Lines without a word are neither counted nor removed. Null text counts as empty: no words, base fails, not kept.
 """
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
-from operator import or_
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +22,9 @@ from obslab.llm.common import let, text_of, words_of
 
 # Fixed values of the rules.
 SYMBOLS = "[#*$%&|<>]+"
-ENDINGS = "[.!?…。！？:;,\"'”’»)\\]0-9]"
+ENDINGS = r"[\p{Po}\p{Pe}\p{Pf}\p{Nd}“]"
+UNFINISHED = r"[#*%&@/\\·•]"
+BLANKS = " \t\x0b\x0c\r"
 SEPARATORS = "[|»›•·→]"
 MARKS = "[#*$%&<>!]"
 PHRASES = (
@@ -42,6 +44,7 @@ class LineRules:
     marks_per_word: float = 0.5
     separators_per_word: float = 0.2
     ending_from_words: int = 8
+    words_per_phrase: int = 16
     most_lost: float = 0.5
 
 
@@ -78,17 +81,27 @@ def count_marks(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, f"{pattern.rstrip('+')}+", ""))
 
 
+def count_phrase(low: Column, phrase: str) -> Column:
+    """How many times ``phrase`` stands in the lower-case text."""
+    return F.floor((F.length(low) - F.length(F.replace(low, F.lit(phrase), F.lit("")))) / len(phrase))
+
+
 def line_fault(line: Column, rules: LineRules) -> Column:
     """Name of the first rule that the line breaks, else null. Cheap tests guard those that count words."""
     n = F.size(words_of(line))
     crowded = F.when(count_marks(line, SEPARATORS) > rules.separators_per_word * n, "navigation").when(
         count_marks(line, MARKS) > rules.marks_per_word * n, "punctuation"
     )
-    phrased = let(F.lower(line), lambda low: reduce(or_, [low.contains(p) for p in PHRASES]))
-    unended = ~F.right(F.rtrim(line), F.lit(1)).rlike(ENDINGS)
+    def phrased(low: Column) -> Column:
+        found = reduce(add, [count_phrase(low, p) for p in PHRASES])
+        return F.when(reduce(or_, [low.contains(p) for p in PHRASES]), found * rules.words_per_phrase >= n).otherwise(False)
+
+    def unended(last: Column) -> Column:
+        return ~last.rlike(ENDINGS) | last.rlike(UNFINISHED)
+
     return F.coalesce(
-        F.when(phrased, "boilerplate"), F.when(line.rlike(f"{SEPARATORS}|{MARKS}"), crowded),
-        F.when(unended, F.when(n >= rules.ending_from_words, "punctuation")),
+        F.when(let(F.lower(line), phrased), "boilerplate"), F.when(line.rlike(f"{SEPARATORS}|{MARKS}"), crowded),
+        F.when(let(F.right(F.rtrim(line, F.lit(BLANKS)), F.lit(1)), unended), F.when(n >= rules.ending_from_words, "punctuation")),
     )
 
 

@@ -7,7 +7,7 @@ from obslab.llm.decontamination import WINDOW
 from obslab.llm.mixing import GOLDEN, MOST_PASSES
 from obslab.llm.near_join import SHINGLE, THRESHOLD
 from obslab.llm.prefix_trie import HEADS, MODULUS
-from obslab.llm.quality_rules import ENDINGS, MARKS, PHRASES, SEPARATORS, SYMBOLS, LineRules
+from obslab.llm.quality_rules import BLANKS, ENDINGS, MARKS, PHRASES, SEPARATORS, SYMBOLS, UNFINISHED, LineRules
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _RULES = LineRules()
@@ -21,7 +21,8 @@ def _count(column: str, pattern: str) -> str:
     return f"len(regexp_extract_all({column}, {_text(pattern)}))"
 
 
-_PHRASED = " OR ".join(f"contains(lower(line), {_text(p)})" for p in PHRASES)
+_PHRASES = " + ".join(f"(length(lower(line)) - length(replace(lower(line), {_text(p)}, ''))) // {len(p)}" for p in PHRASES)
+_BLANKS = " || ".join(f"chr({ord(c)})" for c in BLANKS)
 
 OP1 = f"""
     WITH d AS (
@@ -36,10 +37,10 @@ OP1 = f"""
       SELECT doc_id, line, {_count('line', _WORD)} AS n
       FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{_WORD}')
     ), judged AS (
-      SELECT doc_id, line, {_PHRASED} OR {_count('line', SEPARATORS)} > {_RULES.separators_per_word} * n
+      SELECT doc_id, line, phrases > 0 AND phrases * {_RULES.words_per_phrase} >= n OR {_count('line', SEPARATORS)} > {_RULES.separators_per_word} * n
              OR {_count('line', MARKS)} > {_RULES.marks_per_word} * n
-             OR n >= {_RULES.ending_from_words} AND NOT regexp_matches(right(rtrim(line, ' '), 1), {_text(ENDINGS)}) AS failed
-      FROM lines
+             OR n >= {_RULES.ending_from_words} AND (NOT regexp_matches(last, {_text(ENDINGS)}) OR regexp_matches(last, {_text(UNFINISHED)})) AS failed
+      FROM (SELECT *, {_PHRASES} AS phrases, right(rtrim(line, {_BLANKS}), 1) AS last FROM lines)
     ), lost AS (
       SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines,
              coalesce(sum(length(line)) FILTER (WHERE failed), 0)::DOUBLE / sum(length(line)) AS lost

@@ -50,3 +50,22 @@ def test_empty_table_and_clashing_columns(none, clashing):
     assert judged(none) == []
     out = quality_rules(clashing)
     assert out.columns == clashing.columns and out.count() == clashing.count()
+
+
+def test_windows_line_ends_change_nothing(make):
+    text = "\n".join(" ".join(f"word{i}x{k}" for k in range(12)) + "." for i in range(8))
+    rows = judged(make((1, text, "", "", 0), (2, text.replace("\n", "\t\r\n") + " \r", "", "", 0)))
+    assert [r.faults for r in rows] == [[], []] and all(r.kept for r in rows)
+
+
+def test_a_phrase_does_not_fail_a_long_line(make):
+    line = " ".join(f"Sentence {i} has words number {i} of its own." for i in range(30))
+    rows = judged(make((1, line + " To read more about it, ask.", "", "", 0), (2, "Read more. Click here!", "", "", 0)))
+    assert {r.text: r.faults for r in rows} == {line + " To read more about it, ask.": [], "Read more. Click here!": ["boilerplate"]}
+
+
+def test_sentence_marks_of_other_scripts(make):
+    words = " ".join(f"w{i}" for i in range(10))
+    good, bad = "।۔؟。」)”“»", "#*•a|"
+    rows = judged(make(*((i, words + c, "", "", 0) for i, c in enumerate(good + bad))))
+    assert {r.text[-1] for r in rows if not r.faults} == set(good)
