@@ -16,6 +16,8 @@ K = 128
 SHINGLE = 5
 #: Rows that a cell holds on average, and cells at most (their heads are broadcast: 24 bytes each).
 CELL_ROWS, MOST_CELLS = 4096, 1 << 20
+#: Zones of about as many rows, whose keys are dealt to cells of equal width, and the error of their ranks.
+ZONES, ZONE_ERROR = 128, 1 / 2048
 
 
 def fingerprint(text: Column, k: int = K, size: int = SHINGLE) -> Column:
@@ -58,16 +60,34 @@ def as_text(a: Column) -> Column:
     return F.lower(F.array_join(F.transform(a, lambda h: F.lpad(F.hex(h), 16, "0")), ""))
 
 
+def cell_number(k: Column, bounds: list[float], each: int) -> Column:
+    """Number of the cell of key ``k``, never falling as ``k`` rises: its zone's number times ``each``, plus its place there."""
+    ends = F.array(*map(F.lit, bounds))
+
+    def place(zone: Column) -> Column:
+        low, high = F.get(ends, zone), F.get(ends, zone + 1)
+        share = F.coalesce((k - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0))
+        return zone * each + F.greatest(F.lit(0), F.least(F.lit(each - 1), F.floor(share * each)))
+
+    zone = F.least(F.lit(max(0, len(bounds) - 2)), F.greatest(F.lit(0), F.size(F.filter(ends, lambda b: b <= k)) - 1))
+    return F.when(k.isNotNull(), let(zone, place)).cast("bigint")
+
+
 def in_cells(df: DataFrame, key: str, tie: str) -> DataFrame:
     """Deal the rows to cells of consecutive keys, so that each row's successor is in its cell.
 
-    Cells have equal width over the key's range (nulls come first, in a cell of their own); each also gets a copy, marked
-    ``_guest``, of the first row of the next cell that has any, the last that of the first. The successor of a cell is
-    found by one narrow window over the numbers of the cells that have rows, MOST_CELLS at most.
+    Quantiles of the keys bound ZONES zones, and a zone is cut into cells of equal width, so that a few distant keys widen
+    the cells of their own zone only. All is reckoned in doubles, which keep the order of any long keys; nulls come first, in
+    a cell of their own. Each cell also gets a copy, marked ``_guest``, of the first row of the next cell that has any, the
+    last that of the first. The successor of a cell is found by one narrow window over the numbers of the cells that have
+    rows, MOST_CELLS at most.
     """
-    low, high, n = df.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // min(MOST_CELLS, max(1, n // CELL_ROWS))))
-    celled = df.withColumn("_cell", F.coalesce(F.expr(f"(`{key}` - {low or 0}L) div {width}L"), F.lit(-1)).cast("bigint"))
+    n = df.count()
+    cuts = min(ZONES, max(1, n // CELL_ROWS))
+    quantiles = df.select(F.col(key).cast("double").alias("_k")).approxQuantile("_k", [i / cuts for i in range(cuts + 1)], ZONE_ERROR)
+    bounds = sorted(set(quantiles)) or [0.0]
+    each = min(MOST_CELLS // ZONES, max(1, -(-n // (CELL_ROWS * cuts))))
+    celled = df.withColumn("_cell", F.coalesce(let(F.col(key).cast("double"), lambda k: cell_number(k, bounds, each)), F.lit(-1)))
     heads = celled.groupBy("_cell").agg(F.min(key).alias("_key"))
     previous = F.coalesce(F.lag("_cell").over(Window.orderBy("_cell")), F.max("_cell").over(Window.partitionBy()))
     heads = heads.select(F.col("_cell").alias("_from"), "_key", previous.alias("_to"))

@@ -66,3 +66,15 @@ def test_empty_table_and_clashing_columns(none, clashing):
     assert fp.edit_likeness(none).collect() == []
     assert fp.edit_likeness(clashing).count() == clashing.count()
     assert fp.fingerprints(clashing).count() == clashing.count()
+
+
+def test_distant_ids(make, monkeypatch):
+    monkeypatch.setattr(fp, "CELL_ROWS", 4)
+    ids = [-6 * 10**18, -(2**63), 5 * 10**18, 2**63 - 1, *range(100), *range(2**60, 2**60 + 40), None]
+    rows = [(i, f"text of {i} with some words", "", "", 0) for i in ids]
+    celled = fp.in_cells(make(*rows).select("doc_id", "text"), "doc_id", "text")
+    sizes = [r["count"] for r in celled.where("NOT _guest").groupBy("_cell").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) <= 50
+    found = {r.doc_id: r.next_text for r in fp.with_next(celled, "doc_id", "text", ["text"]).collect()}
+    order = [None, *sorted(i for i in ids if i is not None)]
+    assert found == {a: f"text of {b} with some words" for a, b in zip(order, order[1:] + order[:1])}
