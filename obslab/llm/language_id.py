@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,6 +33,8 @@ UNKNOWN = "und"
 ROWS, WORDS, ROUNDS = 1500, 40_000, 3
 #: Share of a character that no piece covers, and the count added to each piece.
 RARE, ADDED = 1e-7, 0.02
+#: Letters of a word that is learnt whole; a longer one is learnt in runs of as many.
+LEARNT_LETTERS = 14
 #: Steps after which the running sums are brought back near 1.
 RESCALE = 16
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -126,7 +129,7 @@ def word_scores(path: str, table: np.ndarray, words: list[str]) -> np.ndarray:
 
 
 def expected(path: str, p: np.ndarray, words: list[str], weights: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece in all segmentations of the words (at most 15 letters: no scaling is needed)."""
+    """Expected uses of each piece in all segmentations of the words (at most LEARNT_LETTERS and a mark: no scaling is needed)."""
     counts = np.zeros(len(p))
     table = p[:, None]
     for places, letters in by_length(words):
@@ -164,6 +167,15 @@ def learn_table(path: str, by_language: list[tuple[list[str], np.ndarray]]) -> n
     return np.stack(columns, axis=1) if columns else np.zeros((n + 1, 0))
 
 
+def runs_of(word: Column) -> Column:
+    """The word itself, or its consecutive runs of LEARNT_LETTERS letters if it is longer."""
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.floor((F.length(word) - 1) / LEARNT_LETTERS).cast("int")),
+        lambda i: F.substring(word, i * LEARNT_LETTERS + 1, F.lit(LEARNT_LETTERS)),
+    )
+    return F.when(F.length(word) > LEARNT_LETTERS, pieces).otherwise(F.array(word))
+
+
 def learn(df: DataFrame, rows: int = ROWS, words: int = WORDS, path: str | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Languages:
     """Learn from the rows of ``df`` that have a language; ``rows`` and ``words`` of each language bound the sample."""
     labelled = df.select(key, text, lang).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
@@ -175,13 +187,19 @@ def learn(df: DataFrame, rows: int = ROWS, words: int = WORDS, path: str | None
     share = F.element_at(F.create_map(*(x for s in names for x in (F.lit(s), F.lit(min(1.0, rows / sizes[s]))))), F.col(lang))
     place = F.pmod(F.xxhash64(F.lit("language"), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = labelled.where(place < share).select(lang, F.explode(words_of(text_of(text))).alias("word"))
-    counted = sample.where(F.length("word") < 15).groupBy(lang, "word").agg(F.count(F.lit(1)).alias("n"))
+    counted = sample.select(lang, F.explode(runs_of(F.col("word"))).alias("word")).groupBy(lang, "word").agg(F.count(F.lit(1)).alias("n"))
     first = F.row_number().over(Window.partitionBy(lang).orderBy(F.desc("n"), "word"))
-    found: dict[str, list] = {s: [] for s in names}
-    for r in counted.withColumn("_rank", first).where(F.col("_rank") <= words).select(lang, "word", "n").collect():
-        found[r[lang]].append((r["word"], r["n"]))
-    table = learn_table(path, [([w for w, _ in found[s]], np.array([n for _, n in found[s]], float)) for s in names])
-    return Languages(names, table, path)
+    ranked = counted.withColumn("_rank", first).where(F.col("_rank") <= words).select(F.col(lang).alias("lang"), "word", "n")
+
+    def learnt(own: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["n", "word"], ascending=[False, True])
+        column = learn_table(path, [(frame["word"].tolist(), frame["n"].to_numpy(float))])[:, 0]
+        return pd.DataFrame({"lang": [own[0]], "p": [column.astype("<f8").tobytes()]})
+
+    # A language's words, at most ``words``, are one group: languages learn beside each other in tasks.
+    columns = {r["lang"]: np.frombuffer(r["p"], "<f8") for r in ranked.groupBy("lang").applyInPandas(learnt, "lang string, p binary").collect()}
+    untaught = learn_table(path, [([], np.zeros(0))])[:, 0]
+    return Languages(names, np.stack([columns.get(s, untaught) for s in names], axis=1), path)
 
 
 def predict_batches(model: Languages, kind: pa.DataType, key: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -85,3 +85,12 @@ def test_odd_texts_empty_tables_and_clashing_columns(odd, none, clashing):
 def test_sample_is_bounded(make):
     few = li.learn(table(make, 200), rows=10, words=15)
     assert few.names == ["de", "en"]
+
+
+def test_words_without_blanks_are_learnt(make):
+    """Two languages that write a clause as one word are told apart."""
+    run = lambda lang, seed: [(t.replace(" ", ""), lang) for t in texts(lang, 60, seed)]
+    rows = lambda seed: make(*((i, t, lang, "", 0) for i, (t, lang) in enumerate(run("en", seed) + run("de", seed))))
+    test = rows(9)
+    found = {r.doc_id: r.lang_pred for r in li.predict(test, li.learn(rows(0))).collect()}
+    assert np.mean([found[r.doc_id] == r.lang for r in test.collect()]) > 0.95
