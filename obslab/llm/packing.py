@@ -12,6 +12,7 @@ rows are documents of their own, an empty table gives no sequences.
 
 from __future__ import annotations
 
+import pathlib
 import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
@@ -59,6 +60,21 @@ def encoder(path: str):
     return found, ends
 
 
+@lru_cache(maxsize=2)
+def whole_tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(str(pathlib.Path(path).with_suffix(".json")))
+
+
+def ids_of(found, path: str, text: str) -> np.ndarray:
+    """Ids of the whole text. The ranks' pattern gives up on a run of about a million blanks; the .json tokenizer does not."""
+    try:
+        return found.encode_to_numpy(text, allowed_special="all")
+    except ValueError:
+        return np.array(whole_tokenizer(path).encode(text, add_special_tokens=False).ids, np.uint32)
+
+
 def best_cuts(positions: list[int], penalties: list[float], short: dict[int, list[int]], window: int, sequence: float) -> list[int]:
     """Indices of the cuts of least cost, the first and the last position included.
 
@@ -166,7 +182,7 @@ def pack_rows(path: str, key: str, kind: pa.DataType, window: int, costs: Costs)
         for batch in batches:
             for own, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 keys.append(own)
-                ids = found.encode_to_numpy(text.as_py() or "", allowed_special="all")
+                ids = ids_of(found, path, text.as_py() or "")
                 packer.add(base + len(keys) - 1, np.append(ids, np.uint32(END_ID)))
                 if packer.size >= costs.block:
                     yield rows(packer.flush(last=False))

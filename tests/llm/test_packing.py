@@ -89,3 +89,8 @@ def test_cuts_are_of_least_cost(seed):
 def test_empty_table_and_clashing_columns(none, clashing, odd_rows):
     assert packing.pack(none).collect() == []
     check(packing.pack(clashing).collect(), odd_rows)
+
+
+def test_very_long_runs(make):
+    rows = [(i, t, "", "", 0) for i, t in enumerate([" " * 1_000_000, "\n" * 1_000_000, "word" * 250_000, "a " + " " * 500_000 + "b"])]
+    check(packing.pack(make(*rows)).collect(), rows)
