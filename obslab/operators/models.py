@@ -188,6 +188,8 @@ def _forest(variant: Variant, inputs: int) -> RandomForestClassifier:
         maxBins=variant.bins,
         seed=variant.seed,
         maxMemoryInMB=512,
+        # Every row's node in every tree stays with the row: else each level sends the whole forest to all tasks.
+        cacheNodeIds=True,
     )
 
 
