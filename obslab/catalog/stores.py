@@ -20,8 +20,12 @@ from obslab.sources.observation_log import CORRUPT, append_log, read_log
 from obslab.sources.snapshots import SnapshotStore
 
 
+#: Ids of one file of the text log.
+LOG_FILE_ROWS = 1_000_000
+
+
 def log_quarantine(spark, sf_dir):
-    """Events written as a text log with broken records, then read strictly."""
+    """Events written as a text log with broken records and quoted line breaks, then read strictly."""
     folder = shared_dir(spark, "text-log")
     case = F.col("event_id") % 12
     line = F.concat_ws(",", F.col("event_id").cast("string"), F.col("value").cast("string"), "event_type", F.lit("mid"))
@@ -29,15 +33,19 @@ def log_quarantine(spark, sf_dir):
         F.when(case == 0, F.concat_ws(",", F.col("event_id").cast("string"), F.lit("1.5")))
         .when(case == 1, F.concat(line, F.lit(",extra")))
         .when(case == 2, F.concat(F.col("event_id").cast("string"), F.lit(',1.5,view,"open')))
+        .when(case == 3, F.concat(F.col("event_id").cast("string"), F.lit(',1.5,"view\n""more""",mid')))
         .otherwise(line)
     )
     header = "event_id,value,event_type,validated_label"
-    # One column whose name is the header line, so that every file starts with it.
-    lines = table(spark, sf_dir, "events").select(raw.alias(header))
-    lines.write.option("header", True).option("sep", "\u0001").option("quote", "\u0000").csv(folder)
+    # A file for every so many ids, in their order, so that a record's line follows from the table.
+    events = table(spark, sf_dir, "events").withColumn("file_no", F.expr(f"event_id div {LOG_FILE_ROWS}"))
+    lines = events.select("file_no", "event_id", raw.alias("line"))
+    heads = events.select("file_no").distinct().select("file_no", F.lit(None).cast("bigint").alias("event_id"), F.lit(header).alias("line"))
+    ordered = heads.unionByName(lines).repartition("file_no").sortWithinPartitions("file_no", "event_id")
+    ordered.select("file_no", "line").write.partitionBy("file_no").text(folder)
     rows, broken = read_log(spark, folder, EVENTS)
-    good = rows.select(F.lit("good").alias("status"), F.concat_ws(",", *header.split(",")).alias("record"))
-    return good.unionByName(broken.select(F.lit("quarantine").alias("status"), F.col(CORRUPT).alias("record")))
+    good = rows.select(F.lit("good").alias("status"), F.concat_ws(",", *header.split(",")).alias("record"), F.lit(None).cast("bigint").alias("line"))
+    return good.unionByName(broken.select(F.lit("quarantine").alias("status"), F.col(CORRUPT).alias("record"), "line"))
 
 
 def fingerprints(spark, sf_dir):
@@ -148,14 +156,18 @@ _STATE_SQL = f"""
 _RESERVED = ", ".join(f"'{n}'" for n in RESERVED_NAMES)
 
 SQL = {
-    "log_quarantine": """
+    "log_quarantine": f"""
         SELECT CASE WHEN event_id % 12 <= 2 THEN 'quarantine' ELSE 'good' END AS status,
                CASE event_id % 12
                     WHEN 0 THEN event_id || ',1.5'
                     WHEN 1 THEN event_id || ',' || value || ',' || event_type || ',mid,extra'
                     WHEN 2 THEN event_id || ',1.5,view,"open'
-                    ELSE event_id || ',' || value || ',' || event_type || ',mid' END AS record
-        FROM events
+                    WHEN 3 THEN event_id || ',1.5,view' || chr(10) || '"more",mid'
+                    ELSE event_id || ',' || value || ',' || event_type || ',mid' END AS record,
+               CASE WHEN event_id % 12 <= 2 THEN place END AS line
+        FROM (SELECT *, 2 + coalesce(sum(CASE event_id % 12 WHEN 3 THEN 2 ELSE 1 END) OVER (
+                  PARTITION BY event_id // {LOG_FILE_ROWS} ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place
+              FROM events)
     """,
     "observation_log": """
         SELECT o_custkey, o_totalprice, o_orderpriority,

@@ -1,3 +1,5 @@
+import csv
+import random
 from dataclasses import replace
 
 import pytest
@@ -66,11 +68,54 @@ def test_empty_file_in_a_log_is_an_error(spark, tmp_path):
         observation_log.read_log(spark, str(folder), BODY_MEASURES)
 
 
-def test_both_halves_of_a_split_record_are_quarantined(spark, tmp_path):
+@pytest.fixture
+def small_splits(spark):
+    """Files are cut every 97 bytes, also inside lines and quoted values."""
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+    old = {k: spark.conf.get(k, None) for k in keys}
+    for key, value in zip(keys, ("97", "0", "1")):
+        spark.conf.set(key, value)
+    yield
+    for key, value in old.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_a_record_over_two_lines_is_read_whole(spark, tmp_path):
     split = GOOD.replace("Dream", '"Dre\nam"')
     (tmp_path / "log.csv").write_text(f"{HEADER}\n{GOOD}\n{split}\n5\"{GOOD[4:]}\n")
     rows, quarantine = observation_log.read_log(spark, f"{tmp_path}/log.csv", BODY_MEASURES)
-    assert rows.count() == 1 and quarantine.count() == 3
+    assert sorted(r.island for r in rows.collect()) == ["Dre\nam", "Dream"]
+    assert [r.line for r in quarantine.collect()] == [5]
+    with pytest.raises(ValueError, match="log.csv: line 5: "):
+        observation_log.require_intact(quarantine)
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_splits_inside_quoted_values_agree_with_a_plain_reader(spark, tmp_path, small_splits, end):
+    draw = random.Random(7)
+    folder = tmp_path / "log"
+    folder.mkdir()
+    want = []
+    for name in ("a.csv", "b.csv"):
+        records = []
+        for i in range(40):
+            island = draw.choice([f"Dream{i}", f"D,{i}", f"two{end}lines {i}", f'say ""x"" {i}{end}{end}and "" on{end}', f'{end}{i},"",1{end}', f"long {'y' * 150}{end}{i}"])
+            records.append(GOOD.replace("Dream", f'"{island}"'))
+        (folder / name).write_text(end.join([HEADER, *records, ""]), newline="")
+        with open(folder / name, newline="") as file:
+            want += [tuple(r) for r in list(csv.reader(file, strict=True))[1:]]
+    rows, quarantine = observation_log.read_log(spark, str(folder), BODY_MEASURES)
+    assert quarantine.count() == 0
+    assert sorted(tuple(v or "" for v in r) for r in rows.collect()) == sorted(want)
+
+
+def test_a_stray_quote_loses_only_its_own_line(spark, tmp_path, small_splits):
+    split = GOOD.replace("Dream", '"Dre\nam"')
+    text = "\n".join([HEADER, GOOD, GOOD[:-9] + '"open', GOOD, split, "1,2", split, GOOD, ""])
+    (tmp_path / "log.csv").write_text(text)
+    rows, quarantine = observation_log.read_log(spark, f"{tmp_path}/log.csv", BODY_MEASURES)
+    assert sorted(r.island for r in rows.collect()) == ["Dre\nam"] * 2 + ["Dream"] * 3
+    assert sorted((r.line, r.corrupt_record) for r in quarantine.collect()) == [(3, GOOD[:-9] + '"open'), (7, "1,2")]
 
 
 def test_absent_log_has_no_rows(spark, tmp_path):
