@@ -3,8 +3,8 @@
 Forests have the operator's own number of trees. A fit learns from
 ``FIT_ROWS`` labelled rows (studies, which fit dozens of times, from
 ``STUDY_ROWS``), chosen by a hash of their key; every query scores and evaluates
-whole tables. Where the training rows themselves are what is compared (the
-learning curve, candidate and baseline) fits use all of them.
+whole tables. The learning curve cuts its fractions out of ``CURVE_ROWS`` rows of
+each fold and reports the rows fitted; candidate and baseline fit all of theirs.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from obslab.plans import retraining, study
 from obslab.session import shared_dir
 from obslab.sources.snapshots import SnapshotStore
 
-FIT_ROWS, STUDY_ROWS = 2000, 400
+FIT_ROWS, STUDY_ROWS, CURVE_ROWS = 2000, 400, 1000
 FOREST = Variant("forest", fit_rows=FIT_ROWS)
 _KEY = list(LINES.key)
 
@@ -158,7 +158,7 @@ def grid_study(spark, sf_dir):
 
 def learning_curve(spark, sf_dir):
     folded = study.with_folds(_orders(spark, sf_dir), ORDERS)
-    return study.learning_curve(folded, ORDERS, study.GRID[0])
+    return study.learning_curve(folded, ORDERS, replace(study.GRID[0], fit_rows=CURVE_ROWS))
 
 
 def permutation_importance(spark, sf_dir):

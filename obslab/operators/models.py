@@ -8,7 +8,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -177,10 +177,27 @@ def _vector_size(matrix: DataFrame) -> int:
     return int(matrix.schema[FEATURES].metadata["ml_attr"]["num_attrs"])
 
 
+class _ForestModel(RandomForestClassificationModel):
+    """A forest that wraps its trees in Python only when somebody asks for them.
+
+    The parent's cached ``trees`` is read when its parameters are listed, which takes longer than a small fit, and
+    one fit after the other, because the wrapping is Python's.
+    """
+
+    @property
+    def trees(self) -> list:
+        return RandomForestClassificationModel.trees.func(self)
+
+
+class _Forest(RandomForestClassifier):
+    def _create_model(self, java_model) -> _ForestModel:
+        return _ForestModel(java_model)
+
+
 def _forest(variant: Variant, inputs: int) -> RandomForestClassifier:
     # Candidate features per split: the rounded-down square root, given as a number
     # because Spark's own "sqrt" rounds up.
-    return RandomForestClassifier(
+    return _Forest(
         numTrees=variant.trees,
         maxDepth=UNLIMITED_DEPTH if variant.depth is None else variant.depth,
         minInstancesPerNode=variant.min_leaf,

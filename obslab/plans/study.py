@@ -159,11 +159,11 @@ def _fold_task(
         if subset is not None:
             training = training.where(F.col(f"smallest_{fold}") <= subset)
         sample = (samples or {}).get((variant.fit_rows, variant.seed))
+        learnt = training if sample is None else sample.where(f"drawn_{fold}")
+        if sample is not None and subset is not None:
+            learnt = learnt.where(F.col(f"smallest_{fold}") <= subset)
         began = time.perf_counter()
-        if sample is None:
-            model = fit(training, spec, variant, placed=True)
-        else:
-            model = fit(sample.where(f"drawn_{fold}"), spec, replace(variant, fit_rows=None), placed=True)
+        model = fit(learnt, spec, variant if sample is None else replace(variant, fit_rows=None), placed=True)
         seconds = time.perf_counter() - began
         run = f"{variant.name}|{fold}|{fraction}"
         cube = _cube_rows(model, run, train=training, validation=validation)
@@ -240,23 +240,29 @@ def learning_curve(
     the fractions are cut out of that sample, and every fit uses its whole subset.
     """
     whole = replace(variant, fit_rows=None)
-    with kept(_model_rows(df, spec, "fold")) as base:
-        taken = {fold: F.col("fold") != fold for fold in range(1, folds + 1)}
-        if variant.fit_rows is not None and variant.fit_rows <= DRAWN_ROWS:
-            base, _ = fold_draws(base, spec, variant, folds)
-            taken = {fold: F.col(f"drawn_{fold}") for fold in taken}
-        elif variant.fit_rows is not None:
-            for fold, where in taken.items():
-                base = draw(base, spec, variant, f"drawn_{fold}", where)
+    with ExitStack() as stack:
+        base = stack.enter_context(kept(_model_rows(df, spec, "fold")))
+        taken, largest, samples = {fold: F.col("fold") != fold for fold in range(1, folds + 1)}, None, None
+        if variant.fit_rows is not None:
+            if variant.fit_rows <= DRAWN_ROWS:
+                base, largest = fold_draws(base, spec, variant, folds)
+            else:
+                for fold, where in taken.items():
+                    base = draw(base, spec, variant, f"drawn_{fold}", where)
             taken = {fold: F.col(f"drawn_{fold}") for fold in taken}
         # The thresholds of all folds are found at the same time.
         rules = run_fits([
             lambda fold=fold, where=where: (f"smallest_{fold}", subset_rule(base, spec, fractions, seed=seed + fold, where=where))
             for fold, where in taken.items()
         ])
-        rows = base.withColumns({name: rule for name, rule in rules if rule is not None})
+        # Every fit and every scoring reads the rows: their hashes are taken once.
+        rows = stack.enter_context(kept(base.withColumns({name: rule for name, rule in rules if rule is not None})))
+        if largest is not None:
+            # All fractions of all folds learn from one small table, placed as a cross-validation's sample is.
+            used = rows.where(reduce(lambda a, b: a | b, taken.values()))
+            samples = {(None, variant.seed): stack.enter_context(kept(place(used, spec, partitions_for(largest))))}
         tasks = [
-            _fold_task(rows, spec, whole, fold, f, i)
+            _fold_task(rows, spec, whole, fold, f, i, samples)
             for i, f in enumerate(fractions) if f < 1.0 or full is None for fold in range(1, folds + 1)
         ]
         table = _fold_table(df.sparkSession, run_fits(tasks))

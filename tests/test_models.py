@@ -103,6 +103,12 @@ def test_saved_model_gives_the_same_probabilities(toy, fitted, tmp_path):
     assert both[0] == both[1]
 
 
+def test_trees_are_wrapped_only_on_demand(toy, fitted, monkeypatch):
+    assert len(fitted.classifier.trees) == fitted.variant.trees and fitted.classifier.trees[0].depth >= 1
+    monkeypatch.setattr(type(fitted.classifier), "trees", property(lambda self: pytest.fail("trees were wrapped")))
+    assert fit(toy, SPEC, SMALL).classifier.getNumTrees == fitted.variant.trees
+
+
 def test_pca_equals_the_covariance_eigenvectors(toy):
     columns = list(SPEC.numeric)
     got = features.fit_pca(toy, columns, 4)
@@ -166,7 +172,7 @@ def test_comparison_reports_the_rows_of_its_fits(reference, make_log):
     assert {r["model"]: r["n_train"] for r in result.metrics.collect()} == {"baseline": 27, "candidate": 15}
 
 
-def test_catalog_curves_and_comparisons_fit_whole_training_sets(monkeypatch):
+def test_catalog_bounds_the_curve_once_and_compares_whole_training_sets(monkeypatch):
     from obslab.catalog import models as catalog
 
     used = []
@@ -178,7 +184,7 @@ def test_catalog_curves_and_comparisons_fit_whole_training_sets(monkeypatch):
         monkeypatch.setattr(catalog, name, lambda *a, **k: type("Any", (), {"snapshot": None, "load": lambda *a: None, "save": lambda *a: None})())
     monkeypatch.setattr(retraining, "candidate_vs_baseline", lambda *a: used.extend(a[3:]) or type("Any", (), {"metrics": None}))
     catalog.candidate_vs_baseline(None, "")
-    assert len(used) == 3 and all(v.fit_rows is None for v in used)
+    assert [v.fit_rows for v in used] == [catalog.CURVE_ROWS, None, None]
 
 
 def test_families_and_ablation(toy):
