@@ -101,6 +101,26 @@ def test_rows_without_label_stay_and_get_no_place(spark):
     assert len(got) == 17 and got[99] is None
 
 
+def test_only_buckets_that_differ_are_joined(spark):
+    schema = "id bigint, part string, split string, fold int"
+    rows = [(i, "p", "train" if i % 3 else "test", i % 5) for i in range(500)]
+    saved = spark.createDataFrame(rows, schema)
+    again = spark.createDataFrame(rows[::-1], schema)
+    key, columns = ["id", "part"], ["split", "fold"]
+    assert leakage.differing_buckets(saved, again, key, columns).isEmpty()
+    assert leakage.protocol_diff(saved, again, key, columns).isEmpty()
+    # One row moves, one is twice there, one is missing, one's values change places with nulls, and one has no whole key.
+    changed = [r for r in rows if r[0] not in (7, 9, 11)] + [(7, "p", "other", 2), rows[8], (11, "p", None, 1), (None, "p", "train", 1)]
+    other = spark.createDataFrame(changed, schema)
+    assert leakage.differing_buckets(saved, other, key, columns).count() == 5
+    for buckets in (1, 3, 4096):
+        got = leakage.protocol_diff(saved, other, key, columns, buckets)
+        plain = saved.selectExpr(*key, "split s", "fold f").join(other, key, "full_outer").where("not (s <=> split and f <=> fold)")
+        assert sorted(map(str, (r.id for r in got.collect()))) == sorted(map(str, (r.id for r in plain.collect())))
+    swapped = [spark.createDataFrame([(1, "p", *v)], "id bigint, part string, split string, fold string") for v in ((None, "a"), ("a", None))]
+    assert leakage.protocol_diff(*swapped, key, columns).count() == 1
+
+
 def test_protocol_difference(spark):
     rows = labelled(spark, SIZES)
     same = leakage.protocol_diff(protocol(rows, SPEC), protocol(rows.repartition(3), SPEC), ["id"], ["split", "fold"])
