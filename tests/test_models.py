@@ -305,3 +305,18 @@ def _checkpoints(spark, tmp_path_factory):
     from obslab.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(spark)
+
+
+def test_the_release_check_asks_the_model_once_per_row(spark, toy):
+    import re
+
+    from obslab.operators import gates
+
+    model = fit(toy, SPEC, SMALL)
+    asked = lambda df: len(re.findall(r"UDF\(features", df._jdf.queryExecution().optimizedPlan().toString()))
+    report = retraining.release_check(model, toy, {c: 1.0 for c in SPEC.numeric})
+    assert [tuple(r) for r in report.collect()] == [("predicted_label_is_allowed", 0, True), ("probabilities_are_proper", 0, True)]
+    assert asked(report) == 1
+    # In the rows found the model's answer is asked for again, in the filter once.
+    broken = gates.probability_violations(model.predict(toy).select("probabilities"), SPEC.labels)
+    assert asked(broken.groupBy().count()) == 1 and broken.count() == 0
