@@ -320,3 +320,14 @@ def test_the_release_check_asks_the_model_once_per_row(spark, toy):
     # In the rows found the model's answer is asked for again, in the filter once.
     broken = gates.probability_violations(model.predict(toy).select("probabilities"), SPEC.labels)
     assert asked(broken.groupBy().count()) == 1 and broken.count() == 0
+
+
+def test_the_split_of_the_lines_is_written_once(spark, tmp_path, monkeypatch):
+    from obslab.catalog import models as catalog
+
+    rows = [(i, 1, i, i, 1.0 + i, 10.0 * i, 0.01, 0.02, "ANR"[i % 3], "FO"[i % 2]) for i in range(24)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_quantity double, "
+                          "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    train, test = catalog._line_split(spark, str(tmp_path))
+    assert (train.count(), test.count()) == (18, 6) and set(train.columns) == {*catalog._KEY, "l_returnflag", *catalog.LINES.features, "split"}
+    assert "md5" not in test._jdf.queryExecution().optimizedPlan().toString()
