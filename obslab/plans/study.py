@@ -6,6 +6,7 @@ run) on the cluster; only those counts and tree sizes meet on the driver.
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -14,12 +15,14 @@ from dataclasses import replace
 from functools import reduce
 from heapq import nsmallest
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from obslab.functions.identity import order_hash
-from obslab.operators.forest_bins import BROADCAST_BYTES, binned_cube, forest_bins
+from obslab.operators.forest_bins import BROADCAST_BYTES, ForestBins, binned_cube, forest_bins
 from obslab.operators.metrics import classification_metrics, confusion_cube, fold_summary, select_variant
 from obslab.operators.models import FittedModel, Variant, coefficient_count, draw, fit, forest_size, partitions_for, place
 from obslab.operators.splits import LEARNING_FRACTIONS, SEED, stratified_folds, stratified_split, subset_rule, subset_seed
@@ -33,8 +36,10 @@ PARALLEL_FITS = 8
 DRAWN_ROWS = 20_000
 # Rows of one block in which a permutation trial moves values.
 BLOCK = 1024
-# Files of blocks at most.
-MOST_FILES = 10_000
+# Files of blocks at most, and blocks of one file where there are enough for all cores.
+MOST_FILES, FILE_BLOCKS = 10_000, 16
+# Combinations of bins whose answers are looked up in one array, a byte each.
+TABLE_CODES = 1 << 22
 # The grid of the regularisation study.
 GRID = tuple(
     Variant(f"d{depth or 'max'}-l{leaves}", depth=depth, min_leaf=leaves) for depth in (None, 5, 10) for leaves in (1, 2, 4)
@@ -343,23 +348,32 @@ def permutation_importance(
     ).orderBy(F.col("mean_decrease_macro_f1").desc(), "feature")
 
 
-def _pairs(held: DataFrame, spec: DatasetSpec, carried: Sequence[str], repeats: int, seed: int) -> DataFrame:
-    """(feature, repeat, own, donor) for each row and trial, and once with nulls and the row itself as donor."""
+def _blocks(held: DataFrame, spec: DatasetSpec, carried: Sequence[str], seed: int) -> DataFrame:
+    """(block, members): the rows dealt into blocks, each with its members in order, written once."""
     blocks = max(1, -(-held.count() // BLOCK))
     hashed = order_hash(f"{seed}:importance", *[F.col(k) for k in spec.key])
     number = F.conv(F.substring(hashed, 1, 15), 16, 10).cast("bigint")
     member = F.struct(hashed.alias("order"), *carried)
     dealt = held.select(F.pmod(number, F.lit(blocks)).alias("block"), member.alias("member"))
     path = shared_dir(held.sparkSession, "blocks")
-    # One partition, and so one file, for each block: blocks are what later tasks work on.
-    dealt = dealt.repartition(min(blocks, MOST_FILES), "block")
+    files = max(-(-blocks // FILE_BLOCKS), min(blocks, held.sparkSession.sparkContext.defaultParallelism))
+    dealt = dealt.repartition(min(files, MOST_FILES), "block")
     dealt.groupBy("block").agg(F.array_sort(F.collect_list("member")).alias("members")).write.parquet(path)
-    packed = held.sparkSession.read.parquet(path)
+    return held.sparkSession.read.parquet(path)
+
+
+def _place(seed: int, feature, repeat, order):
+    """What a trial sorts a block's rows by."""
+    return F.xxhash64(F.lit(str(seed)), feature, repeat, order)
+
+
+def _pairs(packed: DataFrame, spec: DatasetSpec, repeats: int, seed: int) -> DataFrame:
+    """(feature, repeat, own, donor) for each row and trial, and once with nulls and the row itself as donor."""
     trials = F.array(*[
         F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat")) for f in spec.features for r in range(repeats)
     ])
     places = F.transform("members", lambda m: F.struct(
-        F.xxhash64(F.lit(str(seed)), F.col("trial.feature"), F.col("trial.repeat"), m.order).alias("place"), m.alias("member")))
+        _place(seed, F.col("trial.feature"), F.col("trial.repeat"), m.order).alias("place"), m.alias("member")))
     turned = F.transform(F.array_sort(places), lambda d: d.member)
     drawn = packed.select("members", F.explode(trials).alias("trial")).select(
         F.col("trial.feature").alias("feature"), F.col("trial.repeat").alias("repeat"),
@@ -376,7 +390,7 @@ def _pairs(held: DataFrame, spec: DatasetSpec, carried: Sequence[str], repeats:
 def _scored_cube(model: FittedModel, held: DataFrame, repeats: int, seed: int) -> DataFrame:
     """Confusion counts by trial, every row scored in every trial."""
     spec = model.spec
-    pairs = _pairs(held, spec, [spec.label, *spec.features], repeats, seed)
+    pairs = _pairs(_blocks(held, spec, [spec.label, *spec.features], seed), spec, repeats, seed)
     shuffled = pairs.select(
         "feature", "repeat", F.col("own")[spec.label].alias(spec.label),
         *[F.when(F.col("feature") == c, F.col("donor")[c]).otherwise(F.col("own")[c]).alias(c) for c in spec.features],
@@ -388,10 +402,87 @@ def _coded_cube(model: FittedModel, held: DataFrame, repeats: int, seed: int) ->
     """Confusion counts by trial: codes are permuted, and each different one is scored once."""
     spec, bins = model.spec, forest_bins(model)
     names = [f"_bin_{i}" for i in range(len(spec.features))]
-    pairs = _pairs(bins.with_bins(held), spec, [spec.label, *names], repeats, seed)
+    packed = _blocks(bins.with_bins(held), spec, [spec.label, *names], seed)
+    if len(bins.words) == 1 and math.prod(s.size for s in bins.slots.values()) <= TABLE_CODES:
+        return _table_cube(bins, packed, names, repeats, seed)
+    pairs = _pairs(packed, spec, repeats, seed)
     chosen = lambda i: F.when(F.col("feature") == spec.features[i], F.col("donor")[names[i]]).otherwise(F.col("own")[names[i]])
     coded = pairs.select("feature", "repeat", F.col("own")[spec.label].alias("actual"), *bins.codes(chosen))
     answers = bins.answers(coded)
     small = answers.count() * (8 * len(bins.words) + 32) <= BROADCAST_BYTES
     answered = coded.join(F.broadcast(answers) if small else answers, bins.words)
     return answered.groupBy("feature", "repeat", "actual", "predicted").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _table_cube(bins: ForestBins, packed: DataFrame, names: Sequence[str], repeats: int, seed: int) -> DataFrame:
+    """The same counts where all answers fit one small array: tasks permute and count whole blocks at a time.
+
+    The array is sized by the forest's bins and holds an answer for every code that a trial can make: a row's code with any one
+    digit replaced by another row's.
+    """
+    spec, spark, (word,) = bins.model.spec, packed.sparkSession, bins.words
+    classes, slots = list(spec.class_order), list(bins.slots.values())
+    members = packed.select("block", F.explode("members").alias("m"))
+    codes = members.select(*(F.col(f"m.{n}").alias(n) for n in names)).distinct().select(*names, *bins.codes(lambda i: F.col(names[i])))
+    known = codes.agg(*(F.collect_set(n).alias(n) for n in names)).first()
+    made = codes.select(word)
+    for n, slot in zip(names, slots):
+        rest = codes.select((F.col(word) - F.col(n) * slot.factor).alias("_rest")).distinct()
+        digits = F.array(*(F.lit(d * slot.factor).cast("bigint") for d in sorted(known[n])))
+        made = made.unionByName(rest.select("_rest", F.explode(digits).alias("_digit")).select((F.col("_rest") + F.col("_digit")).alias(word)))
+    answers = bins.answers(made).select(word, (F.array_position(F.array(*map(F.lit, classes)), F.col("predicted")) - 1).alias("at")).toArrow()
+    table = np.full(math.prod(s.size for s in slots), -1, np.int8 if len(classes) < 128 else np.int32)
+    table[answers.column(word).to_numpy()] = answers.column("at").to_numpy()
+    shared = spark.sparkContext.broadcast(table)
+    trials = [(f, r) for f in spec.features for r in range(repeats)]
+    places = F.array(*(_place(seed, F.lit(f), F.lit(r), F.col("m.order")) for f, r in trials)).alias("places")
+    rows = members.select("block", F.col(f"m.{spec.label}").cast("string").alias("actual"), *(F.col(f"m.{n}").alias(n) for n in names), places)
+    counted = _trial_counter(shared, trials, repeats, classes, [s.factor for s in slots])
+    cube = rows.mapInArrow(counted, "feature string, repeat int, actual string, predicted string, n bigint")
+    return cube.groupBy("feature", "repeat", "actual", "predicted").agg(F.sum("n").alias("n"))
+
+
+def _trial_counter(shared, trials: list[tuple[str, int]], repeats: int, classes: list[str], factors: list[int]):
+    """Counts (feature, repeat, actual, predicted, n) of rows (block, actual, digits, places) that come block after block."""
+    import pyarrow.compute as pc
+
+    def blocks(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            number = table.column("block").to_numpy()
+            cuts = np.r_[0, np.flatnonzero(number[1:] != number[:-1]) + 1]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                yield table.slice(a, b - a).combine_chunks()
+            held = table.slice(cuts[-1])
+        if held is not None and held.num_rows:
+            yield held.combine_chunks()
+
+    def counted(batches):
+        totals = {}
+        for rows in blocks(batches):
+            names = rows.column("actual").to_pylist()
+            labels = list(dict.fromkeys(names))
+            label = np.array([labels.index(v) for v in names])
+            digits = [rows.column(2 + i).to_numpy() for i in range(len(factors))]
+            own = sum(d * f for d, f in zip(digits, factors))
+            # Members are in order, so that a stable sort settles equal places as the members' order does.
+            places = np.ascontiguousarray(pc.list_flatten(rows.column("places")).to_numpy().reshape(-1, len(trials)).T)
+            donors = np.argsort(places, axis=1, kind="stable")
+            found = [
+                shared.value[(own - d * f)[None, :] + (d * f)[donors[i * repeats : (i + 1) * repeats]]]
+                for i, (d, f) in enumerate(zip(digits, factors))
+            ]
+            # Last come the rows as they are.
+            found = np.concatenate([*found, shared.value[own][None, :]])
+            cells = (np.arange(len(found))[:, None] * len(labels) + label[None, :]) * len(classes) + found
+            counts = np.bincount(cells.ravel(), minlength=len(found) * len(labels) * len(classes))
+            for name, part in zip(labels, counts.reshape(len(found), len(labels), len(classes)).transpose(1, 0, 2)):
+                totals[name] = totals.get(name, 0) + part
+        named = [*trials, (None, None)]
+        out = [(*named[t], name, classes[c], int(part[t, c])) for name, part in totals.items() for t, c in zip(*np.nonzero(part))]
+        if out:
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["feature", "repeat", "actual", "predicted", "n"])
+
+    return counted

@@ -331,3 +331,44 @@ def test_the_split_of_the_lines_is_written_once(spark, tmp_path, monkeypatch):
     train, test = catalog._line_split(spark, str(tmp_path))
     assert (train.count(), test.count()) == (18, 6) and set(train.columns) == {*catalog._KEY, "l_returnflag", *catalog.LINES.features, "split"}
     assert "md5" not in test._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scoring_asks_the_forest_once_per_combination_of_bins(spark, toy, fitted, monkeypatch):
+    """The same answers to the last bit, one question for rows that come ten times; a row without a measure stays an error."""
+    many = toy.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(10))))
+    asked, plain = [], FittedModel.predict
+    monkeypatch.setattr(FittedModel, "predict", lambda self, df: asked.append(df.count()) or plain(self, df))
+    scored, refused = score(many, fitted)
+    got = {(r["row"], r["copy"]): (r["predicted_species"], r["probabilities"]) for r in scored.collect()}
+    assert refused.count() == 0 and 0 < sum(asked) <= 300
+    wanted = {(r["row"], r["copy"]): (r["predicted_species"], r["probabilities"]) for r in plain(fitted, many.fillna("unknown", ["sex"])).collect()}
+    assert got == wanted and len(got) == 3000
+    monkeypatch.setattr(forest_bins, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(forest_bins, "_CODES", 40)
+    again = {(r["row"], r["copy"]): (r["predicted_species"], r["probabilities"]) for r in score(many, fitted)[0].collect()}
+    assert again == wanted
+    missing = toy.limit(1).withColumn("bill_length_mm", F.lit(None).cast("double"))
+    with pytest.raises(Exception, match="a measure is missing"):
+        forest_bins.predict(fitted, missing).collect()
+
+
+def test_a_cube_asks_the_forest_once_per_combination_of_bins(toy, fitted, monkeypatch):
+    """Keys and labels share the question."""
+    rows = toy.limit(20).withColumn("part", F.explode(F.sequence(F.lit(1), F.lit(6))))
+    asked, plain = [], FittedModel.predict
+    monkeypatch.setattr(FittedModel, "predict", lambda self, df: asked.append(df.count()) or plain(self, df))
+    cube = forest_bins.binned_cube(fitted, rows, ["part"])
+    assert sum(asked) <= 20 and sum(r["n"] for r in cube.collect()) == 120
+
+
+def test_trials_of_one_answer_table_count_as_joined_trials_do(toy, fitted, monkeypatch):
+    """Labels that are missing, rows that come twice, blocks that end inside a batch: the same counts without forming a row per trial."""
+    rows = toy.unionAll(toy.limit(30)).withColumn("species", F.when(F.col("row") % 11 != 0, F.col("species")))
+    monkeypatch.setattr(study, "BLOCK", 40)
+    made, joined = [], study._pairs
+    monkeypatch.setattr(study, "_pairs", lambda *a: made.append(1) or joined(*a))
+    count = lambda: sorted(map(repr, study._coded_cube(fitted, rows, 3, 7).select("feature", "repeat", "actual", "predicted", "n").collect()))
+    fast = count()
+    assert not made
+    monkeypatch.setattr(study, "TABLE_CODES", 0)
+    assert fast == count() and made
