@@ -174,23 +174,22 @@ def leaves(nodes: DataFrame, runs: int) -> DataFrame:
     paths = nodes.select("set_key", "sketch").mapInArrow(first_paths(runs, rate), "path bigint, set_key binary")
     found: list[DataFrame] = []
     for depth in range(DEPTH):
-        sizes = paths.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        level = stored(paths.join(sizes, "path"), "paths")
-        large = level.where(F.col("n") > LIMIT)
+        # The pivot is the bucket's least node. Its sketch comes with the bucket's size, so that a row meets its bucket once.
+        sizes = stored(paths.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("set_key").alias("_pivot")).where("n > 1"), "sizes")
+        large = sizes.where(F.col("n") > LIMIT)
         if depth == DEPTH - 1 or large.isEmpty():
-            found.append(level.select("path", "set_key"))
+            found.append(stored(paths.join(sizes.select("path"), "path"), "paths"))
             break
-        found.append(level.where(F.col("n") <= LIMIT).select("path", "set_key"))
-        # The pivot is the bucket's least node; sketches meet the rows once.
-        pivots = large.groupBy("path").agg(F.min("set_key").alias("_pivot")).join(
-            nodes.select(F.col("set_key").alias("_pivot"), F.col("sketch").alias("pivot")), "_pivot").drop("_pivot")
-        known = large.drop("n").join(nodes.select("set_key", "sketch"), "set_key")
-        measured = known.join(pivots, "path").mapInArrow(pivot_likeness, "path bigint, set_key binary, sketch binary, like double")
-        split = stored(measured, "split")
+        pivots = large.join(nodes.select(F.col("set_key").alias("_pivot"), F.col("sketch").alias("pivot")), "_pivot").select("path", "pivot")
+        told = sizes.where(F.col("n") <= LIMIT).select("path", F.lit(None).cast("binary").alias("pivot")).union(pivots)
+        level = stored(paths.join(told, "path"), "paths")
+        found.append(level.where(F.col("pivot").isNull()).select("path", "set_key"))
+        known = level.where(F.col("pivot").isNotNull()).join(nodes.select("set_key", "sketch"), "set_key")
+        split = stored(known.mapInArrow(pivot_likeness, "path bigint, set_key binary, sketch binary, like double"), "split")
         # What stays has a path of its own. If all of a bucket stays, nothing needs to go further.
         found.append(split.where(F.col("like") >= CLOSE).select(F.xxhash64(F.lit("close"), "path").alias("path"), "set_key"))
         parted = split.where(F.col("like") < CLOSE).select("path").distinct()
-        further = split.where(F.col("like") < FAR).join(parted, "path").select("path", "set_key", "sketch")
+        further = split.where(F.col("like") < FAR).join(parted, "path", "left_semi").select("path", "set_key", "sketch")
         paths = further.mapInArrow(next_paths(2 * rate), "path bigint, set_key binary")
     out = found[0]
     for f in found[1:]:

@@ -67,6 +67,30 @@ def test_large_buckets_and_blocks(make, monkeypatch):
     assert got(make(*source).repartition(3)) == plain(source)
 
 
+def test_a_path_row_meets_its_bucket_once(make, monkeypatch):
+    """Inner joins on paths give each row of a level once, however large the group of near copies is."""
+    monkeypatch.setattr(nj, "LIMIT", 8)
+    table, made, levels = make(*copies(3, (45, 2, 1))), [], []
+    join, stored = type(table).join, nj.stored
+
+    def counted(self, other, on=None, how=None):
+        out = join(self, other, on, how)
+        if on == "path" and how in (None, "inner"):
+            made.append(out.count())
+        return out
+
+    def told(df, purpose):
+        out = stored(df, purpose)
+        if purpose == "paths":
+            levels.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(table), "join", counted)
+    monkeypatch.setattr(nj, "stored", told)
+    nj.near_join(table).count()
+    assert levels and sum(made) == sum(levels)
+
+
 def test_odd_texts(odd, odd_rows):
     assert got(odd) == plain(odd_rows)
 
