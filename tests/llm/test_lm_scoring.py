@@ -1,13 +1,17 @@
 import math
+import pathlib
+import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from obslab.llm import lm_scoring as lm
 from obslab.llm.common import remainder
+from obslab.llm.shared_arrays import local_path
 from obslab.llm.word_batches import slices, words_of_batch
 
 
@@ -139,6 +143,43 @@ def test_trigram_counts_beyond_16_bits(make):
     check_trigrams(lm.train_and_score(make(*source), F.lit(False), order=3).collect(), source, source)
 
 
+def test_a_trigram_model_takes_few_bytes(make):
+    """Files of the model: a rare trigram and its pair took about 54 bytes beside 44 for a word."""
+    rng = random.Random(3)
+    table = make(*((i, " ".join(f"w{rng.randrange(3000)}" for _ in range(400)), "", "", 0) for i in range(200)))
+    model = lm.train(table, order=3)
+    size = sum(f.stat().st_size for f in pathlib.Path(local_path(model.path)).iterdir())
+    trigrams = sum(m[0] for m in model.trigrams)
+    assert trigrams > 60_000 and size < 26 * trigrams + 40 * model.vocabulary
+
+
+def test_packed_cells_and_mixed_contexts_come_back():
+    rng = np.random.default_rng(4)
+    values = np.sort(rng.integers(0, 2**64, 1000, dtype=np.uint64))
+    assert (lm.joined([lm.packed(values, True), lm.packed(values[:3], True)], "<u8", True) == np.r_[values, values[:3]]).all()
+    assert (lm.joined([lm.packed(values.astype("<u4"))], "<u4") == values.astype("<u4")).all() and len(lm.joined([], "<u4")) == 0
+    for n, bits in ((1, 4), (1, 9), (900, 4), (2**31, 12)):
+        model = lm.Model("", bits, [n])
+        first, second = (rng.integers(0, n + 2, 500, dtype=np.uint64) for _ in range(2))
+        mixed = lm.mixed_contexts(model, first << np.uint64(32) | second)
+        assert (lm.second_words(model, mixed) == second).all() and lm.trigram_shards(model, mixed).max() < 1 << bits
+        own = np.unique(mixed[lm.trigram_shards(model, mixed) == 0])
+        starts, rest = lm.step_arrays(model, own)
+        at, hit = lm.find_contexts(model, starts, rest, own)
+        assert hit.all() and (at == np.arange(len(own))).all()
+
+
+def test_long_and_short_runs_of_trigrams(make):
+    """Contexts with one, few and many words after them, seen once, often and more often than a byte counts."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefgh") + str(int(rng.paretovariate(0.6)) % 40) for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    texts += ["x y " * 300 + "z"] + [f"x y n{i}" for i in range(40)]
+    source = [(i, t, "", "", 0) for i, t in enumerate(texts)]
+    table = make(*source)
+    out = held(table)
+    check_trigrams(lm.train_and_score(table, remainder("doc_id", 7) == 2, order=3).collect(), source, [r for r in source if r[0] not in out])
+
+
 def test_the_query_scores_by_two_words_before(make, monkeypatch):
     from obslab.llm import catalog
 
