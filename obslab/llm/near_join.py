@@ -6,7 +6,7 @@ the root, the paths that sampled shared (place, min-hash) tokens name: 1 / thres
 threshold is expected to share one. Buckets of at most ``limit`` nodes are compared by brute force. From larger ones, nodes
 close to the bucket's pivot are compared at once (they are all alike: no path would part them), nodes not so close split
 further; by the triangle inequality every pair of likeness over the threshold stays together in one of the two parts.
-Runs repeat until the target recall.
+A bucket of which both parts would be nearly all is compared at once. Runs repeat until the target recall.
 
 Buckets compare short sketches and drop all nodes without a likely partner. Only the rest gets its shingles, and pairs are
 verified exactly, in blocks of a bounded number of nodes. A pair that meets in several buckets counts in the first only. No
@@ -168,6 +168,20 @@ def next_paths(rate: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return run
 
 
+def split_buckets(split: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The paths of buckets to part, and of those that are compared whole.
+
+    A bucket is whole if half of it is close to the pivot and its pairs are no more than those of its close nodes and of the
+    nodes that would go further: where most are as close as not, both parts are nearly the bucket, and each level repeats it.
+    A bucket whose nodes are all close is whole.
+    """
+    close, further = F.sum((F.col("like") >= CLOSE).cast("double")), F.sum((F.col("like") < FAR).cast("double"))
+    counted = split.groupBy("path").agg(F.count(F.lit(1)).cast("double").alias("n"), close.alias("close"), further.alias("further"))
+    pairs = F.col("n") * F.col("n") <= F.col("close") * F.col("close") + F.col("further") * F.col("further")
+    told = stored(counted.select("path", ((2 * F.col("close") >= F.col("n")) & pairs).alias("whole")), "kinds")
+    return told.where(~F.col("whole")).select("path"), told.where("whole").select("path")
+
+
 def leaves(nodes: DataFrame, runs: int) -> DataFrame:
     """(leaf, set_key): the buckets to compare, those of one node left out. Every level is a written table."""
     rate = 1 / THRESHOLD
@@ -186,9 +200,11 @@ def leaves(nodes: DataFrame, runs: int) -> DataFrame:
         found.append(level.where(F.col("pivot").isNull()).select("path", "set_key"))
         known = level.where(F.col("pivot").isNotNull()).join(nodes.select("set_key", "sketch"), "set_key")
         split = stored(known.mapInArrow(pivot_likeness, "path bigint, set_key binary, sketch binary, like double"), "split")
-        # What stays has a path of its own. If all of a bucket stays, nothing needs to go further.
-        found.append(split.where(F.col("like") >= CLOSE).select(F.xxhash64(F.lit("close"), "path").alias("path"), "set_key"))
-        parted = split.where(F.col("like") < CLOSE).select("path").distinct()
+        parted, whole = split_buckets(split)
+        # What stays has a path of its own.
+        stays = split.where(F.col("like") >= CLOSE).select("path", "set_key").union(
+            split.where(F.col("like") < CLOSE).join(whole, "path", "left_semi").select("path", "set_key"))
+        found.append(stays.select(F.xxhash64(F.lit("close"), "path").alias("path"), "set_key"))
         further = split.where(F.col("like") < FAR).join(parted, "path", "left_semi").select("path", "set_key", "sketch")
         paths = further.mapInArrow(next_paths(2 * rate), "path bigint, set_key binary")
     out = found[0]

@@ -91,6 +91,32 @@ def test_a_path_row_meets_its_bucket_once(make, monkeypatch):
     assert levels and sum(made) == sum(levels)
 
 
+def test_a_shared_passage_is_compared_whole(make, monkeypatch):
+    """Texts about as like as CLOSE stay together at once: split, nearly all would stay and nearly all go further, level by level."""
+    monkeypatch.setattr(nj, "LIMIT", 8)
+    passage, levels, stored = " ".join(f"p{i}" for i in range(100)), [], nj.stored
+    source = [(i, f"{passage} " + " ".join(f"own{i}x{k}" for k in range(100)), "en", "s", 0) for i in range(40)]
+    source += [(100 + i, f"{source[i][1]} end", "en", "s", 0) for i in (0, 7, 30)]
+
+    def told(df, purpose):
+        out = stored(df, purpose)
+        if purpose == "paths":
+            levels.append(out.count())
+        return out
+
+    monkeypatch.setattr(nj, "stored", told)
+    assert got(make(*source).repartition(3)) == plain(source)
+    assert levels[0] and not sum(levels[1:])
+
+
+def test_far_nodes_of_a_bucket_go_further(shipped):
+    rows = [("outlier", x) for x in [0.05] * 9 + [1.0]] + [("two groups", x) for x in [0.1] * 5 + [0.8] * 5]
+    rows += [("near copies", x) for x in [0.8] * 9 + [0.9]] + [("passage", x) for x in [0.2] * 4 + [0.4] * 6]
+    parted, whole = nj.split_buckets(shipped.createDataFrame(rows, "path string, like double"))
+    assert sorted(r.path for r in parted.collect()) == ["outlier", "two groups"]
+    assert sorted(r.path for r in whole.collect()) == ["near copies", "passage"]
+
+
 def test_odd_texts(odd, odd_rows):
     assert got(odd) == plain(odd_rows)
 
@@ -113,6 +139,16 @@ def test_components_of_chains_and_stars(shipped):
     assert all(found[i] == 0 for i in range(31)) and all(found[100 + i] == 100 for i in range(40)) and found[301] == found[300] == 300
 
 
+def test_stars_need_no_round(shipped, monkeypatch):
+    import obslab.llm.components as module
+
+    written, stored = [], module.stored
+    monkeypatch.setattr(module, "stored", lambda df, purpose: written.append(purpose) or stored(df, purpose))
+    rows = components(shipped.createDataFrame([(1, k) for k in range(1, 6)] + [(9, 7), (8, 7), (7, 8)], "a bigint, b bigint")).collect()
+    assert sorted(rows) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (7, 7), (8, 7), (9, 7)]
+    assert len(written) == 1
+
+
 @pytest.mark.parametrize("share", [0.8, 0.9])
 def test_runs_reach_the_recall(share):
     """Pairs of sets at the threshold meet in a first-level bucket of some run about as often as computed."""
