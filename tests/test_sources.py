@@ -199,6 +199,33 @@ def test_file_fingerprints_and_changes(spark, tmp_path):
     assert {r["path"].rsplit("/", 1)[1]: r["change"] for r in changes.collect()} == {"a.txt": "changed", "c.txt": "added"}
 
 
+def test_files_of_any_size_are_read_by_lines(spark, tmp_path, monkeypatch):
+    """Each by one task, in pieces: no byte is lost or taken for text, and nothing is as large as the file."""
+    import gzip
+    import hashlib
+    import random
+
+    rng = random.Random(5)
+    contents = {
+        "a b.bin": rng.randbytes(300_000), "c%20d.bin": rng.randbytes(70_000) + b"\n", "ü+#.bin": b"\xef\xbb\xbfone\r\ntwo\r" * 5000,
+        "marked.bin": b"\xef\xbb\xbf" + b"\n" * 30_000, "e.bin": b"x" * 90_000, "f.bin.gz": gzip.compress(rng.randbytes(50_000)), "small.bin": b"s",
+    }
+    (tmp_path / "deeper").mkdir()
+    for i, (name, content) in enumerate(contents.items()):
+        (tmp_path / ("deeper" if i % 2 else "") / name).write_bytes(content)
+    plain = {tuple(r) for r in files.file_fingerprints(spark, str(tmp_path)).collect()}
+    monkeypatch.setattr(files, "WHOLE_BYTES", 1000)
+    held = spark.conf.get("spark.sql.sources.binaryFile.maxLength")
+    # As if no value could hold more: files beyond that were an error.
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 60_000)
+    try:
+        found = files.file_fingerprints(spark, str(tmp_path))
+        assert {tuple(r) for r in found.collect()} == plain and found.columns == ["file", "path", "n_bytes", "sha256"]
+    finally:
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", held)
+    assert {(f, n, h) for f, _, n, h in plain} == {(f, len(c), hashlib.sha256(c).hexdigest()) for f, c in contents.items()}
+
+
 def test_row_locator_is_unique_and_repeatable(spark, tmp_path):
     spark.range(100).select((F.col("id") % 3).alias("v")).repartition(4).write.parquet(f"{tmp_path}/t")
     located = lambda: {r["row_key"] for r in tables.with_row_locator(spark.read.parquet(f"{tmp_path}/t")).collect()}
