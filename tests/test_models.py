@@ -372,3 +372,43 @@ def test_trials_of_one_answer_table_count_as_joined_trials_do(toy, fitted, monke
     assert not made
     monkeypatch.setattr(study, "TABLE_CODES", 0)
     assert fast == count() and made
+
+
+def lines_of(spark, folder, n):
+    """``n`` order lines of three kinds."""
+    spark.range(n).selectExpr(
+        "id AS l_orderkey", "1 AS l_linenumber", "id AS l_partkey", "id AS l_suppkey", "1 + id % 50 + 0.0D AS l_quantity",
+        "100.5D + id % 997 AS l_extendedprice", "(id % 11) / 100 AS l_discount", "(id % 9) / 100 AS l_tax",
+        "element_at(array('A', 'N', 'R'), cast(id % 3 AS int) + 1) AS l_returnflag", "if(id % 3 = 1, 'O', 'F') AS l_linestatus",
+    ).write.parquet(f"{folder}/lineitem.parquet")
+    return str(folder)
+
+
+def test_batch_scores_learn_from_all_training_rows(spark, tmp_path, monkeypatch):
+    from obslab.catalog import models as catalog
+
+    fitted = []
+    monkeypatch.setattr(catalog, "WHOLE", replace(catalog.WHOLE, trees=3))
+    monkeypatch.setattr(catalog, "fit", lambda *a, **k: fitted.append(fit(*a, **k)) or fitted[-1])
+    got = catalog.batch_score(spark, lines_of(spark, tmp_path, 3000))
+    assert got.count() == 750 and [m.fitted_rows for m in fitted] == [2250]
+
+
+def test_large_forests_grow_in_groups_of_trees(toy, fitted, monkeypatch, tmp_path):
+    """The trees of separate forests side by side: stored, scored and seen through their bins like any other forest."""
+    many = replace(SMALL, trees=5)
+    monkeypatch.setattr(models, "GROWN", 600)
+    monkeypatch.setattr(models, "GROUP_TREES", 1)
+    joined = fit(toy, SPEC, many)
+    monkeypatch.undo()
+    shown = lambda m: [t.toDebugString() for t in models._trees(m.classifier)]
+    text = lambda m: [t.split("\n", 1)[1] for t in shown(m)]
+    parts = [fit(toy, SPEC, replace(many, trees=n, seed=many.seed + i * models._SEEDS)) for i, n in enumerate((2, 2, 1))]
+    assert text(joined) == [t for p in parts for t in text(p)] and joined.classifier.getNumTrees == 5
+    assert joined.fitted_rows == 300 and models.forest_size(joined)["tree_nodes"] >= 3 and accuracy(joined, toy) > 0.95
+    joined.save(f"{tmp_path}/model")
+    again = FittedModel.load(f"{tmp_path}/model", SPEC, many)
+    both = [m.predict(toy).orderBy("row").select("probabilities").collect() for m in (joined, again)]
+    assert both[0] == both[1]
+    seen = forest_bins.predict(joined, toy).orderBy("row").select("probabilities").collect()
+    assert seen == both[0]
