@@ -412,3 +412,11 @@ def test_large_forests_grow_in_groups_of_trees(toy, fitted, monkeypatch, tmp_pat
     assert both[0] == both[1]
     seen = forest_bins.predict(joined, toy).orderBy("row").select("probabilities").collect()
     assert seen == both[0]
+
+
+def test_cross_validation_metrics_learn_from_all_rows_of_a_fold(spark, tmp_path, monkeypatch):
+    from obslab.catalog import models as catalog
+
+    monkeypatch.setattr(catalog, "WHOLE", replace(catalog.WHOLE, trees=3))
+    got = catalog.cv_metrics(spark, lines_of(spark, tmp_path, 1000)).collect()
+    assert len(got) == 5 and {(r["n_train"], r["n_validation"]) for r in got} == {(600, 150)}
