@@ -44,3 +44,12 @@ def test_steps_grow_finer_with_the_orders(spark, tmp_path, monkeypatch):
     assert {"5.00", "6.00", "7.00"} <= {r["price_step"] for r in steps(finer=True)["step_log"].collect()}
     monkeypatch.setattr(models, "Variant", lambda name, **known: models.models.Variant(name, trees=2, depth=3))
     assert {r["model"]: r["n_validation"] for r in models.candidate_vs_baseline(spark, folder).collect()} == {"baseline": 15, "candidate": 15}
+
+
+def test_a_served_version_learns_from_its_whole_snapshot(spark, tmp_path, monkeypatch):
+    folder = write_orders(spark, tmp_path, [("FOP"[i % 3], 100.0 * i, "2-HIGH", i % 5 > 0) for i in range(2100)])
+    fitted, fit = [], stores.fit
+    monkeypatch.setattr(stores, "Variant", lambda name, **known: models.models.Variant(name, trees=2, **known))
+    monkeypatch.setattr(stores, "fit", lambda *a: fitted.append(fit(*a)) or fitted[-1])
+    got = stores.served_version(spark, folder)
+    assert got.where("label_is_known and active and n_warnings = 0").count() == 2100 and [m.fitted_rows for m in fitted] == [2100]
