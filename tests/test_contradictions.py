@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import warnings
 
 import pytest
 
@@ -46,6 +47,33 @@ def test_steps_grow_finer_with_the_orders(spark, tmp_path, monkeypatch):
     assert {r["model"]: r["n_validation"] for r in models.candidate_vs_baseline(spark, folder).collect()} == {"baseline": 15, "candidate": 15}
 
 
+@pytest.mark.parametrize("left, lacking", [
+    ([], ["has_F", "has_O", "has_P", "not_empty"]), ([("P", 450.0, "2-HIGH", False)], ["has_F", "has_O"]),
+    ([(c, 450.0 + 100 * i, "2-HIGH", True) for i, c in enumerate("FOP")], []),
+])
+def test_a_stored_version_names_the_labels_that_it_lacks(spark, tmp_path, monkeypatch, left, lacking):
+    folder = write_orders(spark, tmp_path, CONTRADICTING + left)
+    monkeypatch.setattr(stores, "shared_dir", lambda *a: f"{tmp_path}/store")
+    monkeypatch.setattr(stores, "new_version_id", lambda: "v1")
+    with warnings.catch_warnings(record=True) as told:
+        warnings.simplefilter("always")
+        assert stores.snapshot_roundtrip(spark, folder).count() == len(left)
+    store = stores.SnapshotStore(spark, f"{tmp_path}/store")
+    assert store.manifest("v1")["lacking"] == lacking and [str(w.message) for w in told if "partial" in str(w.message)] == (
+        [f"version 'v1' is partial: it fails {lacking}"] if lacking else [])
+    if lacking:
+        store.stage(store.load("v1"), "v2")
+        with pytest.raises(ValueError, match="gate failed"):
+            store.publish("v2", tables.STEPS)
+        store.publish("v2", tables.STEPS, metrics=spark.range(1), partial=True)
+        with pytest.raises(ValueError, match="incomplete: it fails"):
+            store.activate("v2")
+    # Rows that are invalid are never stored.
+    store.stage(store.load("v1").unionByName(spark.createDataFrame([(9, -1.0, "2-high", "F", "reference", "", "")], store.load("v1").schema)), "v3")
+    with pytest.raises(ValueError, match="price_step_is_measure"):
+        store.publish("v3", tables.STEPS, partial=True)
+
+
 def test_a_served_version_learns_from_its_whole_snapshot(spark, tmp_path, monkeypatch):
     folder = write_orders(spark, tmp_path, [("FOP"[i % 3], 100.0 * i, "2-HIGH", i % 5 > 0) for i in range(2100)])
     fitted, fit = [], stores.fit
