@@ -131,3 +131,19 @@ def test_the_neighbour_decides_on_every_article_as_a_whole():
     assert ht.difference(lines[0], lines[2]) == ht.difference(lines[0], None) == first + "\nabout this site"
     # A long article that the neighbour has too is not taken for a notice.
     assert ht.difference(ht.lines_of(story("first") + "<article>short</article>"), lines[0]) == first + "\nshort"
+
+
+def test_lines_of_an_article_that_both_neighbours_have_are_the_hosts(shipped):
+    quote, sign = "a passage that two pages quote", "all rights are ours"
+    page = lambda word, *more: "<article>" + "".join(f"<p>{x}</p>" for x in (f"the {word} story of this page", *more, sign)) + "</article>"
+    pages = [page("first", quote), page("second", quote), page("third"), page("fourth")]
+    lines = [ht.lines_of(x) for x in pages]
+    assert ht.difference(lines[1], lines[0], lines[2]) == f"the second story of this page\n{quote}"
+    assert ht.difference(lines[1], lines[0]) == f"the second story of this page\n{quote}\n{sign}"
+    # Near copies: what three pages have in common is more than the rest, and stays.
+    copies = [ht.lines_of(f"<article><p>{'a long text that is copied ' * 5}</p><p>number {i}</p></article>") for i in range(3)]
+    assert ht.difference(copies[1], copies[0], copies[2]).count("copied") == 5
+    rows = [(i, f"https://a.org/{i}", x) for i, x in enumerate(pages)] + [(9, "https://b.org/1", pages[0])]
+    got = {r.page_id: r.text for r in ht.main_text(shipped.createDataFrame(rows, PAGES).coalesce(1)).collect()}
+    assert got[1] == f"the second story of this page\n{quote}" and got[2] == "the third story of this page"
+    assert got[9].endswith(sign) and got[0].endswith(sign)
