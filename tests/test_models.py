@@ -420,3 +420,10 @@ def test_cross_validation_metrics_learn_from_all_rows_of_a_fold(spark, tmp_path,
     monkeypatch.setattr(catalog, "WHOLE", replace(catalog.WHOLE, trees=3))
     got = catalog.cv_metrics(spark, lines_of(spark, tmp_path, 1000)).collect()
     assert len(got) == 5 and {(r["n_train"], r["n_validation"]) for r in got} == {(600, 150)}
+
+
+def test_large_whole_forests_of_a_study_grow_one_after_the_other(toy, monkeypatch):
+    bounded = replace(SMALL, fit_rows=60)
+    assert study._at_once(toy, [SMALL, bounded]) == study.PARALLEL_FITS
+    monkeypatch.setattr(study, "GROWN", 900)
+    assert [study._at_once(toy, [v]) for v in (SMALL, replace(SMALL, trees=500), bounded)] == [2, 1, study.PARALLEL_FITS]
