@@ -69,10 +69,13 @@ def classification_metrics(cube: DataFrame, keys: Sequence[str] = ()) -> DataFra
     rows = F.sum("support")
     expected = F.sum(F.col("support").cast("double") * F.col("named")) / (rows.cast("double") * rows)
     observed = F.sum("hits") / rows
+    # Added in the order of the classes, so that the last bit does not depend on the order in which they come together.
+    occurring = F.when(F.col("support") + F.col("named") > 0, F.struct("class", _f1().alias("f1")))
+    scores = F.array_sort(F.collect_list(occurring))
     return class_table(cube, keys).groupBy(*keys).agg(
         rows.alias("n"),
         observed.alias("accuracy"),
-        F.avg(F.when(F.col("support") + F.col("named") > 0, _f1())).alias("macro_f1"),
+        F.try_divide(F.aggregate(scores, F.lit(0.0), lambda total, score: total + score["f1"]), F.size(scores)).alias("macro_f1"),
         ((observed - expected) / F.nullif(1 - expected, F.lit(0.0))).alias("cohen_kappa"),
     )
 
